@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, quality, secret_scan, simhash, token_ids, toxicity, url_filter
+from . import decontam, langid, mixing, ngram_lm, quality, secret_scan, simhash, token_ids, toxicity, url_filter
 
 QUERIES = {f.__name__: f for f in (
     token_ids.op1_token_ids,
     simhash.op2_simhash,
     toxicity.op3_toxicity,
     langid.op4_language_id,
+    ngram_lm.op5_lm_score,
     url_filter.op6_url_filter,
     decontam.op7_decontaminate,
     mixing.op8_mix_sources,
