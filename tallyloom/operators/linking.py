@@ -1,0 +1,81 @@
+"""Ordered operators in window form: numbering, carrying, linking and deduplication over event tables.
+
+They cover what needs no recursion; the per-file fold in ``sources.transcripts`` covers the rest. All windows
+are partitioned by session (or a finer key) and ordered by an event's own place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def _past(keys, order, including: bool = True):
+    return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if including else -1)
+
+
+def request_number(is_request: Column, keys, order) -> Column:
+    """Running number of requests."""
+    return F.sum(is_request.cast("int")).over(_past(keys, order))
+
+
+def carried_tokens(rows: DataFrame, tokens: str, reset: Column, keys, order) -> DataFrame:
+    """Adds ``carried``: tokens gathered before the row since the last row that resets."""
+    group = F.coalesce(F.sum(reset.cast("int")).over(_past(keys, order, including=False)), F.lit(0))
+    rows = rows.withColumn("__g", group)
+    return rows.withColumn("carried", F.coalesce(F.sum(F.when(~reset, F.col(tokens))).over(_past([*keys, "__g"], order, including=False)), F.lit(0)).cast("long")).drop("__g")
+
+
+def stream_turn(closes: Column, keys, order) -> Column:
+    """Turn of a stream: a row that speaks begins a new turn if a row that closes came just before it (or none)."""
+    before = F.coalesce(F.lag(closes).over(W.partitionBy(*keys).orderBy(*order)), F.lit(True))
+    return F.sum((~closes & before).cast("int")).over(_past(keys, order))
+
+
+def message_turn(rows: DataFrame, key: str, keys, order) -> DataFrame:
+    """Adds ``turn``: the rank of a key's first appearance."""
+    first = F.min(F.struct(*order)).over(W.partitionBy(*keys, key))
+    return rows.withColumn("__first", first).withColumn("turn", F.dense_rank().over(W.partitionBy(*keys).orderBy("__first"))).drop("__first")
+
+
+def sticky_outcome(success: Column) -> Column:
+    """False if any is false, else true if any is true, else null."""
+    return F.bool_and(success)
+
+
+def latest_origin(rows: DataFrame, is_origin: Column, is_poll: Column, key: str, request: str, keys, order, identity: str) -> DataFrame:
+    """As-of link of polls: the latest origin of the key before the poll, only if it has the poll's request. Adds ``linked_to``."""
+    held = F.when(is_origin, F.struct(F.col(identity).alias("id"), F.col(request).alias("request")))
+    latest = F.last(held, ignorenulls=True).over(_past([*keys, key], order, including=False))
+    return rows.withColumn("__o", latest).withColumn("linked_to", F.when(is_poll & (F.col("__o.request") == F.col(request)), F.col("__o.id"))).drop("__o")
+
+
+def empty_poll_reduction(rows: DataFrame, keys, order: str, tokens: str, empty: str, complete: str) -> DataFrame:
+    """Tokens of empty polls up to the last completion of each key; 0 without one."""
+    last = F.max(F.when(F.col(complete), F.col(order))).over(W.partitionBy(*keys))
+    return rows.withColumn("__last", last).groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col(empty) & (F.col(order) <= F.col("__last")), F.col(tokens))), F.lit(0)).cast("long").alias("poll_reduction_tokens"))
+
+
+def identical_results(rows: DataFrame, session: str, order: str, reset: str, content: str, turn: str, identity: str, tokens: str, window: int, floor: int) -> DataFrame:
+    """Reuse of an equal result in the same epoch within ``window`` turns: repeat_of and reduction."""
+    epoch = F.sum(F.col(reset).cast("int")).over(_past([session], [order]))
+    rows = rows.withColumn("__epoch", epoch)
+    before = F.lag(F.struct(F.col(identity).alias("id"), F.col(turn).alias("turn"))).over(W.partitionBy(session, "__epoch", content).orderBy(order))
+    rows = rows.withColumn("__b", before)
+    gap = F.col(turn) - F.col("__b.turn")
+    hit = F.coalesce((gap > 0) & (gap <= window), F.lit(False))
+    return rows.withColumns({"repeat_of": F.when(hit, F.col("__b.id")), "reduction": F.when(hit, F.greatest(F.lit(0), F.col(tokens) - floor)).otherwise(0).cast("long")}).drop("__epoch", "__b")
+
+
+def counter_changes(rows: DataFrame, session: str, order: str, turn: str, total: str) -> DataFrame:
+    """Changes of a cumulative counter: unchanged snapshots drop out; ``trusted`` if it is the only change of its turn."""
+    before = F.lag(total).over(W.partitionBy(session).orderBy(order))
+    rows = rows.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(total)))
+    return rows.withColumns({"delta": F.col(total) - F.coalesce("__b", F.lit(0)), "trusted": F.count("*").over(W.partitionBy(session, turn)) == 1}).drop("__b")
+
+
+def first_of(rows: DataFrame, keys, order) -> DataFrame:
+    """The first row of each key (first wins)."""
+    return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
