@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.labels import BUNDLE, MECHANISMS, OPPORTUNITY, SINGLE_FAMILIES, STATUS_OUTPUT, TITLES, VALIDATION, WORKFLOW
+from ..functions.labels import BUNDLE, MECHANISMS, OPPORTUNITY, TITLES, VALIDATION, WORKFLOW
 from ..functions.scalar import budgeted, candidate_id, hash_text, saved
 
 

@@ -6,6 +6,8 @@ operation. The same operators run on it as on parsed transcripts; each query has
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import READ_ONLY, STATUS_OUTPUT, WORKFLOW
 from ..functions.scalar import REDACTIONS, estimate_tokens, hash_text
 from ..operators import audit, linking, mining
+from .shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -222,7 +225,9 @@ def member_credit(spark, sf_dir):
 
 def _credited(spark, sf_dir):
     m, sessions = mined(spark, sf_dir)
-    chosen = mining.scores(mining.located(m.episodes, sessions))
+    # Each of these is read several times by what follows.
+    m = replace(m, episodes=written(m.episodes, "episodes"), members=written(m.members, "members"))
+    chosen = written(mining.scores(mining.located(m.episodes, sessions)), "scores")
     return mining.credits(m, chosen), chosen, m, sessions
 
 
@@ -320,8 +325,9 @@ def _usage(log: DataFrame) -> DataFrame:
 
 def _plans(spark, sf_dir):
     _, chosen, m, sessions = _credited(spark, sf_dir)
-    found, log = mining.occurrences(m, chosen), action_log(spark, sf_dir)
-    return audit.repeated_plans(audit.exact_plans(found, log, sessions)), found, chosen, log
+    found, log = written(mining.occurrences(m, chosen), "occurrences"), action_log(spark, sf_dir)
+    plans = written(audit.exact_plans(found, log, sessions), "plans")
+    return audit.repeated_plans(plans), found, chosen, log
 
 
 @query(sql_plans("SELECT session, start_ AS start, end_ AS end, signature, first_turn FROM repeated"))

@@ -1,0 +1,28 @@
+"""Intermediate tables in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+
+_own: str | None = None
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table that several plans read, and reads it back: its plan runs once, and lost executors cost nothing.
+
+    The folder is ``spark.checkpoint.dir``; a temporary one is made only where the session names none (one machine).
+    """
+    global _own
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if _own is None or not Path(_own).is_dir():
+            _own = tempfile.mkdtemp(prefix="tallyloom-")
+        folder = f"file://{_own}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
