@@ -54,58 +54,64 @@ def prefixed(wins: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, block: DataFrame, tokens: list[str], width: int) -> DataFrame:
-    """Verified occurrences: doc_id, row_hash, start (from 0), win."""
-    rows = docs.select("doc_id", "row_hash", words(F.col("text")).alias("w"))
+    """Verified occurrences: key columns, start (from 0), end, wid."""
+    rows = docs.select(*KEY, words(F.col("text")).alias("w"))
     # (place from 1, word) of prefix words only; the set is a constant of the plan, hashed once.
     found = F.filter(F.transform("w", lambda x, i: F.when(x.isin(tokens), i + 1)), lambda i: i.isNotNull())
     around = F.transform(found, lambda i: F.struct(
         i.alias("at"), F.least(i - 1, F.lit(width - 1)).alias("left"), F.element_at("w", i).alias("token"),
         F.slice("w", F.greatest(F.lit(1), i - width + 1), F.lit(2 * width - 1)).alias("near")))
-    rows = rows.select("doc_id", "row_hash", F.explode(around).alias("c")).select("doc_id", "row_hash", "c.*")
+    rows = rows.select(*KEY, F.explode(around).alias("c")).select(*KEY, "c.*")
     joined = rows.join(F.broadcast(block), "token")
     fits = (F.col("left") >= F.col("place")) & (F.col("left") - F.col("place") + F.size("win") <= F.size("near"))
     joined = joined.where(fits)
     same = F.slice("near", F.col("left") - F.col("place") + 1, F.size("win")) == F.col("win")
-    return joined.where(same).select("doc_id", "row_hash", (F.col("at") - 1 - F.col("place")).alias("start"), "win")
+    start = F.col("at") - 1 - F.col("place")
+    return joined.where(same).select(*KEY, start.alias("start"), (start + F.size("win")).alias("end"), "wid")
+
+
+#: A document row: its id as text ('' for null, which no id is) and a hash of its text, since ids may repeat.
+KEY = ["did", "row_hash"]
+
+
+def covered(spans):
+    """Words under sorted (start, end) spans; one that several cover counts once."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach"))
+    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach"))
+    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row_hash (of the text)."""
-    docs = pick(documents, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    docs = pick(documents, "doc_id", "text")
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), F.xxhash64("text").alias("row_hash"))
     wins = materialize(windows(benchmark, width), "benchmark-windows")
-    keyed = materialize(prefixed(wins, docs).withColumn("block", F.floor((F.row_number().over(W.orderBy("token", "win")) - 1) / BLOCK)), "benchmark-prefixes")
+    numbered = prefixed(wins, docs).withColumn("wid", F.row_number().over(W.orderBy("token", "win")) - 1)
+    keyed = materialize(numbered.withColumn("block", F.floor(F.col("wid") / BLOCK)), "benchmark-prefixes")
     n_blocks = keyed.agg(F.max("block")).first()[0]
     hits = None
     for k in range(0 if n_blocks is None else n_blocks + 1):
-        block = keyed.where(F.col("block") == k).select("token", "place", "win")
+        block = keyed.where(F.col("block") == k).select("token", "place", "win", "wid")
         # At most BLOCK words come to the driver, and only those that the corpus has.
         tokens = [r[0] for r in keyed.where((F.col("block") == k) & (F.col("n") > 0)).select("token").distinct().orderBy("token").collect()]
         if tokens:
             found = _hits(docs, block, tokens, width)
             hits = found if hits is None else hits.unionByName(found)
-    counted = docs.select("doc_id", "row_hash", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
-    counted = counted.withColumn("n_words", F.greatest(F.col("n_words"), F.lit(0)))
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    counted = docs.select("doc_id", *KEY, F.greatest(F.size(words(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("n_words"))
     if hits is None:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-                              nothing.alias("items_sha256"), F.lit(False).alias("contaminated"), "row_hash")
-    hits = materialize(hits.distinct(), "benchmark-hits")
-    key = ["doc_id", "row_hash"]
-    # A word that several windows cover counts once: it adds what lies past the furthest end before it.
-    spans = hits.groupBy(*key, "start").agg(F.max(F.col("start") + F.size("win")).alias("end"))
-    reach = F.max("end").over(W.partitionBy(*key).orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(reach, F.lit(0)))))
-    covered = spans.groupBy(*key).agg(F.sum("fresh").cast("long").alias("n_hit"))
-    items = hits.select(*key, "win").distinct().join(wins, "win").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
-    items = items.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = covered.join(items, (covered["doc_id"].eqNullSafe(items["doc_id"])) & (covered["row_hash"] == items["row_hash"])).select(
-        covered["doc_id"].alias("d"), covered["row_hash"].alias("h"), "n_hit", "items")
-    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h")), "left")
-    n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
-    n_items = F.when(F.col("items").isNull(), F.lit(0).cast("long")).otherwise(n_items)
+        nothing = F.array().cast("array<string>")
+        out = counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": nothing})
+    else:
+        items = keyed.select("win", "wid").join(wins, "win").select("wid", F.col("item_id").cast("string").alias("item")).distinct()
+        named = hits.join(items, "wid")
+        # What is gathered for a document is bounded by its own length and the items found in it.
+        found = named.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        found = found.select(*KEY, covered(F.col("spans")).alias("n_hit"), "items")
+        out = counted.join(found, KEY, "left")
+        out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    n_items = F.size("items").cast("long")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        "doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_items >= least_items).alias("contaminated"), "row_hash")
 
 
