@@ -7,7 +7,7 @@ the words of the perfect binary Golay code [23, 12] (shorter bands padded with z
 code of radius 3: every fingerprint has exactly one *home* anchor within 3 bits, and whatever
 differs from it by one bit lies within 3 + 1 bits of that anchor. So each fingerprint is
 replicated to every anchor within 4 bits (5.3 on average), and each anchor compares its home rows with
-the rows that reach it: no linked pair can be missed.
+the rows that reach it: no linked pair can be missed. (Wider thresholds up to 11 bits reach anchors within 3 + 11 // 3 bits.)
 
 Large corpora: with more than ``REFINE_ABOVE`` distinct fingerprints, an anchor's rows are divided
 again by five exact pieces of the bits outside the band (at most 4 differ there, so one piece is
@@ -69,8 +69,8 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
-def _anchor_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(home syndrome table, flips): for each 11-bit syndrome the coset leader, and the error words of a syndrome within 4 bits."""
+def _anchor_tables(extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaders, flips): for each 11-bit syndrome the coset leader, and its error words within 3 + ``extra`` bits."""
     def syndrome(x: int) -> int:
         for k in range(22, 10, -1):
             if x >> k & 1:
@@ -82,7 +82,7 @@ def _anchor_tables() -> tuple[np.ndarray, np.ndarray]:
 
     leader = np.zeros(2048, np.int64)
     within: list[list[int]] = [[] for _ in range(2048)]
-    for weight in range(5):
+    for weight in range(4 + extra):
         for bits in combinations(range(23), weight):
             s = 0
             for b in bits:
@@ -98,15 +98,14 @@ def _anchor_tables() -> tuple[np.ndarray, np.ndarray]:
     return leader, flips
 
 
-_tables: tuple | None = None
+_tables: dict[int, tuple] = {}
 
 
-def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words of up to 23 bits: home anchor; and (row, anchor) of all anchors within 4 bits."""
-    global _tables
-    if _tables is None:
-        _tables = _anchor_tables()
-    leader, flips = _tables
+def anchors(values: np.ndarray, extra: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words of up to 23 bits: home anchor; and (row, anchor) of all anchors within 3 + ``extra`` bits."""
+    if extra not in _tables:
+        _tables[extra] = _anchor_tables(extra)
+    leader, flips = _tables[extra]
     s = values.astype(np.int64).copy()
     for k in range(22, 10, -1):
         s ^= np.where(s >> k & 1, GOLAY << (k - 11), 0)
@@ -116,7 +115,7 @@ def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return home, row, values[row] ^ errors[row, col]
 
 
-def _replicas(refine: bool):
+def _replicas(refine: bool, extra: int, homes_only: bool = False):
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -125,12 +124,16 @@ def _replicas(refine: bool):
             u = fp.view(np.uint64)
             for b, (low, width) in enumerate(BANDS):
                 band = (u >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-                home, row, anchor = anchors(band)
+                home, row, anchor = anchors(band, extra)
+                if homes_only:
+                    row, anchor = row[:0], anchor[:0]
                 key = np.concatenate((home, anchor)) * len(BANDS) + b
                 side = np.concatenate((np.zeros(len(fp), np.int8), np.ones(len(row), np.int8)))
                 which = np.concatenate((np.arange(len(fp)), row))
                 if refine:
-                    rest = np.where(np.uint64(low) > 0, u & np.uint64((1 << low) - 1), np.uint64(0)) | ((u >> np.uint64(low + width)) << np.uint64(low) if low + width < 64 else np.uint64(0))
+                    rest = u & np.uint64((1 << low) - 1)
+                    if low + width < 64:
+                        rest = rest | (u >> np.uint64(low + width)) << np.uint64(low)
                     size = -(-(64 - width) // PIECES)
                     pieces = [(rest >> np.uint64(p * size) & np.uint64((1 << size) - 1)).astype(np.int64) for p in range(PIECES)]
                     key = np.concatenate([((key << 12 | x[which]) * PIECES + p) for p, x in enumerate(pieces)])
@@ -140,76 +143,70 @@ def _replicas(refine: bool):
     return run
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _join_up(home: np.ndarray, label: np.ndarray, other: np.ndarray, near: int, src: list, dst: list) -> None:
+    """Links of some rows with the home rows: each row's nearest one, and one more for each group of home rows that it joins up."""
+    d = np.bitwise_count(other[:, None] ^ home[None, :])
+    d[d == 0] = 255  # itself
+    for j in np.flatnonzero((d <= near).any(1)).tolist():
+        hit = np.flatnonzero(d[j] <= near)
+        nearest = hit[d[j, hit].argmin()]
+        src.append(home[nearest]), dst.append(other[j])
+        others, at = np.unique(label[hit], return_index=True)
+        foreign = others != label[nearest]
+        if foreign.any():
+            src.extend(home[hit[at[foreign]]]), dst.extend([other[j]] * int(foreign.sum()))
+            label[np.isin(label, others)] = label[nearest]
 
 
-def _compare(batches):
+def _compare(near: int):
     """Rows sorted by (key, chunk, side): home rows of a chunk are held, the others stream by in parts."""
-    state: dict = {"at": None, "home": [], "fps": np.zeros(0, np.uint64), "parent": None}
-
-    def close_home():
-        state["fps"] = np.unique(np.concatenate(state["home"])) if state["home"] else np.zeros(0, np.uint64)
-        state["parent"] = np.arange(len(state["fps"]))
-        state["home"] = []
-
-    for batch in batches:
-        key, chunk, side, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        if not len(key):
-            continue
-        u = fp.astype(np.int64).view(np.uint64)
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (side[1:] != side[:-1])) + 1
-        src, dst = [], []
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-            at = (int(key[a]), int(chunk[a]))
-            if at != state["at"]:
-                state.update(at=at, home=[], fps=np.zeros(0, np.uint64), parent=None)
-            if side[a] == 0:
-                state["home"].append(u[a:b])
-                continue
-            if state["parent"] is None:
-                close_home()
-            home, parent = state["fps"], state["parent"]
-            if not len(home):
+    def run(batches):
+        at, parts, home, label = None, [], None, None
+        for batch in batches:
+            key, chunk, side, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(key):
                 continue
-            step = max(1, 2_000_000 // len(home))
-            for k in range(a, b, step):
-                other = u[k : min(b, k + step)]
-                y, x = np.nonzero(np.bitwise_count(other[:, None] ^ home[None, :]) <= NEAR)
-                last = None
-                for j, i in zip(y.tolist(), x.tolist(), strict=True):
-                    if other[j] == home[i]:
-                        continue
-                    root = _find(parent, i)
-                    if j != last or root != seen:
-                        # The first link of a row; later ones only where they join two groups of home rows.
-                        if j == last:
-                            parent[root] = seen
-                        else:
-                            seen = root
-                        src.append(home[i]), dst.append(other[j])
-                    last = j
-        if src:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(src, np.uint64).view(np.int64)), pa.array(np.array(dst, np.uint64).view(np.int64))], names=["a", "b"])
-
-
-def links(distinct: DataFrame, refine: bool | None = None) -> DataFrame:
-    """From distinct fingerprints (column fp): links (a, b) with the components of all pairs within 4 bits."""
-    spark = distinct.sparkSession
+            u = fp.astype(np.int64).view(np.uint64)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (side[1:] != side[:-1])) + 1
+            src: list = []
+            dst: list = []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                if (now := (int(key[a]), int(chunk[a]))) != at:
+                    at, parts, home = now, [], None
+                if side[a] == 0:
+                    parts.append(u[a:b])
+                    continue
+                if not parts:
+                    continue
+                if home is None:
+                    home = np.unique(np.concatenate(parts))
+                    label = np.arange(len(home))
+                step = max(1, 2_000_000 // len(home))
+                for k in range(a, b, step):
+                    _join_up(home, label, u[k : min(b, k + step)], near, src, dst)
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (src, dst)], names=["a", "b"])
+
+    return run
+
+
+def links(distinct: DataFrame, near: int = NEAR, refine: bool | None = None) -> DataFrame:
+    """From distinct fingerprints (column fp): links (a, b) with the components of all pairs within ``near`` bits (12 less one at most)."""
+    extra = near // len(BANDS)
+    if extra > 3:
+        raise ValueError("at most 11 differing bits")
     if refine is None:
-        refine = distinct.count() > REFINE_ABOVE
-    spread = materialize(distinct.select("fp").mapInArrow(_replicas(refine), "key long, side byte, fp long"), "simhash-anchors")
-    homes = spread.where("side = 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+        refine = near < PIECES and distinct.count() > REFINE_ABOVE
+    shape = "key long, side byte, fp long"
+    homes = distinct.select("fp").mapInArrow(_replicas(refine, extra, True), shape).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     chunks = homes.select(F.col("key").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    spread = distinct.select("fp").mapInArrow(_replicas(refine, extra), shape)
     rows = spread.join(chunks, F.col("key") == F.col("k"), "left").drop("k").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("side") == 0, own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     rows = rows.select("key", "chunk", "side", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
-    return rows.mapInArrow(_compare, "a long, b long")
+    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    return rows.mapInArrow(_compare(near), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,26 +235,30 @@ def components(edges: DataFrame) -> DataFrame:
     return down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed), component_id; one row for each row of documents."""
+def printed(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, h (hash of the text), fp (signed fingerprint), written; one row for each row of documents."""
     small_batches(documents.sparkSession)
 
     def prints(batches):
         for batch in batches:
             fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
-    docs = pick(documents, "doc_id", "text")
+    docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    printed = materialize(docs.mapInArrow(prints, f"doc_id {kind}, fp long"), "simhash-prints")
-    distinct = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = materialize(links(distinct), "simhash-links")
+    return materialize(docs.mapInArrow(prints, f"doc_id {kind}, h long, fp long"), "simhash-prints")
+
+
+def near_duplicates(documents: DataFrame, width: int = SHINGLE, near: int = NEAR) -> DataFrame:
+    """doc_id, fp, component_id; one row for each row of documents."""
+    rows = printed(documents, width)
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    found = materialize(links(distinct, near), "simhash-links")
     groups = materialize(components(found), "simhash-groups")
     member = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Only fingerprints of groups need the smallest id of other fingerprints.
     placed = member.join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    return printed.join(placed, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return rows.join(placed, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir):
@@ -265,15 +266,65 @@ def op2_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id (of repeated rows, one)."""
+#: For whole-text near-duplicates: five-word shingles, candidates within 11 bits, kept if the shingle sets are 0.8 alike.
+FILTER_WIDTH, FILTER_NEAR, ALIKE = 5, 11, 0.8
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes; two empty sets are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def verified_links(documents: DataFrame, rows: DataFrame, width: int, near: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): a node is a distinct text, named by its smallest doc_id; links join texts that are ``least`` alike.
+
+    Candidates are texts of one fingerprint and fingerprints within ``near`` bits; each is checked on the texts' whole shingle sets.
+    """
+    nodes = materialize(rows.groupBy("h", "fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")).where(F.col("first").isNotNull()), "simhash-firsts")
+    same = nodes.join(firsts, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = materialize(links(firsts, near), "simhash-links")
+    one, two = (firsts.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("fa", "na"), ("fb", "nb")))
+    across = found.distinct().join(one, F.col("a") == F.col("fa")).join(two, F.col("b") == F.col("fb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = across.unionByName(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialize(pairs.where(F.col("a") != F.col("b")).distinct(), "simhash-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("h").alias("nh"))
+    small_batches(documents.sparkSession, 64)
+
+    @F.arrow_udf("binary")
+    def shingles(text: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in text.to_pylist()], pa.binary())
+
+    @F.arrow_udf("double")
+    def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
+        return pa.array([alike(x, y) for x, y in sets], pa.float64())
+
+    docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    texts = docs.join(needed, (F.col("doc_id") == F.col("node")) & (F.col("h") == F.col("nh"))).dropDuplicates(["node"])
+    sets = materialize(texts.select("node", shingles("text").alias("s")), "simhash-sets")
+    left, right = sets.select(F.col("node").alias("na"), F.col("s").alias("sa")), sets.select(F.col("node").alias("nb"), F.col("s").alias("sb"))
+    checked = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", likeness("sa", "sb").alias("alike"))
+    return nodes, materialize(checked.where(F.col("alike") >= least).select("a", "b"), "simhash-verified")
+
+
+def first_of_each(documents: DataFrame, width: int = FILTER_WIDTH, near: int = FILTER_NEAR, least: float = ALIKE) -> DataFrame:
+    """One document of each group stays: the one with the smallest doc_id (of repeated rows, one). Others keep their columns and order.
+
+    Groups are the components of verified links, so what is like nothing else always stays.
+    """
     from pyspark.sql import Window as W
 
-    groups = near_duplicates(documents, width)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__d")).distinct()
+    nodes, found = verified_links(documents, printed(documents, width), width, near, least)
+    gone = components(found).select(F.col("node").alias("gone"))
+    keep = nodes.join(gone, F.col("node") == F.col("gone"), "left_anti").select(F.col("node").alias("__d"), F.col("h").alias("__h"))
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    doc, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    kept = plain.join(keep, F.col(doc) == F.col("__d"), "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(W.partitionBy(doc).orderBy(F.xxhash64(text))))
+    doc = f"c{names.index('doc_id')}"
+    plain = plain.withColumn("__t", F.xxhash64(f"c{names.index('text')}"))
+    kept = plain.join(keep, F.col(doc).eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(W.partitionBy(doc, "__t").orderBy(F.lit(1))))
     return kept.where("__n = 1").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
