@@ -10,7 +10,7 @@
    windows, so what is broadcast has a bound whatever its size.
 
 Edge cases: null and empty texts have no words, are never hit and keep their row; items without
-words match nothing; equal items each count; repeated document rows each get a row (with equal
+words match nothing; equal items each count; an item without an id hits words but is not counted; repeated document rows each get a row (with equal
 texts, equal results); an empty benchmark leaves all clean. Results are exact, with no caps.
 """
 
@@ -135,7 +135,7 @@ pos AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
   FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT p.rid, p.s, p.n, win.item_id FROM pos p JOIN win ON p.win = win.win AND p.n = win.n),
 covered AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS k FROM hit) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+items AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY rid)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, coalesce(i.n_items, 0) >= 2 AS contaminated
