@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import hashed_ids, pick, remainder, small_batches, table
 
 #: Bound of the labelled sample for terms and weights, and of the terms tried.
-SAMPLE, CANDIDATES = 20_000, 20_000
+SAMPLE, CANDIDATES = 20_000, 60_000
+#: Lengths of stems, longest first.
+STEMS = (8, 7, 6, 5, 4)
 #: Fixed word lists of the grammar's classes.
 INSULTS = "idiot idiots moron morons stupid dumb fool loser losers pathetic scum trash worthless disgusting clown imbecile vermin filth".split()
 THREATS = "kill hurt destroy murder beat burn strangle stab punish töten umbringen tuer frapper matar golpear".split()
@@ -101,7 +103,7 @@ class Classes(dict):
         for w in _words(chunk):
             s = self.words.get(w)
             if s is None:
-                s = next((self.stems[w[:k]] for k in (6, 5, 4) if len(w) > k and w[:k] in self.stems), "o")
+                s = next((self.stems[w[:k]] for k in STEMS if len(w) > k and w[:k] in self.stems), "o")
             out += s
         if chunk[-1] in CLAUSE_END:
             out += "."
@@ -156,13 +158,13 @@ def prior_weights() -> np.ndarray:
 
 
 def _terms(text: str) -> dict[str, int]:
-    """Words of a text and their stems of 4 to 6 letters (with *), each with a hash of one left neighbour."""
+    """Words of a text with a hash of a left neighbour each, and their stems (with *) with a hash of the word."""
     found: dict[str, int] = {}
     before = ""
     for w in _words(text.lower()):
         near = hash_of(before)
         found.setdefault(w, near)
-        for k in (4, 5, 6):
+        for k in STEMS:
             if len(w) > k:
                 found.setdefault(w[:k] + "*", hash_of(w))
         before = w
@@ -175,7 +177,7 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace"))
 
 
-def learn_terms(rows: DataFrame, least: int = 8, lift: float = 25.0) -> dict[str, str]:
+def learn_terms(rows: DataFrame, least: int = 5, lift: float = 25.0) -> dict[str, str]:
     """Insult terms from labelled rows (doc_id, text, toxic)."""
     # Copies of a text count once.
     rows = rows.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -211,8 +213,9 @@ def learn_terms(rows: DataFrame, least: int = 8, lift: float = 25.0) -> dict[str
     found = {}
     for term, n in toxic_n.items():
         ratio = (n / n_toxic) / ((other_n.get(term, 0) + 0.5) / n_other)
-        if ratio >= lift:
-            found[term] = "I" if ratio >= 4 * lift else "J"
+        # Weaker terms need more support.
+        if ratio >= lift or (ratio >= lift / 2.5 and n >= 3 * least):
+            found[term] = "I" if ratio >= 4 * lift else "J" if ratio >= lift else "K"
     return found
 
 
