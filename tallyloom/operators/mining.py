@@ -144,9 +144,10 @@ def _reductions(family: Column) -> dict[str, Column]:
     }
 
 
-def mine(actions: DataFrame, options: Options = Options()) -> Mined:
-    marked = with_boundaries(with_replay_flag(compact(actions)), options)
-    packs = packed(islands(marked), options.max_length)
+def mine(actions: DataFrame, options: Options = Options(), keep=lambda df, name: df) -> Mined:
+    """``keep(df, name)`` may write a table that several plans read, and return what it reads back."""
+    marked = keep(with_boundaries(with_replay_flag(compact(actions)), options), "marked")
+    packs = keep(packed(islands(marked), options.max_length), "packs")
 
     # Bundles: operations are gathered in order; sums are over distinct actions of the pack.
     ordered = F.array_sort(F.collect_list(F.struct("position", "i", "label", "template", "exact")))
@@ -154,7 +155,7 @@ def mine(actions: DataFrame, options: Options = Options()) -> Mined:
     runs = runs.where(F.size("ops") >= options.min_length).withColumn("family", family_of(F.col("ops.label")))
     batched = (F.col("n_actions") < 2) | (F.col("turns") < 2)
     uniform = F.size(F.array_distinct("ops.label")) < 2
-    runs = runs.withColumn("drop", F.when(batched, "already_batched_episodes").when(uniform, "homogeneous_episodes"))
+    runs = keep(runs.withColumn("drop", F.when(batched, "already_batched_episodes").when(uniform, "homogeneous_episodes")), "runs")
     dropped = runs.where(F.col("drop").isNotNull()).groupBy(F.col("drop").alias("reason")).agg(F.count("*").alias("n"))
     kept = runs.where(F.col("drop").isNull()).select("session", "island", "pack", "family", "turns", "ops")
     of_bundles = packs.where("i >= 0").dropDuplicates(["session", "island", "pack", "position"]).join(kept.select("session", "island", "pack", "family"), ["session", "island", "pack"])
@@ -184,7 +185,7 @@ def mine(actions: DataFrame, options: Options = Options()) -> Mined:
     each = of_bundles.select("family", *ID, *MECHANISMS).unionByName(singles.select("family", *ID, *MECHANISMS))
     amounts = each.select("family", *ID, F.explode(F.array(*[F.struct(F.lit(m).alias("mechanism"), F.col(m).alias("reduction")) for m in MECHANISMS])).alias("m")).select("family", *ID, "m.*")
     members = amounts.where("reduction > 0").groupBy("family", *ID, "mechanism").agg(F.max("reduction").alias("reduction"))
-    return Mined(bundles.unionByName(alone.select(*bundles.columns)), members, dropped, marked, packs)
+    return Mined(keep(bundles.unionByName(alone.select(*bundles.columns)), "episodes"), members, dropped, marked, packs)
 
 
 def located(episodes: DataFrame, sessions: DataFrame) -> DataFrame:

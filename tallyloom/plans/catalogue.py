@@ -76,8 +76,8 @@ def session_table(log: DataFrame) -> DataFrame:
 
 
 def mined(spark, sf_dir, options=mining.Options()):
-    log = action_log(spark, sf_dir)
-    return mining.mine(log, options), session_table(log)
+    log = written(action_log(spark, sf_dir).drop("event_id", "ts", "user_id", "event_type", "value", "k"), "log")
+    return mining.mine(log, options, written), session_table(log)
 
 
 def _in(labels) -> str:
@@ -226,7 +226,7 @@ def member_credit(spark, sf_dir):
 def _credited(spark, sf_dir):
     m, sessions = mined(spark, sf_dir)
     # Each of these is read several times by what follows.
-    m = replace(m, episodes=written(m.episodes, "episodes"), members=written(m.members, "members"))
+    m = replace(m, members=written(m.members, "members"))
     chosen = written(mining.scores(mining.located(m.episodes, sessions)), "scores")
     return mining.credits(m, chosen), chosen, m, sessions
 

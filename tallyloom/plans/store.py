@@ -137,7 +137,8 @@ class Store:
     def analyse(self, options: mining.Options = mining.Options()) -> list[dict]:
         self._current()
         version, sessions = self.meta()["version"], self.table("sessions")
-        mined = mining.mine(self.table("actions"), options)
+        kept = lambda df, name: self._write(version, f"mined-{name}", df) or self.table(f"mined-{name}")
+        mined = mining.mine(self.table("actions"), options, kept)
         chosen = mining.candidates(mined, sessions, options)
         self._write(version, "candidates", chosen)
         chosen = self.table("candidates")
