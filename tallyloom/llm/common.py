@@ -75,6 +75,14 @@ def ascii_lower(column):
 
 
 def hashed_ids(rows: DataFrame, limit: int, seed: int = 17) -> DataFrame:
-    """At most ``limit`` distinct ids in the order of a hash: the bounded sample for fitting classifiers."""
+    """At most ``limit`` distinct ids in the order of a hash: the bounded sample for fitting classifiers.
+
+    Of many ids, only those below a cut of the hash that leaves somewhat more than ``limit`` go into the sort, so no
+    task sorts more than about that.
+    """
     ids = rows.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(limit)
+    order, n = F.xxhash64(F.col("doc_id"), F.lit(seed)), ids.count()
+    if n > 2 * limit:
+        share = int((1 << 40) * (limit / n) * (1 + 10 / limit**0.5))
+        ids = ids.where(F.pmod(order, F.lit(1 << 40)) < share)
+    return ids.orderBy(F.pmod(order, F.lit(1 << 40)), "doc_id").limit(limit)
