@@ -1 +1 @@
-"""Part of the package; see README."""
+"""Structured Streaming forms: transcripts that arrive in a folder, and rates over an event stream."""
