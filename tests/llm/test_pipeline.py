@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from conftest import prose  # tests/llm
+from corpus_made import prose
 from tallyloom.llm import decontam, mixing, quality, simhash
 
 
