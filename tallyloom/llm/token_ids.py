@@ -33,8 +33,8 @@ BLOCK_IDS, RUN = 1 << 18, 1024
 #: Fixed values of the format: ids in a word and bits of an id, by selector (0 is the escape).
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-#: Chunks of a text whose ids a worker remembers at once.
-REMEMBERED = 400_000
+#: Chunks, and parts of chunks, whose ids a worker remembers in each of two generations.
+REMEMBERED = 250_000
 
 _counts, _widths = np.array(COUNTS), np.array(WIDTHS)
 
@@ -46,25 +46,24 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not runs:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     grid = np.zeros((runs, RUN + 128), np.uint64)
-    grid[:, :RUN].reshape(-1)[:0]  # a view; filled below
     flat = np.zeros(runs * RUN, np.uint64)
     flat[:n] = ids
     grid[:, :RUN] = flat.reshape(runs, RUN)
     length = np.full(runs, RUN)
     length[-1] = n - (runs - 1) * RUN
-    # Where the first id too wide for b bits comes, at or after each place (the run's end if none does).
-    place = np.arange(RUN)
-    best = np.zeros((runs, RUN), np.int8)
+    # Where the first id too wide for b bits comes, at or after each place (past the run if none does).
     body = grid[:, :RUN]
-    last = length[:, None]
+    width = np.frexp((body & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int8)
+    top = body >> np.uint64(32)
+    if top.any():
+        width = np.where(top > 0, 32 + np.frexp(top.astype(np.float64))[1], width).astype(np.int8)
+    place, last = np.arange(RUN, dtype=np.int16), length[:, None].astype(np.int16)
+    width[place >= last] = 0
+    best = np.zeros((runs, RUN), np.int8)
     for s in range(15, 0, -1):
-        limit = np.uint64(1) << np.uint64(WIDTHS[s])
-        if s < 13 and not (body < limit).any():
-            continue
-        wide = np.where((body >= limit) & (place < last), place, RUN + 1)
-        first = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        fits = np.minimum(place + COUNTS[s], last) <= first
-        best[fits] = s
+        first = np.where(width > WIDTHS[s], place, np.int16(RUN + 1))
+        first = np.minimum.accumulate(first[:, ::-1], axis=1)[:, ::-1]
+        best[np.minimum(place + np.int16(COUNTS[s]), last) <= first] = s
     step = _counts[best]
     at, rows, every = np.zeros(runs, np.int64), np.arange(runs), []
     while len(rows):
@@ -131,13 +130,41 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Remembered(dict):
+    """A cache in two generations: what is asked for again outlives the older one."""
+
+    def __init__(self, work, most: int):
+        self.work, self.most, self.older = work, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The letter that byte-level tokenizers show for each byte: printable Latin-1 as it is, the others from 256 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer drops white space and never looks past it, so a text's ids are those of its chunks between ASCII
-    spaces, and each worker has the library encode a chunk once. A text that spells a special token is encoded whole.
+    The tokenizer lower-cases, drops white space, never looks past it, and always cuts between letters and signs. So a text's ids are
+    those of its chunks between ASCII spaces, and a chunk's those of its beginning and the signs after its last letter; each worker has
+    the library work out a part once (its BPE model alone where the part is plain letters). A text that spells a special
+    token is encoded whole.
     """
 
+    SIGNS = b".,!?;:|#$%&*"
+
     def __init__(self, name: str = TOKENIZER):
         import os
 
@@ -146,29 +173,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        #: Only the tokenizer that these cuts are known to hold for is taken apart.
+        self.cuts = os.path.basename(name) == TOKENIZER
+        self.shown = _visible_bytes()
+        self.chunks = Remembered(self._chunk, REMEMBERED)
+        self.parts = Remembered(self._part, REMEMBERED)
+
+    def _part(self, part: bytes) -> bytes:
+        import unicodedata
+
+        text = part.decode()
+        plain = unicodedata.normalize("NFC", text).lower()
+        # Greek sigma has two small forms, which lower() and the library choose differently.
+        if plain.isalpha() and text.isalpha() and "\u03c2" not in plain and "\u03c3" not in plain:
+            ids = [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.shown))]
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        start = chunk.rstrip(self.SIGNS)
+        if not start or len(start) == len(chunk) or not start.decode().lower()[-1].isalpha():
+            return self.parts[chunk]  # no signs at the end, or signs that may belong to what is before them
+        return self.parts[start] + self.parts[chunk[len(start) :]]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [b"" if t is None or "<|" in t else t.encode("utf-8", "replace") for t in texts]
-        chunks = [b.split() for b in split]
-        known = self.known
-        missing = {c for x in chunks for c in x if c not in known}
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = {c for x in chunks for c in x}
-        if missing:
-            listed = sorted(missing)
-            for k in range(0, len(listed), 20_000):
-                part = listed[k : k + 20_000]
-                for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-        return [
-            self.whole(t) if t is not None and "<|" in t else np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4")
-            for t, x in zip(texts, chunks, strict=True)
-        ]
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(np.zeros(0, "<u4"))
+            elif "<|" in t or not self.cuts:
+                out.append(self.whole(t))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.chunks.__getitem__, t.encode("utf-8", "replace").lower().split())), "<u4"))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
