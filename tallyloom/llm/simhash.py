@@ -146,7 +146,8 @@ def _replicas(refine: bool, extra: int, homes_only: bool = False):
 def _join_up(home: np.ndarray, label: np.ndarray, other: np.ndarray, near: int, src: list, dst: list) -> None:
     """Links of some rows with the home rows: each row's nearest one, and one more for each group of home rows that it joins up."""
     d = np.bitwise_count(other[:, None] ^ home[None, :])
-    d[d == 0] = 255  # itself
+    # A pair within reach meets at either one's home, so the smaller one's is enough; this leaves out a row itself, too.
+    d[home[None, :] >= other[:, None]] = 255
     for j in np.flatnonzero((d <= near).any(1)).tolist():
         hit = np.flatnonzero(d[j] <= near)
         nearest = hit[d[j, hit].argmin()]
