@@ -267,8 +267,13 @@ def op2_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For whole-text near-duplicates: five-word shingles, candidates within 11 bits, kept if the shingle sets are 0.8 alike.
-FILTER_WIDTH, FILTER_NEAR, ALIKE = 5, 11, 0.8
+#: For whole-text near-duplicates: five-word shingles, kept if the shingle sets are 0.8 alike.
+FILTER_WIDTH, ALIKE = 5, 0.8
+#: MinHash bands: a pair that is 0.8 alike shares none of them with a chance of (1 - 0.8 ** 4) ** 20 = 3e-5, and of less if it is more alike.
+BAND_ROWS, BAND_COUNT = 4, 20
+#: Most shingles of the home rows of one chunk.
+CHUNK_SHINGLES = 4_000_000
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BAND_ROWS * BAND_COUNT), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -279,49 +284,160 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified_links(documents: DataFrame, rows: DataFrame, width: int, near: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): a node is a distinct text, named by its smallest doc_id; links join texts that are ``least`` alike.
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its MinHashes. Sets that are j alike share a given band with a chance of j ** BAND_ROWS."""
+    least = np.full(BAND_ROWS * BAND_COUNT, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 4096):
+        x = h[k : k + 4096, None] * _ODD[0] + _ODD[1]
+        least = np.minimum(least, ((x ^ x >> np.uint64(32)) * _ODD[1]).min(0))
+    mixed = (least ^ least >> np.uint64(29)) * _ODD[0]
+    return mixed.reshape(BAND_COUNT, BAND_ROWS).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _bitmaps(sets: list[np.ndarray]):
+    """Parts of a matrix of bits, a row for each set and a column for each hash that occurs in two sets or more."""
+    _, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[inverse]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    width = max(64, 200_000_000 // len(sets) // 64 * 64)
+    for low in range(0, int((n > 1).sum()), width):
+        inside = (column >= low) & (column < low + width)
+        at = column[inside] - low
+        bits = np.zeros((len(sets), int(at.max()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row[inside], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        yield bits
+
+
+def _link_alike(home: list, label: np.ndarray, names: np.ndarray, others: list | None, other_names: np.ndarray, least: float, src: list, dst: list) -> None:
+    """Tests every pair of home rows (``others`` None), or of a home row with a smaller other one; only pairs ``least`` alike link and merge labels."""
+    m = len(home)
+    parts = list(_bitmaps(home + (others or [])))
+    size = np.array([len(s) for s in home + (others or [])])
+    first, rows = (0, m) if others is None else (m, len(others))
+    width = sum(p.shape[1] for p in parts) or 1
+    step = max(1, 4_000_000 // (m * width))
+    for a in range(first, first + rows, step):
+        b = min(a + step, first + rows)
+        both = np.zeros((b - a, m), np.int64)
+        for p in parts:
+            each = max(1, 4_000_000 // (m * (b - a)))
+            for w in range(0, p.shape[1], each):
+                both += np.bitwise_count(p[a:b, None, w : w + each] & p[None, :m, w : w + each]).sum(2, dtype=np.int64)
+        union = size[a:b, None] + size[None, :m] - both
+        near = np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least
+        near &= names[None, :] > other_names[a - first : b - first, None]
+        for j in np.flatnonzero(near.any(1)).tolist():
+            hit = np.flatnonzero(near[j])
+            groups, at = np.unique(label[hit], return_index=True)
+            mine = a + j if others is None else -1
+            if mine >= 0:
+                at, groups = at[groups != label[mine]], np.union1d(groups, label[mine])
+            src.extend(names[hit[at]].tolist()), dst.extend([int(other_names[a - first + j])] * len(at))
+            if len(groups) > 1:
+                label[np.isin(label, groups)] = groups[0]
+
+
+def _verify(least: float):
+    """Rows sorted by (key, chunk, side): home rows of a chunk are held, the others stream by in parts; gives a forest of verified links."""
+    def run(batches):
+        at, held, label, names, home = None, [], None, None, []
+        src: list = []
+        dst: list = []
+
+        def close():
+            nonlocal label, names, home
+            if label is None and held:
+                home, names = [s for _, s in held], np.array([h for h, _ in held])
+                label = np.arange(len(home))
+                if len(home) > 1:
+                    _link_alike(home, label, names, None, names, least, src, dst)
+
+        def stream(part):
+            if part and home:
+                _link_alike(home, label, names, [s for _, s in part], np.array([h for h, _ in part]), least, src, dst)
+
+        part: list = []
+        weight = 0
+        for batch in batches:
+            keys, chunks, sides, hs = (batch.column(k).to_pylist() for k in range(4))
+            for key, chunk, side, h, s in zip(keys, chunks, sides, hs, batch.column(4), strict=True):
+                if (key, chunk) != at:
+                    close(), stream(part)
+                    at, held, label, names, home, part, weight = (key, chunk), [], None, None, [], [], 0
+                found = np.frombuffer(s.as_py(), np.uint64)
+                if side == 0:
+                    held.append((h, found))
+                    continue
+                close()
+                part.append((h, found))
+                weight += len(found)
+                if len(part) >= CHUNK or weight > CHUNK_SHINGLES:
+                    stream(part)
+                    part, weight = [], 0
+            if len(src) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst)], names=["a", "b"])
+                src.clear(), dst.clear()
+        close(), stream(part)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst)], names=["a", "b"])
+
+    return run
+
+
+def verified_links(documents: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): a node is a distinct text, named by its hash h, with its smallest doc_id; links join texts that are ``least`` alike.
 
-    Candidates are texts of one fingerprint and fingerprints within ``near`` bits; each is checked on the texts' whole shingle sets.
+    Texts that share a MinHash band are a group. In each group all pairs are tested on their whole shingle sets, and what is returned
+    connects those that pass (a forest of true links), so no pair is left out because of one that fails. A group over ``CHUNK`` texts or
+    ``CHUNK_SHINGLES`` goes to several chunks, as in ``links``; bands with the same texts are one group.
     """
-    nodes = materialize(rows.groupBy("h", "fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")).where(F.col("first").isNotNull()), "simhash-firsts")
-    same = nodes.join(firsts, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    found = materialize(links(firsts, near), "simhash-links")
-    one, two = (firsts.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("fa", "na"), ("fb", "nb")))
-    across = found.distinct().join(one, F.col("a") == F.col("fa")).join(two, F.col("b") == F.col("fb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pairs = across.unionByName(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = materialize(pairs.where(F.col("a") != F.col("b")).distinct(), "simhash-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("h").alias("nh"))
-    small_batches(documents.sparkSession, 64)
+    spark = documents.sparkSession
+    small_batches(spark)
+    docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def banded(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            keys = pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "keys", "size"])
+
+    prints = materialize(docs.mapInArrow(banded, f"doc_id {kind}, h long, keys array<long>, size long"), "dedup-prints")
+    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size")), "dedup-nodes")
+    spread = nodes.select("h", "size", F.posexplode("keys").alias("band", "k")).select("h", "size", F.xxhash64("band", "k").alias("key"))
+    groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("n > 1")
+    groups = groups.groupBy("n", "s", "x", "y").agg(F.min("key").alias("g"))
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES, F.lit(1))).cast("int")
+    rows = materialize(spread.join(groups.select("g", chunks.alias("chunks")), F.col("key") == F.col("g")).select("key", "h", "chunks"), "dedup-groups")
+    needed = rows.select("h").distinct().join(nodes.select("h", "first"), "h").select(F.col("h").alias("nh"), "first")
+    small_batches(spark, 64)
 
     @F.arrow_udf("binary")
     def shingles(text: pa.Array) -> pa.Array:
         return pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in text.to_pylist()], pa.binary())
 
-    @F.arrow_udf("double")
-    def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
-        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
-        return pa.array([alike(x, y) for x, y in sets], pa.float64())
-
-    docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    texts = docs.join(needed, (F.col("doc_id") == F.col("node")) & (F.col("h") == F.col("nh"))).dropDuplicates(["node"])
-    sets = materialize(texts.select("node", shingles("text").alias("s")), "simhash-sets")
-    left, right = sets.select(F.col("node").alias("na"), F.col("s").alias("sa")), sets.select(F.col("node").alias("nb"), F.col("s").alias("sb"))
-    checked = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", likeness("sa", "sb").alias("alike"))
-    return nodes, materialize(checked.where(F.col("alike") >= least).select("a", "b"), "simhash-verified")
+    texts = docs.join(needed, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["nh"])
+    sets = materialize(texts.select("nh", shingles("text").alias("set")), "dedup-sets")
+    own = F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")
+    placed = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("key", "chunk", F.when(F.col("chunk") == own, 0).otherwise(1).cast("byte").alias("side"), "h")
+    placed = placed.join(sets, F.col("h") == F.col("nh")).select("key", "chunk", "side", "h", "set")
+    placed = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
+    return nodes, materialize(placed.mapInArrow(_verify(least), "a long, b long"), "dedup-verified")
 
 
-def first_of_each(documents: DataFrame, width: int = FILTER_WIDTH, near: int = FILTER_NEAR, least: float = ALIKE) -> DataFrame:
+def first_of_each(documents: DataFrame, width: int = FILTER_WIDTH, least: float = ALIKE) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id (of repeated rows, one). Others keep their columns and order.
 
     Groups are the components of verified links, so what is like nothing else always stays.
     """
     from pyspark.sql import Window as W
 
-    nodes, found = verified_links(documents, printed(documents, width), width, near, least)
-    gone = components(found).select(F.col("node").alias("gone"))
-    keep = nodes.join(gone, F.col("node") == F.col("gone"), "left_anti").select(F.col("node").alias("__d"), F.col("h").alias("__h"))
+    nodes, found = verified_links(documents, width, least)
+    below = components(found)
+    groups = materialize(below.unionByName(below.select(F.col("root").alias("node"), "root").distinct()), "dedup-components")
+    alone = nodes.join(groups, F.col("h") == F.col("node"), "left_anti").select(F.col("first").alias("__d"), F.col("h").alias("__h"))
+    best = nodes.join(groups, F.col("h") == F.col("node")).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h")).alias("m"))
+    keep = alone.unionByName(best.select(F.col("m.first").alias("__d"), F.col("m.h").alias("__h")))
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     doc = f"c{names.index('doc_id')}"

@@ -37,3 +37,48 @@ def test_stages(spark, tmp_path):
 def test_parts_are_whole():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "decontamination", "mixing", "token_ids"]
     assert all(m.__doc__ for m in (decontam, mixing, quality, simhash))
+
+
+def _edited(rng, words, share):
+    """A copy with a share of its words replaced, each by a word of its own."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), int(share * len(out))):
+        out[k] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def _kept_by_brute_force(texts, width=5, least=0.8):
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= least * (len(a) + len(sets[j]) - both) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def test_near_dedup_of_large_groups_of_edited_copies(spark):
+    rng, texts = random.Random(12), []
+    for _ in range(2):
+        words = prose(rng, 120).split()
+        texts.append(" ".join(words))
+        texts += [" ".join(_edited(rng, words, rng.choice((0.01, 0.02, 0.025, 0.04)))) for _ in range(300)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
+
+
+def test_near_dedup_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(13)
+    words = prose(rng, 120).split()
+    texts = [" ".join(_edited(rng, words, rng.choice((0.01, 0.02, 0.03)))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
