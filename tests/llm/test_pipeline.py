@@ -82,3 +82,12 @@ def test_near_dedup_over_several_chunks(spark, monkeypatch):
     texts = [" ".join(_edited(rng, words, rng.choice((0.01, 0.02, 0.03)))) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
+
+
+def test_near_dedup_finds_isolated_pairs(spark):
+    rng, texts = random.Random(14), []
+    for _ in range(150):
+        words = prose(rng, 300).split()
+        texts += [" ".join(words), " ".join(_edited(rng, words, 0.02))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
