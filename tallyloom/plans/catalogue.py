@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import READ_ONLY, STATUS_OUTPUT, WORKFLOW
-from ..functions.scalar import REDACTIONS, estimate_tokens, hash_text
+from ..functions.scalar import REDACTIONS, estimate_tokens, hash_text, redact
 from ..operators import audit, linking, mining
 from .shared import written
 
@@ -494,6 +494,21 @@ def redact_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.substring(text, 1, 2000).alias("redacted"))
 
 
+def _whole_redaction_sql(column: str) -> str:
+    """All seven rules. RE2 has no look-behind: a mark goes into home folders that follow a word character, and out at the end."""
+    column, mark = _redaction_sql(column), "\ue000"
+    home = rf"""/(?:Users|home)/[^\s/'"]+|[A-Za-z]:\\Users\\[^\\\s]+"""
+    for pattern, replacement in ((r"(\w/)((?:Users|home)/)", rf"\1{mark}\2"), (r"(\w[A-Za-z]:)(\\Users\\)", rf"\1{mark}\2"), (home, "<home>")):
+        column = "regexp_replace({}, '{}', '{}', 'g')".format(column, _re2(pattern), replacement)
+    return f"replace({column}, '{mark}', '')"
+
+
+@query(f"SELECT doc_id, {_whole_redaction_sql('text')} AS redacted FROM documents")
+def redact_whole_documents(spark, sf_dir):
+    """all seven rules on whole texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("redacted"))
+
+
 @query("SELECT doc_id, CAST(greatest(200, ceil(length(text) / 4.0)) AS BIGINT) AS compact, CAST(greatest(0, n_chars - greatest(200, ceil(length(text) / 4.0))) AS BIGINT) AS reduction FROM documents WHERE text IS NOT NULL")
 def budget_clamp(spark, sf_dir):
     """F29, F30."""

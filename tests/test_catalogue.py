@@ -89,3 +89,14 @@ def test_redaction_is_the_same_in_both_forms(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(redact(F.col("t"))).collect()]
     assert got == [wording.redact_text(t) for t in texts] and all(g != t for g, t in zip(got, texts, strict=True))
     assert "abc" not in json.dumps(got[0])
+
+
+def test_whole_texts_are_redacted_by_all_rules(spark, tmp_path):
+    homes = ["/home/me/x", "a/home/me", "/home/a/home/b", "/home/a-/home/b", r"C:\Users\me\x", r"xC:\Users\me", "see '/Users/you' and /home/z", "_/home/q", "/Users/C:\\Users\\d", "/home/"]
+    texts = [*homes, "word " * 1000 + "password=abcdefgh /home/me/x", "password=/home/me", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: None if t is None else wording.redact_text(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["redacted"] for r in catalogue.QUERIES["redact_whole_documents"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(catalogue.ORACLES["redact_whole_documents"]).fetchall()) == want
