@@ -14,7 +14,7 @@ from .operators.mining import Options
 from .plans import wording
 from .plans.store import Store
 from .session import local_session
-from .sources.transcripts import default_roots
+from .sources.files import default_roots
 
 
 def write_private(path: str, text: str) -> None:
@@ -43,6 +43,7 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument(name, type=int, default=value)
     for name in ("--model-usage", "--include-exploratory"):
         p.add_argument(name, action="store_true")
+    p.add_argument("--keep-nested", action="store_true", help="taken and ignored: variants always belong to a family")
     p = commands.add_parser("candidates", parents=[shared])
     p.add_argument("--json", action="store_true")
     p.add_argument("--limit", type=int, default=20)

@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import READ_ONLY, STATUS_OUTPUT, WORKFLOW
-from ..functions.scalar import REDACTIONS, estimate_tokens, hash_text, redact
+from ..functions.scalar import estimate_tokens, hash_text
 from ..operators import audit, linking, mining
-from .shared import written
+from ..shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -395,7 +395,7 @@ FROM (SELECT *, role <> 'assistant' AS closes, coalesce(lag(role <> 'assistant')
 def stream_turns(spark, sf_dir):
     """Gaps and islands."""
     rows = read(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", linking.stream_turn(F.col("role") != "assistant", ["conv_id"], ["turn"]).alias("model_turn"))
+    return rows.select("conv_id", "turn", linking.stream_turn(F.col("role") == "assistant", F.col("role") != "assistant", ["conv_id"], ["turn"]).alias("model_turn"))
 
 
 @query(sql("SELECT session, position, dense_rank() OVER (PARTITION BY session ORDER BY first_) AS turn FROM (SELECT *, min(position) OVER (PARTITION BY session, k) AS first_ FROM log)"))
@@ -433,8 +433,8 @@ def empty_poll_running_sum(spark, sf_dir):
       SELECT *, sum(CAST(k % 29 = 0 AS INT)) OVER (PARTITION BY session ORDER BY position) AS epoch_ FROM log)))"""))
 def identical_result_reuse(spark, sf_dir):
     """W10, W11."""
-    rows = action_log(spark, sf_dir).withColumn("reset", F.col("k") % 29 == 0)
-    return linking.identical_results(rows, "session", "position", "reset", "event_type", "turn", "position", "output_tokens", 5, 200).select("session", "position", "repeat_of", "reduction")
+    epoch = linking.request_number(F.col("k") % 29 == 0, ["session"], ["position"])
+    return linking.identical_results(action_log(spark, sf_dir).withColumn("epoch", epoch), "session", "position", "epoch", "event_type", "turn", "position", "output_tokens").select("session", "position", "repeat_of", "reduction")
 
 
 @query(sql("""SELECT session, position, CAST(total - coalesce(b, 0) AS BIGINT) AS delta, count(*) OVER (PARTITION BY session, turn) = 1 AS trusted FROM (
@@ -442,7 +442,8 @@ def identical_result_reuse(spark, sf_dir):
 def counter_delta(spark, sf_dir):
     """W8, A22."""
     total = F.sum(F.when(F.col("k") % 2 == 0, F.col("output_tokens")).otherwise(0)).over(W.partitionBy("session").orderBy("position").rowsBetween(W.unboundedPreceding, 0))
-    return linking.counter_changes(action_log(spark, sf_dir).withColumn("total", total), "session", "position", "turn", "total").select("session", "position", "delta", "trusted")
+    rows = linking.counter_changes(action_log(spark, sf_dir).withColumn("totals", F.array(total)), "session", "position", "turn", "totals")
+    return rows.select("session", "position", F.col("delta")[0].alias("delta"), "trusted")
 
 
 @query(sql("SELECT session, label, success, position, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session, label, success ORDER BY position) AS r FROM log) WHERE r = 1"))
@@ -475,40 +476,6 @@ def scan_summary(spark, sf_dir):
     return duplicate_files(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def _re2(pattern: str) -> str:
-    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
-
-
-def _redaction_sql(column: str) -> str:
-    for pattern, replacement in REDACTIONS[:6]:
-        column = f"regexp_replace({column}, '{_re2(pattern)}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
-    return column
-
-
-@query(f"SELECT doc_id, substr({_redaction_sql('text')}, 1, 2000) AS redacted FROM documents")
-def redact_documents(spark, sf_dir):
-    """all rules but the one for home folders (its look-behind has no RE2 form), then the cut of exports."""
-    text = F.col("text")
-    for pattern, replacement in REDACTIONS[:6]:
-        text = F.regexp_replace(text, pattern.replace("(?iU)", "(?i)").replace("(?U)", ""), replacement)
-    return read(spark, sf_dir, "documents").select("doc_id", F.substring(text, 1, 2000).alias("redacted"))
-
-
-def _whole_redaction_sql(column: str) -> str:
-    """All seven rules. RE2 has no look-behind: a mark goes into home folders that follow a word character, and out at the end."""
-    column, mark = _redaction_sql(column), "\ue000"
-    home = rf"""/(?:Users|home)/[^\s/'"]+|[A-Za-z]:\\Users\\[^\\\s]+"""
-    for pattern, replacement in ((r"(\w/)((?:Users|home)/)", rf"\1{mark}\2"), (r"(\w[A-Za-z]:)(\\Users\\)", rf"\1{mark}\2"), (home, "<home>")):
-        column = "regexp_replace({}, '{}', '{}', 'g')".format(column, _re2(pattern), replacement)
-    return f"replace({column}, '{mark}', '')"
-
-
-@query(f"SELECT doc_id, {_whole_redaction_sql('text')} AS redacted FROM documents")
-def redact_whole_documents(spark, sf_dir):
-    """all seven rules on whole texts."""
-    return read(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("redacted"))
-
-
 @query("SELECT doc_id, CAST(greatest(200, ceil(length(text) / 4.0)) AS BIGINT) AS compact, CAST(greatest(0, n_chars - greatest(200, ceil(length(text) / 4.0))) AS BIGINT) AS reduction FROM documents WHERE text IS NOT NULL")
 def budget_clamp(spark, sf_dir):
     """F29, F30."""
@@ -516,58 +483,3 @@ def budget_clamp(spark, sf_dir):
 
     short = budgeted(estimate_tokens(F.col("text")), 200)
     return read(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", short.alias("compact"), saved(F.col("n_chars"), short).alias("reduction"))
-
-
-_ODD = "warning|error|fail|exception|fatal|traceback|security|deprecated|skip|xfail"
-
-
-@query(f"""WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN text LIKE '%\n' ESCAPE '!' THEN string_split(text, chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM documents WHERE text IS NOT NULL)),
-r AS (SELECT *, trim(line) <> '' AS full_, row_number() OVER (PARTITION BY doc_id, trim(line) <> '' ORDER BY i DESC) AS tail, regexp_matches(line, '(?i){_ODD}') AS odd FROM l),
-k AS (SELECT *, (full_ AND tail <= 12) OR bool_or(odd) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS keep FROM r)
-SELECT doc_id, count(*) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM k WHERE keep GROUP BY doc_id""")
-def validation_reducer(spark, sf_dir):
-    """F18 in window form: last twelve lines with text, and two lines around diagnostics."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    full = F.length(F.trim("line")) > 0
-    tail = F.row_number().over(W.partitionBy("doc_id", full).orderBy(F.desc("i")))
-    near = F.bool_or(F.col("odd")).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(-2, 2))
-    rows = rows.withColumns({"odd": F.col("line").rlike(f"(?i){_ODD}"), "tail": tail, "full": full})
-    rows = rows.withColumn("keep", (F.col("full") & (F.col("tail") <= 12)) | near)
-    return rows.where("keep").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).cast("long").alias("chars"))
-
-
-# --- static reading of tool calls (no SQL) ----------------------------------------------------------------------------
-
-#: Commands and scripts made up for these queries.
-COMMANDS = (
-    "cd app && python -m pytest -q tests; git status --short", "git -C lib diff --stat HEAD~1 | head -5", "gh run view 12 --log-failed", "npm run build && npm test -- --watch=false",
-    "rg -n todo src | wc -l", "cargo clippy || true", "FOO=1 timeout 30 dotnet test --list-tests", "cat a.txt > b.txt", "echo done", "ruff check . & eslint src",
-)
-SCRIPTS = (
-    "const r = await tools.exec_command({cmd: 'pytest -q', workdir: \"/w\"}); text(r);", "await Promise.all([tools.read_file({path: `a`}), tools.shell({command: ['git', 'log']})]);",
-    "for (const f of list) { await tools.shell({command: f}); }", "tools.shell({command: `ls ${dir}`})",
-)
-
-
-def _operations(rows: DataFrame, tool: str) -> DataFrame:
-    from ..functions.shell import Reader
-    from ..schemas import OPERATION
-
-    @F.udf(f"array<{OPERATION}>")
-    def read_call(command):
-        return [o.record() for o in Reader().operations(tool, {"command": command}, "/repo")]
-
-    each = rows.withColumn("op", F.explode(read_call("command")))
-    return each.select("n", "command", "op.kind", "op.variant", "op.label", "op.cwd", F.concat_ws(" ", "op.argv").alias("argv"), "op.template", "op.exact")
-
-
-@query()
-def normalize_commands(spark, sf_dir):
-    """Operations of literal commands."""
-    return _operations(spark.createDataFrame(list(enumerate(COMMANDS)), "n int, command string"), "bash")
-
-
-@query()
-def wrapped_calls(spark, sf_dir):
-    """Operations of literal wrapper scripts."""
-    return _operations(spark.createDataFrame(list(enumerate(SCRIPTS)), "n int, command string"), "exec")

@@ -22,6 +22,10 @@ from ..operators import audit, mining
 from ..sources import transcripts
 from . import wording
 
+#: Version of the store's layout; older stores are brought up to it when they are opened.
+SCHEMA = 2
+#: Messages that a summary shows of each kind; the table ``problems`` has all of them.
+SHOWN = 1_000
 DERIVED = ("candidates", "occurrences", "members", "credits")
 
 
@@ -37,9 +41,12 @@ class Store:
         os.chmod(path, 0o700)
         self.spark, self.root, self._meta = spark, path, path / "store.json"
         if not self._meta.exists():
-            self._save({"schema": 1, "version": None, "analysis": None, "audit": None})
-        if self.meta()["schema"] != 1:
-            raise ValueError(f"unsupported store schema {self.meta()['schema']}")
+            self._save({"schema": SCHEMA, "version": None, "analysis": None, "audit": None})
+        found = self.meta()["schema"]
+        if found not in range(1, SCHEMA + 1):
+            raise ValueError(f"unsupported store schema {found}")
+        if found < SCHEMA:  # what was derived by older rules goes; files are parsed again when they are scanned next
+            self._save(self.meta() | {"schema": SCHEMA, "analysis": None, "audit": None})
 
     # tables
 
@@ -52,8 +59,8 @@ class Store:
             json.dump(meta, f)
         part.replace(self._meta)
 
-    def table(self, name: str) -> DataFrame:
-        version = self.meta()["version"]
+    def table(self, name: str, version: str | None = None) -> DataFrame:
+        version = version or self.meta()["version"]
         if version is None:
             raise ValueError("nothing has been scanned yet")
         return self.spark.read.parquet(str(self.root / version / name))
@@ -64,28 +71,38 @@ class Store:
     # scan
 
     def scan(self, paths, source: str | None = None, matchers: str | None = None) -> dict:
-        """Reads what is new or changed; returns counts. ``matchers`` is the text of a JSON array of rules."""
+        """Reads what is new or changed; returns counts. ``matchers`` is the text of a JSON array of rules.
+
+        Time and size of every file are compared with the manifest first; only files that differ are opened. One that changes or goes while
+        it is read is left for the next scan.
+        """
         transcripts.load_matchers(matchers)
         version = transcripts.parser_version(source, matchers)
-        files = transcripts.discover(paths)
-        summary = {"discovered": len(files), "imported": 0, "unchanged": 0, "duplicates": 0, "unsupported": 0, "actions": 0, "warnings": [], "errors": []}
-        old = self.table("parsed") if self.meta()["version"] else self.spark.createDataFrame([], schemas.PARSED)
-        manifest = self.table("sources") if self.meta()["version"] else self.spark.createDataFrame([], schemas.SOURCES)
-        if not files:
-            return summary
-        found = transcripts.scan(self.spark, files)
+        there, now = self.meta()["version"] is not None, f"v-{uuid.uuid4().hex}"
+        found = transcripts.listed(self.spark, paths)
+        old = self.table("parsed") if there else self.spark.createDataFrame([], schemas.PARSED)
+        manifest = self.table("sources") if there else self.spark.createDataFrame([], schemas.SOURCES)
         known = manifest.where(F.col("parser_version") == version).select("path", "mtime", "size")
-        fresh = found.join(F.broadcast(known), ["path", "mtime", "size"], "left_anti")
-        rows = transcripts.parsed(fresh, source, matchers)
-        now = f"v-{uuid.uuid4().hex}"
-        self._write(now, "fresh", rows)
-        rows = self.spark.read.schema(schemas.PARSED).parquet(str(self.root / now / "fresh"))
+        fresh = found.join(known, ["path", "mtime", "size"], "left_anti")
+        self._write(now, "fresh", fresh)
+        fresh = self.spark.read.parquet(str(self.root / now / "fresh"))
+        summary = {"discovered": found.count(), "imported": 0, "unchanged": 0, "duplicates": 0, "unsupported": 0, "actions": 0, "warnings": [], "errors": []}
+        names = [r["path"] for r in fresh.select("path").toLocalIterator()]  # Spark's own reader lists its files on the driver, too
+        if not names:
+            return summary | {"unchanged": summary["discovered"]}
+        rows = transcripts.parsed(transcripts.read(self.spark, names), source, matchers)
+        self._write(now, "read", rows)
+        rows = self.spark.read.schema(schemas.PARSED).parquet(str(self.root / now / "read"))
+        self._write(now, "problems", self._unsteady(fresh, rows, [n for n in names if transcripts.is_plain(n)]))
+        problems = self.table("problems", now)
+        state = rows.join(problems, "path", "left_anti")
 
         # A malformed replacement keeps what was imported before; so does a file that can't be read.
         kept = old.select("path", F.col("digest").alias("old_digest"), F.col("parser_version").alias("old_version"))
-        state = rows.join(kept, "path", "left")
+        state = state.join(kept, "path", "left")
         malformed = F.col("old_digest").isNotNull() & (F.size("warnings") > 0)
         bad = F.col("error").isNotNull() | malformed
+        problems = problems.unionByName(state.where(bad).select("path", F.lit("error").alias("kind"), F.coalesce("error", F.lit("malformed records; previous import retained")).alias("what")))
         good = state.where(~bad)
         same = (F.col("old_digest") == F.col("digest")) & (F.col("old_version") == F.col("parser_version"))
         good = good.withColumn("same", F.coalesce(same, F.lit(False)))
@@ -95,11 +112,12 @@ class Store:
         status = F.when(F.col("same"), "imported").when(F.col("twin"), "duplicate").when(F.size("actions") > 0, "imported").otherwise("unsupported")
         good = good.withColumn("status", status)
         self._write(now, "judged", good.select(*rows.columns, "same", "status"))
-        judged = self.spark.read.parquet(str(self.root / now / "judged"))
+        judged = self.table("judged", now)
+        problems = problems.unionByName(judged.select("path", F.lit("warning").alias("kind"), F.explode("warnings").alias("what")))
+        self._write(now, "problems-all", problems)
 
         imported = judged.where("status = 'imported'").select(*rows.columns)
-        table = old.join(judged.select("path"), "path", "left_anti").unionByName(imported)
-        self._write(now, "parsed", table)
+        self._write(now, "parsed", old.join(judged.select("path"), "path", "left_anti").unionByName(imported))
         manifest = manifest.join(judged.select("path"), "path", "left_anti").unionByName(judged.select(*manifest.columns))
         self._write(now, "sources", manifest)
         sessions, actions, usage = transcripts.tables(self.spark.read.schema(schemas.PARSED).parquet(str(self.root / now / "parsed")))
@@ -110,12 +128,10 @@ class Store:
         for r in new.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("actions")).alias("a")).collect():
             summary[{"imported": "imported", "duplicate": "duplicates", "unsupported": "unsupported"}[r["status"]]] = r["n"]
             summary["actions"] += (r["a"] or 0) if r["status"] == "imported" else 0
-        read = rows.count()
-        summary["unchanged"] = len(files) - read + judged.where("same").count()
-        for r in state.where(bad).select("path", "error").orderBy("path").collect():
-            summary["errors"].append(f"{Path(r['path']).name}: {r['error'] or 'malformed records; previous import retained'}")
-        for r in judged.where(F.size("warnings") > 0).select("path", "warnings").orderBy("path").collect():
-            summary["warnings"] += [f"{Path(r['path']).name}: {w}" for w in r["warnings"]]
+        summary["unchanged"] = summary["discovered"] - len(names) + judged.where("same").count()
+        for kind in ("error", "warning"):
+            shown = self.table("problems-all", now).where(F.col("kind") == kind).orderBy("path", "what").limit(SHOWN).collect()
+            summary[f"{kind}s"] = [f"{Path(r['path']).name}: {r['what']}" for r in shown]
         meta = self.meta()
         changed = bool(summary["imported"]) or (old.join(new.select("path"), "path", "left_semi").limit(1).count() > 0)
         if changed or meta["version"] is None:
@@ -127,6 +143,16 @@ class Store:
         self._save(meta | {"version": now})
         return summary
 
+    def _unsteady(self, fresh: DataFrame, rows: DataFrame, plain: list[str]) -> DataFrame:
+        """(path, kind, what) of files that changed or went between listing and now; files in other stores change as wholes and are compared as read."""
+        as_read = fresh.join(rows.select("path", F.col("mtime").alias("m"), F.col("size").alias("s")), "path", "left")
+        after = transcripts.listed(self.spark, [p for p in plain if Path(p).exists()]).select("path", F.col("mtime").alias("m2"), F.col("size").alias("s2"))
+        both = as_read.join(after, "path", "left").withColumn("plain", F.instr("path", "://") == 0)
+        gone = F.col("s").isNull() | (F.col("plain") & F.col("s2").isNull())
+        moved = (F.col("size") != F.col("s")) | (F.col("mtime") != F.col("m")) | (F.col("plain") & ((F.col("size") != F.col("s2")) | (F.col("mtime") != F.col("m2"))))
+        kind, what = F.when(gone, "error").when(moved, "warning"), F.when(gone, "disappeared while reading").otherwise("changed while reading; retry later")
+        return both.select("path", kind.alias("kind"), what.alias("what")).where(F.col("kind").isNotNull())
+
     # analysis
 
     def _current(self) -> None:

@@ -10,16 +10,21 @@ from ..sources import transcripts
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def parsed_stream(spark: SparkSession, folder: str, source: str | None = None, matchers: str | None = None) -> DataFrame:
-    """Rows of schema ``PARSED``, one for each new file."""
+def file_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """path, mtime, size and content of each new file."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").load(folder)
-    files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    return transcripts.parsed(files, source, matchers)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
-def append_to(rows: DataFrame, table: str, checkpoint: str, once: bool = False):
-    """Appends to a Parquet table, exactly once for each file."""
-    writer = rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+def parse_to(files: DataFrame, table: str, checkpoint: str, source: str | None = None, matchers: str | None = None, once: bool = False):
+    """Parses each micro-batch of files into a Parquet table (schema ``PARSED`` and the batch's number).
+
+    A batch that is run again after a failure overwrites its own folder, so each file is there exactly once.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        transcripts.parsed(batch, source, matchers).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

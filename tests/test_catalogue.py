@@ -8,12 +8,13 @@ import duckdb
 import pytest
 
 from tallyloom.operators import mining
-from tallyloom.plans import catalogue, wording
+from tallyloom.plans import catalogue, sessions, wording
 
 DATA = Path("/root/testdata/sf0.001")
 #: What the others are made of; the whole catalogue is compared by the driver.
 CHOSEN = ("family_scores", "episode_rollup", "portfolio_credit", "usage_by_reason", "diagnostics", "request_numbering", "assistant_carry", "stream_turns", "message_turns", "sticky_outcome",
-          "asof_process_link", "empty_poll_running_sum", "identical_result_reuse", "counter_delta", "result_dedup", "duplicate_files", "redact_documents", "budget_clamp", "validation_reducer")
+          "asof_process_link", "empty_poll_running_sum", "identical_result_reuse", "counter_delta", "result_dedup", "duplicate_files", "budget_clamp", "parsed_actions", "parsed_operations", "parsed_usage", "parsed_files", "conversation_files", "result_outcomes", "validation_reducer",
+          "normalize_commands", "wrapped_calls", "report_figures", "usage_totals", "redact_documents", "export_examples", "custom_matchers")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
@@ -28,8 +29,8 @@ def test_sql_twin(spark, name):
     assert rows == Counter(str(sorted(r.asDict().items())) for r in catalogue.QUERIES[name](spark, str(DATA)).collect())
 
 
-def test_every_query_but_literal_ones_has_a_twin():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"normalize_commands", "wrapped_calls"}
+def test_every_query_has_a_twin():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES) and sessions.parsed
 
 
 def _segments(actions, most):
@@ -96,7 +97,7 @@ def test_whole_texts_are_redacted_by_all_rules(spark, tmp_path):
     texts = [*homes, "word " * 1000 + "password=abcdefgh /home/me/x", "password=/home/me", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: None if t is None else wording.redact_text(t) for i, t in enumerate(texts)}
-    assert {r["doc_id"]: r["redacted"] for r in catalogue.QUERIES["redact_whole_documents"](spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["redacted"] for r in catalogue.QUERIES["redact_documents"](spark, str(tmp_path)).collect()} == want
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert dict(con.execute(catalogue.ORACLES["redact_whole_documents"]).fetchall()) == want
+    assert dict(con.execute(catalogue.ORACLES["redact_documents"]).fetchall()) == want

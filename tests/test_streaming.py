@@ -1,19 +1,18 @@
-from made import base, put
+from made import put, working
 
 from tallyloom.streaming import ingest
 
 
 def test_new_files_are_parsed_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    files = base()
-    put(tmp_path / "in", {"a.json": files["claude-a.json"]})
+    put(tmp_path / "in", {"a.json": working("a").messages()})
 
     def go():
-        ingest.append_to(ingest.parsed_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at"), once=True).awaitTermination()
+        ingest.parse_to(ingest.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at"), once=True).awaitTermination()
         return sorted((r["source"], len(r["actions"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
     assert go() == [("claude", 3)]
-    put(tmp_path / "in", {"b.json": files["codex-a.json"]})
+    put(tmp_path / "in", {"b.json": working("b").stream()})
     assert go() == [("claude", 3), ("codex", 3)]
 
 
