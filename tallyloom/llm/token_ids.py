@@ -19,9 +19,11 @@ their own.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,64 +35,65 @@ BLOCK_IDS, RUN = 1 << 18, 1024
 #: Fixed values of the format: ids in a word and bits of an id, by selector (0 is the escape).
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-#: Chunks, and parts of chunks, whose ids a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Chunks whose ids a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: Bytes of text that a worker looks at in one go.
+TOGETHER = 8 << 20
 
 _counts, _widths = np.array(COUNTS), np.array(WIDTHS)
 
 
+def _selectors(ids: np.ndarray) -> np.ndarray:
+    """For each place, the selector that takes most ids from there on, up to its run's end. ids: whole runs, zeros at the end."""
+    width = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int8)
+    top = ids >> np.uint64(32)
+    if top.any():
+        width = np.where(top > 0, 32 + np.frexp(top.astype(np.float64))[1], width).astype(np.int8)
+    # The widest of the next c ids, for growing c; what lies past a run has no width.
+    most = np.zeros((len(ids) // RUN, RUN + COUNTS[1]), np.int8)
+    most[:, :RUN] = width.reshape(-1, RUN)
+    best, have = np.zeros((len(most), RUN), np.int8), 1
+    for s in range(15, 0, -1):
+        while have < COUNTS[s]:
+            more = min(have, COUNTS[s] - have)
+            most[:, :-more] = np.maximum(most[:, :-more], most[:, more:])
+            have += more
+        best = np.where(most[:, :RUN] <= WIDTHS[s], np.int8(s), best)
+    return best.reshape(-1)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, offsets of the runs) of unsigned 64-bit ids; greedy, all runs in step."""
+    """(words, offsets of the runs) of unsigned 64-bit ids; each word takes as many ids as it can."""
     n = len(ids)
     runs = -(-n // RUN)
     if not runs:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    grid = np.zeros((runs, RUN + 128), np.uint64)
-    flat = np.zeros(runs * RUN, np.uint64)
+    flat = np.zeros(runs * RUN + COUNTS[1], np.uint64)
     flat[:n] = ids
-    grid[:, :RUN] = flat.reshape(runs, RUN)
-    length = np.full(runs, RUN)
-    length[-1] = n - (runs - 1) * RUN
-    # Where the first id too wide for b bits comes, at or after each place (past the run if none does).
-    body = grid[:, :RUN]
-    width = np.frexp((body & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int8)
-    top = body >> np.uint64(32)
-    if top.any():
-        width = np.where(top > 0, 32 + np.frexp(top.astype(np.float64))[1], width).astype(np.int8)
-    place, last = np.arange(RUN, dtype=np.int16), length[:, None].astype(np.int16)
-    width[place >= last] = 0
-    best = np.zeros((runs, RUN), np.int8)
-    for s in range(15, 0, -1):
-        first = np.where(width > WIDTHS[s], place, np.int16(RUN + 1))
-        first = np.minimum.accumulate(first[:, ::-1], axis=1)[:, ::-1]
-        best[np.minimum(place + np.int16(COUNTS[s]), last) <= first] = s
-    step = _counts[best]
-    at, rows, every = np.zeros(runs, np.int64), np.arange(runs), []
-    while len(rows):
-        every.append((rows, at[rows].copy()))
-        at[rows] += step[rows, at[rows]]
-        rows = rows[at[rows] < length[rows]]
-    row, col = np.concatenate([r for r, _ in every]), np.concatenate([c for _, c in every])
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
-    sel = best[row, col]
+    best = _selectors(flat[: runs * RUN])
+    place = np.arange(runs * RUN)
+    step = np.minimum(_counts[best], RUN - place % RUN).astype(np.uint8).tobytes()
+    at, k = [], 0
+    while k < n:
+        at.append(k)
+        k += step[k]
+    at = np.array(at)
+    sel = best[at]
     size = np.where(sel == 0, 2, 1)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    for s in range(16):
+    for s in np.unique(sel).tolist():
         k = np.flatnonzero(sel == s)
-        if not len(k):
-            continue
         if s == 0:
-            words[where[k] + 1] = grid[row[k], col[k]]
+            words[where[k] + 1] = flat[at[k]]
             continue
-        value = np.full(len(k), s, np.uint64)
+        value, end = np.full(len(k), s, np.uint64), (at[k] // RUN + 1) * RUN
         if s > 1:
             for j in range(COUNTS[s]):
-                value |= grid[row[k], np.minimum(col[k] + j, RUN)] << np.uint64(4 + j * WIDTHS[s])
+                inside = at[k] + j
+                value |= np.where(inside < end, flat[inside], np.uint64(0)) << np.uint64(4 + j * WIDTHS[s])
         words[where[k]] = value
-    first = np.searchsorted(row, np.arange(runs))
-    return words, where[first].astype(np.uint32)
+    return words, where[np.searchsorted(at, np.arange(runs) * RUN)].astype(np.uint32)
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -157,13 +160,17 @@ def _visible_bytes() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer lower-cases, drops white space, never looks past it, and always cuts between letters and signs. So a text's ids are
-    those of its chunks between ASCII spaces, and a chunk's those of its beginning and the signs after its last letter; each worker has
-    the library work out a part once (its BPE model alone where the part is plain letters). A text that spells a special
-    token is encoded whole.
+    The tokenizer composes letters (NFC), turns white space into cuts that no token crosses, lower-cases, and always cuts
+    between a letter and a sign other than an apostrophe. So a text's ids are those of its chunks between ASCII spaces, one after another, and
+    each worker has the library encode a chunk once. Signs at a chunk's end are encoded apart only after a composed letter below
+    ``LATIN`` (for which the tests try every letter and sign), and there its BPE model alone does for plain letters. A-Z are lower-cased ahead only
+    where no combining mark could compose with them. A text that spells a special token is encoded in one piece.
     """
 
     SIGNS = b".,!?;:|#$%&*"
+    LATIN = "\u0250"
+    #: First bytes of U+0300 to U+036F, the marks that compose with ASCII letters.
+    MARKS = (b"\xcc", b"\xcd")
 
     def __init__(self, name: str = TOKENIZER):
         import os
@@ -178,39 +185,51 @@ class Encoder:
         self.cuts = os.path.basename(name) == TOKENIZER
         self.shown = _visible_bytes()
         self.chunks = Remembered(self._chunk, REMEMBERED)
-        self.parts = Remembered(self._part, REMEMBERED)
 
     def _part(self, part: bytes) -> bytes:
-        import unicodedata
-
         text = part.decode()
-        plain = unicodedata.normalize("NFC", text).lower()
-        # Greek sigma has two small forms, which lower() and the library choose differently.
-        if plain.isalpha() and text.isalpha() and "\u03c2" not in plain and "\u03c3" not in plain:
-            ids = [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.shown))]
+        low = text.lower()
+        if max(text) < self.LATIN and text.isalpha() and low.isalpha():
+            ids = [t.id for t in self.model.tokenize(low if part.isascii() else low.encode().decode("latin-1").translate(self.shown))]
         else:
             ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         start = chunk.rstrip(self.SIGNS)
-        if not start or len(start) == len(chunk) or not start.decode().lower()[-1].isalpha():
-            return self.parts[chunk]  # no signs at the end, or signs that may belong to what is before them
-        return self.parts[start] + self.parts[chunk[len(start) :]]
+        if start and len(start) < len(chunk) and (last := start.decode()[-1]) < self.LATIN and last.isalpha() and last.lower().isalpha():
+            return self.chunks[start] + self.chunks[chunk[len(start) :]]
+        return self._part(chunk)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(np.zeros(0, "<u4"))
-            elif "<|" in t or not self.cuts:
-                out.append(self.whole(t))
-            else:
-                out.append(np.frombuffer(b"".join(map(self.chunks.__getitem__, t.encode("utf-8", "replace").lower().split())), "<u4"))
-        return out
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text that spells a special token or has combining marks, as little-endian 32-bit integers."""
+        if "<|" in text or not self.cuts:
+            return self.whole(text).tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "replace").split()))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's). A chunk is looked up once for each batch."""
+        raw = texts.fill_null("").cast(pa.binary())
+        odd = np.full(len(raw), not self.cuts)
+        for part in (b"<|", *self.MARKS):
+            odd |= pc.match_substring(raw, part).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts.fill_null(""))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        found = split.flatten().dictionary_encode()
+        code, first = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(split.offsets)
+        first = (first - first[0]).astype(np.int64)
+        pieces = [self.chunks[c] if c else b"" for c in found.dictionary.cast(pa.binary()).to_pylist()]
+        for k in np.flatnonzero(odd).tolist():  # its one chunk, the empty string, gives way to the whole text
+            code[first[k]] = len(pieces)
+            pieces.append(self.encoded(texts[k].as_py()))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        start, n = np.cumsum(size) - size, size[code]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate(([0], ends))[first])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -218,14 +237,28 @@ _encoders: dict[str, Encoder] = {}
 FILE = "shard int, before long, doc_ids array<{kind}>, lengths array<int>, words binary, offsets binary, n_ids long"
 
 
+def together(batches, most: int):
+    """Joins small batches until they hold ``most`` bytes; leaves out empty ones."""
+    held: list = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _writer(name: str, end: int, kind: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
         encoder = _encoders.get(name) or _encoders.setdefault(name, Encoder(name))
-        shard, before = TaskContext.get().partitionId(), 0
-        ids: list = []
+        shard, before, last = TaskContext.get().partitionId(), 0, end.to_bytes(4, "little")
+        ids: list[np.ndarray] = []
         docs: list = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         def block():
@@ -233,21 +266,29 @@ def _writer(name: str, end: int, kind: pa.DataType):
             flat = np.concatenate(ids).astype(np.uint64)
             words, offsets = encode(flat)
             out = pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())),
+                pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())),
                 pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([offsets.astype("<u4").tobytes()], pa.binary()), pa.array([len(flat)], pa.int64()),
             ], names=["shard", "before", "doc_ids", "lengths", "words", "offsets", "n_ids"])
             before += len(flat)
-            ids.clear(), docs.clear()
+            ids.clear(), docs.clear(), sizes.clear()
             held = 0
             return out
 
-        for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
-                if held and held + len(x) + 1 > BLOCK_IDS:
+        for batch in together(batches, TOGETHER):
+            flat, size = encoder.batch(batch.column(1))
+            flat, size = np.insert(flat, np.cumsum(size), end), size + 1
+            at, names, ends = 0, batch.column(0).to_pylist(), np.cumsum(size)
+            while at < len(names):
+                # As many documents as the block has room for; one at least in an empty block.
+                begin = int(ends[at] - size[at])
+                upto = int(np.searchsorted(ends, begin + BLOCK_IDS - held, side="right"))
+                if upto == at and held:
                     yield block()
-                ids.append(np.append(x, np.uint32(end)))
-                docs.append(d)
-                held += len(x) + 1
+                    continue
+                upto = max(upto, at + 1)
+                ids.append(flat[begin : ends[upto - 1]]), sizes.append(size[at:upto]), docs.extend(names[at:upto])
+                held += int(ends[upto - 1]) - begin
+                at = upto
         if held:
             yield block()
 
@@ -286,7 +327,8 @@ def read_index(files: DataFrame) -> DataFrame:
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     ahead = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shard_start"))
-    rows = files.join(starts, F.col("shard") == F.col("s")).select("shard_start", "before", "doc_ids", "lengths", "words", "offsets", "n_ids")
+    # One row a shard, two numbers each, however many documents there are: the encoded words themselves need no shuffle.
+    rows = files.join(F.broadcast(starts), F.col("shard") == F.col("s")).select("shard_start", "before", "doc_ids", "lengths", "words", "offsets", "n_ids")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
