@@ -143,9 +143,9 @@ FROM dw d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN items i ON i.rid = d.ri
 '''
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    tag = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__h")).distinct()
+def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
+    """The documents that quote fewer than ``least_items`` items, with all their columns: by default any quoted window is enough to go."""
+    tag = decontaminate(documents, benchmark, least_items=least_items).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__h")).distinct()
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     plain = plain.withColumn("__tag", F.xxhash64(f"c{names.index('text')}"))

@@ -17,7 +17,7 @@ def test_stages(spark, tmp_path):
     rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item), (2, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, item), (2, prose(rng, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     at, kept = docs, []
     for _, stage in corpus_pipeline.STAGES[:3]:
