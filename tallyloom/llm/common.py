@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: ASCII white space of the contracts, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Selects columns by exact name and position.
@@ -35,34 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return pick(df, *columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
+materialize = written
 
-    Only where the session names none (tests on one machine) a folder of our own is made.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None or not Path(_own_dir).is_dir():
-        _own_dir = tempfile.mkdtemp(prefix="tallyloom-")
-    return f"file://{_own_dir}"
 
+def slices(batches, rows: int = 256):
+    """Parts of Arrow batches. Spark bounds a batch to 64 MB; what Python makes of its texts is several times that, so it looks at few at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def over_texts(kind: str, f, rows: int = 256):
+    """A column function of one text column: ``f`` maps a list of texts to an Arrow array, ``rows`` texts at a time."""
+    @F.arrow_udf(kind)
+    def run(text: pa.Array) -> pa.Array:
+        parts = [f(text.slice(k, rows).to_pylist()) for k in range(0, len(text), rows)]
+        return pa.concat_arrays(parts) if parts else f([])
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds an Arrow batch: texts may have 100,000 characters, so few rows go in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return run
 
 
 def remainder(modulus: int, doc_id: str = "doc_id"):
@@ -86,3 +74,14 @@ def hashed_ids(rows: DataFrame, limit: int, seed: int = 17) -> DataFrame:
         share = int((1 << 40) * (limit / n) * (1 + 10 / limit**0.5))
         ids = ids.where(F.pmod(order, F.lit(1 << 40)) < share)
     return ids.orderBy(F.pmod(order, F.lit(1 << 40)), "doc_id").limit(limit)
+
+
+#: Texts that a sample takes of one id, where rows share ids.
+TEXTS_OF_AN_ID = 4
+
+
+def sampled(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen ids, ``TEXTS_OF_AN_ID`` of each at most (in the order of a hash of the text), so that the sample of rows is bounded, too."""
+    found = rows.join(F.broadcast(chosen), "doc_id").withColumn("__t", F.xxhash64("text"))
+    found = found.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("__t")))
+    return found.where(F.col("__n") <= TEXTS_OF_AN_ID).drop("__t", "__n")

@@ -18,9 +18,10 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashed_ids, pick, remainder, small_batches, table
+from .common import hashed_ids, over_texts, pick, remainder, sampled, slices, table
 
 BUCKETS, LONGEST = 1 << 14, 3
 #: Bound of the sample that weights and temperature are fitted on.
@@ -51,7 +52,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """(number of texts, texts with each bucket) over all rows of ``text``; one row for each task and bucket is shuffled."""
     def counted(batches):
         total, df = 0, np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 g = grams(t)
                 if g is not None:
@@ -139,19 +140,32 @@ class Model:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from rows of (doc_id, text, lang) that the caller has limited to training rows."""
-    small_batches(documents.sparkSession)
+    """Learns from rows of (doc_id, text, lang) that the caller has limited to training rows.
+
+    The sample is shared out by language: each of the languages that occur has an equal quota of it, so that a rare one is learned, too.
+    """
     rows = pick(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull())
     total, df = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    chosen = hashed_ids(rows, sample)
-
-    @F.arrow_udf("binary")
-    def folded(text: pa.Array) -> pa.Array:
-        found = [grams(t) for t in text.to_pylist()]
+    # A row a language: names of languages, of which there are few by nature; the sample's bound holds for any number.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    quota, chosen = quotas(counts, sample), None
+    if sum(counts.values()) <= sample or len(counts) < 2:
+        chosen = hashed_ids(rows, sample)
+    else:
+        order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40))
+        # Of each language somewhat more than its quota lies below its cut; the sort then takes no more than that.
+        cut = F.create_map(*[F.lit(x) for lang, q in quota.items() for x in (lang, int(min(1.0, (q + 10 * q**0.5) / counts[lang]) * (1 << 40)))])
+        most = F.create_map(*[F.lit(x) for lang, q in quota.items() for x in (lang, q)])
+        ids = rows.where(F.col("doc_id").isNotNull() & (order < cut[F.col("lang")])).select("doc_id", "lang").distinct()
+        place = F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))
+        chosen = ids.withColumn("__n", place).where(F.col("__n") <= most[F.col("lang")]).select("doc_id").distinct()
+
+    def folded(texts: list) -> pa.Array:
+        found = [grams(t) for t in texts]
         return pa.array([None if g is None else vector_bytes(g, idf) for g in found], pa.binary())
 
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", folded("text").alias("x")).where(F.col("x").isNotNull()).collect()
+    got = sampled(rows, chosen).select("doc_id", "lang", over_texts("binary", folded)("text").alias("x")).where(F.col("x").isNotNull()).collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     languages = sorted({r["lang"] for r in got})
     if not languages:
@@ -174,15 +188,21 @@ def vector_bytes(g: np.ndarray, idf: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    small_batches(documents.sparkSession)
+def quotas(counts: dict, most: int) -> dict:
+    """Shares of ``most`` for groups of these sizes: equal ones, and what small groups leave over goes to the others."""
+    out, left = {}, most
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, left // (len(counts) - k))
+        left -= out[name]
+    return out
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predicted(text: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in text.to_pylist()]
+
+def predict(documents: DataFrame, model: Model) -> DataFrame:
+    def predicted(texts: list) -> pa.Array:
+        found = [model.predict(t) for t in texts]
         return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["lang_pred", "score"])
 
-    rows = pick(documents, "doc_id", "text").select("doc_id", (remainder(3) == 1).alias("held_out"), predicted("text").alias("p"))
+    rows = pick(documents, "doc_id", "text").select("doc_id", (remainder(3) == 1).alias("held_out"), over_texts("struct<lang_pred:string,score:double>", predicted)("text").alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
