@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_ids, pick, small_batches, table
+from .common import hashed_ids, over_texts, pick, sampled, table
 
 #: Bound of the labelled sample that the list is fitted on.
 SAMPLE = 20_000
@@ -80,15 +80,17 @@ def profile(text: str | None) -> tuple:
     )
 
 
+def _profiles(texts: list) -> pa.Array:
+    columns = list(zip(*map(profile, texts), strict=True)) or [[] for _ in COUNTS]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
+
+
 def _profile_udf():
-    @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
-    def profiled(text: pa.Array) -> pa.Array:
-        rows = [profile(t) for t in text.to_pylist()]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in COUNTS]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
+    return over_texts("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">", _profiles)
 
-    return profiled
 
+#: The column of counts beside a table's own, which go by numbers meanwhile.
+PROFILE = "profile"
 
 #: Features of the rules: a numerator and a denominator count, or a count alone.
 FEATURES = {
@@ -99,7 +101,7 @@ FEATURES = {
 }
 
 
-def feature(name: str, at: str = "p") -> Column:
+def feature(name: str, at: str = PROFILE) -> Column:
     top, bottom = FEATURES[name]
     value = F.col(f"{at}.{top}").cast("double")
     return value if bottom is None else value / F.greatest(F.col(f"{at}.{bottom}"), F.lit(1))
@@ -182,48 +184,46 @@ def learn(x: np.ndarray, reject: np.ndarray, fold: np.ndarray, names: list[str],
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Learns the list from at most ``sample`` labelled documents; only their counts come to the driver."""
-    small_batches(documents.sparkSession)
     docs, marks = pick(documents, "doc_id", "text"), pick(labels, "doc_id", "quality").where(F.col("quality").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marks.join(hashed_ids(marks, sample), "doc_id", "left_semi")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", _profile_udf()(F.col("text")).alias("p"))
-    got = rows.select("doc_id", "quality", "p.*").toPandas()
+    rows = sampled(docs, chosen).select(F.col("doc_id").cast("string").alias("id"), "quality", _profile_udf()(F.col("text")).alias("p"))
+    got = rows.select("id", "quality", "p.*").toPandas()
     if not len(got):
         return []
     got = got.sort_values(list(got.columns), ignore_index=True)
     names = list(FEATURES)
     x = np.stack([got[a] / np.maximum(got[b], 1) if b else got[a] for a, b in FEATURES.values()], 1).astype(float)
-    fold = np.array([zlib.crc32(b"quality:%d" % d) % 3 for d in got["doc_id"]])
+    fold = np.array([zlib.crc32(f"quality:{d}".encode()) % 3 for d in got["id"]])
     usable = (got["n_words"] >= 20).to_numpy()  # the base rule has the others
     reject = (got["quality"] == 0).to_numpy()
     return learn(x[usable], reject[usable], fold[usable], names)
 
 
-def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All columns of documents (as they are) and a struct ``p``, ``base_failed``, ``rule`` (the one that fired) and ``kept``.
-
-    The added columns are named with two leading underscores.
-    """
-    small_batches(documents.sparkSession)
-    names = documents.columns
-    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = plain.withColumn("p", _profile_udf()(F.col(f"c{names.index('text')}")))
-    failed = (F.col("p.n_words") < 20) | (100 * F.col("p.n_repeat_words") > 30 * F.col("p.n_words"))
+def _judged(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Columns of documents by number (c0, c1, ...), then ``profile``, ``base_failed``, ``rule`` (the one that fired) and ``kept``."""
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    rows = plain.withColumn(PROFILE, _profile_udf()(F.col(f"c{documents.columns.index('text')}")))
+    failed = (F.col(f"{PROFILE}.n_words") < 20) | (100 * F.col(f"{PROFILE}.n_repeat_words") > 30 * F.col(f"{PROFILE}.n_words"))
     fired = F.lit(None).cast("string")
     for r in reversed(rules):
         fired = F.when(r.column(), F.lit(r.describe())).otherwise(fired)
     rows = rows.withColumn("base_failed", failed).withColumn("rule", F.when(~F.col("base_failed"), fired))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-    return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *[F.col(c).alias(f"__{c}") for c in ("p", "base_failed", "rule", "kept")])
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """doc_id, the counts of ``COUNTS``, base_failed, kept, and rule (the one that fired)."""
+    rows = _judged(documents, rules)
+    return rows.select(F.col(f"c{documents.columns.index('doc_id')}").alias("doc_id"), *[F.col(f"{PROFILE}.{c}").alias(c) for c in COUNTS], "base_failed", "kept", "rule")
 
 
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
-    base = [F.col(f"__p.{c}").alias(c) for c in COUNTS[:5]]
-    return out.select("doc_id", *base, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"))
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")
 
 
 def good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    return judge(documents, fit(documents, labels)).where("__kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents that the rules keep, with their columns, whatever these are called."""
+    rows = _judged(documents, fit(documents, labels)).where("kept")
+    return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(documents.columns)])
