@@ -3,13 +3,15 @@
 The field tags tokens as secret begin (B), inside (I) or outside (O). Features are a token's shape and length class, the
 shapes and folded words around it, and features of the file. It is trained by gradient ascent on windows around the
 pattern spans of a bounded sample, on windows without secrets, and on ``MADE`` generated lines with secrets of known shapes
-(bearer tokens, provider keys). Viterbi decodes the stretches around *odd* tokens (with a digit or joining sign, or long);
-tokens of plain words further away are outside by definition, so most of a text costs one pass of a pattern.
+(bearer tokens, provider keys). Viterbi decodes every token of every text. What a token adds to the scores of its own and of its neighbours'
+places does not depend on where it stands, so a worker works it out once for each distinct token; the texts of a batch then go
+through one exact Viterbi in step, in blocks of ``STEP`` tokens.
 
 The pattern spans always stay; the field adds spans that do not overlap them. Positions are code points, end exclusive.
 
 Edge cases: null, empty and blank texts have no spans; repeated rows each get a row; texts of any length are scanned
-whole; without pattern spans in the sample the field learns from generated lines alone; an empty table gives an empty result.
+whole; without pattern spans in the sample the field learns from generated lines alone; columns beside doc_id and text may have any names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_ids, pick, small_batches, table
+from .common import hashed_ids, over_texts, pick, sampled, table
 
-#: Bound of the sample of documents, and of the windows kept from it.
-SAMPLE, WINDOWS, MADE = 8_000, 1_500, 600
+#: Bounds of the fit: documents of the sample, windows kept of all, windows taken of one text with and without secrets, generated lines.
+SAMPLE, WINDOWS, WITH, WITHOUT, MADE = 8_000, 1_500, 3, 2, 600
+#: Tokens of a block in decoding, and distinct tokens that a worker remembers.
+STEP, REMEMBERED = 64, 200_000
 DIM = 1 << 13
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _access = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -47,19 +54,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Kinds(dict):
+    """Code point -> the letter that stands for its class in a shape."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "-_./+:=@~" else "?"
+        return k
+
+
+_kinds, _runs = _Kinds(), re.compile(r"(.)\1+", re.S)
+
+
 def shape(token: str) -> str:
     """Letter classes with runs squeezed: Ab12-x -> Aa0-a."""
-    out = []
-    for c in token[:64]:
-        k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "-_./+:=@~" else "?"
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
+    return _runs.sub(r"\1", token[:64].translate(_kinds))[:8]
 
 
+@lru_cache(1 << 16)
 def _bucket(feature: str) -> int:
-    import zlib
-
     return zlib.crc32(feature.encode("utf-8", "replace")) % DIM
 
 
@@ -67,18 +80,18 @@ _LENGTHS = (1, 2, 4, 8, 12, 16, 20, 24, 32, 40, 64)
 
 
 def own_features(token: str) -> list[int]:
-    n = sum(len(token) >= k for k in _LENGTHS)
-    digits = sum(c.isdigit() for c in token)
-    upper = sum(c.isupper() for c in token)
-    kinds = len(set(token))
+    size, kinds = max(1, len(token)), token.translate(_kinds)
+    n, digits, upper = bisect_right(_LENGTHS, len(token)), kinds.count("0"), kinds.count("A")
     return [_bucket(f) for f in (
-        f"s:{shape(token)}", f"n:{n}", f"d:{min(4, 5 * digits // max(1, len(token)))}:{n}", f"u:{min(4, 5 * upper // max(1, len(token)))}:{n}",
-        f"k:{min(4, 5 * kinds // max(1, len(token)))}:{n}", f"m:{bool(digits)}{bool(upper)}{digits + upper < len(token)}:{n}", f"p:{token[:4].lower()}",
+        f"s:{shape(token)}", f"n:{n}", f"d:{min(4, 5 * digits // size)}:{n}", f"u:{min(4, 5 * upper // size)}:{n}", f"k:{min(4, 5 * len(set(token)) // size)}:{n}",
+        f"m:{digits > 0}{upper > 0}{digits + upper < len(token)}:{n}", f"p:{token[:4].lower()}",
     )]
 
 
-def near_features(token: str, at: int) -> list[int]:
-    return [_bucket(f"w{at}:{token[:16].lower()}"), _bucket(f"ws{at}:{shape(token)}")]
+def near_features(token: str, *places: int) -> list[int]:
+    """Two features for each place relative to the token in question: its folded letters and its shape."""
+    folded, squeezed = token[:16].lower(), shape(token)
+    return [b for at in places for b in (zlib.crc32(f"w{at}:{folded}".encode("utf-8", "replace")) % DIM, _bucket(f"ws{at}:{squeezed}"))]
 
 
 def file_features(text: str) -> list[int]:
@@ -90,6 +103,10 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
     return [m.span() for m in _token.finditer(text, start, len(text) if end is None else end)]
 
 
+#: Scores of the tags of a text's first token: it is not inside.
+START = np.array([0.0, -20.0, 0.0])
+
+
 class Field:
     """Weights: emission (DIM x 3) for B, I, O and transitions (3 x 3) from row to column."""
 
@@ -110,9 +127,8 @@ class Field:
         return np.array([self.emit[f].sum(0) for f in rows]).reshape(-1, 3)
 
     def _forward(self, e):
-        start = np.array([0.0, -20.0, 0.0])
         a = np.zeros_like(e)
-        a[0] = start + e[0]
+        a[0] = START + e[0]
         for t in range(1, len(e)):
             m = a[t - 1][:, None] + self.trans
             top = m.max(0)
@@ -149,7 +165,7 @@ class Field:
         self.trans = np.clip(self.trans, -20.0, 5.0)
 
     def viterbi(self, e: np.ndarray) -> list[int]:
-        score, back = np.array([0.0, -20.0, 0.0]) + e[0], []
+        score, back = START + e[0], []
         for t in range(1, len(e)):
             m = score[:, None] + self.trans
             back.append(m.argmax(0))
@@ -160,61 +176,173 @@ class Field:
         return tags[::-1]
 
 
+#: Buckets of features that depend on small numbers, as tables.
+_SIZES = range(len(_LENGTHS) + 1)
+_length_bucket = np.array([_bucket(f"n:{n}") for n in _SIZES])
+_share_bucket = {c: np.array([[_bucket(f"{c}:{v}:{n}") for n in _SIZES] for v in range(5)]) for c in "duk"}
+_mix_bucket = np.array([[[[_bucket(f"m:{d}{u}{r}:{n}") for n in _SIZES] for r in (False, True)] for u in (False, True)] for d in (False, True)])
+_near_start = [zlib.crc32(f"w{at}:".encode()) for at in (-2, -1, 1)]
+
+
+@lru_cache(1 << 16)
+def _shape_buckets(squeezed: str) -> tuple:
+    return (_bucket(f"s:{squeezed}"), *(_bucket(f"ws{at}:{squeezed}") for at in (-2, -1, 1)))
+
+
+class Tokens(dict):
+    """Token -> its number. ``rows`` has what each adds to the scores (B, I, O) of its own place and of the places 2 and 1 after and 1 before it.
+
+    New tokens are numbered as they come and worked out together by ``fill``: the features of ``own_features`` and ``near_features``, in columns.
+    """
+
+    def __init__(self, field: Field):
+        self.field, self.rows, self.fresh = field, np.zeros((0, 4, 3)), []
+
+    def __missing__(self, token: str) -> int:
+        self.fresh.append(token)
+        self[token] = k = len(self)
+        return k
+
+    def fill(self) -> None:
+        tokens, self.fresh = self.fresh, []
+        if not tokens:
+            return
+        kinds = [t.translate(_kinds) for t in tokens]
+        numbers = lambda values: np.fromiter(values, np.int64, len(tokens))
+        length, digits, upper = numbers(map(len, tokens)), numbers(k.count("0") for k in kinds), numbers(k.count("A") for k in kinds)
+        n, size = np.searchsorted(_LENGTHS, length, side="right"), np.maximum(length, 1)
+        share = lambda c, x: _share_bucket[c][np.minimum(4, 5 * x // size), n]
+        shapes = np.array([_shape_buckets(_runs.sub(r"\1", k[:64])[:8]) for k in kinds])
+        folded = [t[:16].lower().encode("utf-8", "replace") for t in tokens]
+        at = np.empty((len(tokens), 13), np.int64)
+        at[:, 0], at[:, 1], at[:, 2], at[:, 3], at[:, 4] = shapes[:, 0], _length_bucket[n], share("d", digits), share("u", upper), share("k", numbers(len(set(t)) for t in tokens))
+        at[:, 5], at[:, 6] = _mix_bucket[(digits > 0).astype(int), (upper > 0).astype(int), (digits + upper < length).astype(int), n], numbers(_bucket(f"p:{t[:4].lower()}") for t in tokens)
+        for k, start in enumerate(_near_start):
+            at[:, 7 + 2 * k] = numbers(zlib.crc32(f, start) for f in folded)
+            at[:, 8 + 2 * k] = shapes[:, 1 + k]
+        scores = self.field.emit[at % DIM]
+        made = np.stack([scores[:, a:b].sum(1) for a, b in ((0, 7), (7, 9), (9, 11), (11, 13))], 1)
+        self.rows = np.concatenate((self.rows, made))
+
+
+#: Whether a code point below the table's end is inside a token; those above are.
+_inside = np.array([bool(re.match(r"[^\s\"'<>(){}\[\],;:=&|*#$%!?]", chr(c))) for c in range(0x3001)])
+
+
+def token_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of ``_token``, in code points."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(c) + 2, bool)
+    inside[1:-1] = _inside[np.minimum(c, 0x3000)] | (c > 0x3000)
+    alone = np.flatnonzero((c == ord(":")) | (c == ord("=")))
+    edge = np.diff(inside.astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.sort(np.concatenate((starts, alone))), np.sort(np.concatenate((ends, alone + 1)))
+
+
+def viterbi_in_step(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best tags of a long sequence that starts outside, by blocks in step: what each block makes of each entry state, then the entries, then the tags."""
+    n = len(e)
+    blocks = -(-n // STEP)
+    padded = np.zeros((blocks * STEP, 3))
+    padded[:n] = e
+    padded[n:, :2] = -1e9
+    grid = np.ascontiguousarray(padded.reshape(blocks, STEP, 3).transpose(1, 2, 0))  # step, state, block
+    never = -1e18
+    # From each entry state: the best score of each state after the block.
+    score = np.full((3, 3, blocks), never)
+    for s in range(3):
+        score[s, s] = 0.0
+    for t in range(STEP):
+        score = np.stack([np.maximum(np.maximum(score[:, 0] + trans[0, s], score[:, 1] + trans[1, s]), score[:, 2] + trans[2, s]) + grid[t, s] for s in range(3)], 1)
+    entry = np.empty((blocks, 3))
+    now = np.array([never, never, 0.0])
+    for k, m in enumerate(np.ascontiguousarray(score.transpose(2, 0, 1))):
+        entry[k] = now
+        now = (now[:, None] + m).max(0)
+        now -= now.max()
+    at, back = np.ascontiguousarray(entry.T), np.empty((STEP, 3, blocks), np.int8)
+    for t in range(STEP):
+        after = np.empty_like(at)
+        for s in range(3):
+            a, b, c = at[0] + trans[0, s], at[1] + trans[1, s], at[2] + trans[2, s]
+            best = np.maximum(np.maximum(a, b), c)
+            back[t, s] = np.where(a == best, 0, np.where(b == best, 1, 2))
+            after[s] = best + grid[t, s]
+        at = after
+    # Where each exit state of a block comes from; then the exits, last block first.
+    state, every = np.tile(np.arange(3, dtype=np.int8)[:, None], (1, blocks)), np.arange(blocks)
+    for t in range(STEP - 1, -1, -1):
+        state = back[t, state, every]
+    came = np.ascontiguousarray(state.T).tolist()
+    exits, x = [0] * blocks, int(at[:, -1].argmax())
+    for k in range(blocks - 1, -1, -1):
+        exits[k] = x
+        x = came[k][x]
+    tags, x = np.empty((STEP, blocks), np.int8), np.array(exits, np.int8)
+    for t in range(STEP - 1, -1, -1):
+        tags[t] = x
+        x = back[t, x, every]
+    return tags.T.reshape(-1)[:n]
+
+
 class Scanner:
     """Finds spans with a trained field."""
 
     def __init__(self, field: Field):
         self.field = field
 
-    def decode(self, text: str, busy: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of the field in the stretches that may hold one."""
-        out, file = [], None
-        for start, end in self.stretches(text):
-            spans = tokens_of(text, start, end)
-            if not spans:
+    def __getstate__(self):
+        return {"field": self.field}
+
+    def tags(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, ends, tags) of the tokens of each text."""
+        known = self.__dict__.get("known")
+        if known is None or len(known) > REMEMBERED:
+            known = self.known = Tokens(self.field)
+        numbers, places = [], []
+        for t in texts:
+            places.append(token_places(t))
+            numbers.append(np.fromiter(map(known.__getitem__, _token.findall(t)), np.int64, len(places[-1][0])))
+        sizes = np.array([len(x) for x in numbers])
+        nothing = known[""]  # what stands beyond the edges of a text
+        known.fill()
+        # A place of silence stands between texts and at both ends: only O is possible there.
+        e = np.zeros((int(sizes.sum()) + len(texts) + 1, 3))
+        first = np.cumsum(sizes + 1) - sizes
+        silent = np.append(first - 1, len(e) - 1)
+        own, two, one, next_ = (known.rows[:, k] for k in range(4))
+        for k, x in enumerate(numbers):
+            if not len(x):
                 continue
-            file = file or file_features(text)
-            words = [text[a:b] for a, b in spans]
-            tags = self.field.viterbi(self.field.emissions(self.field.features(words, file)))
-            k = 0
-            while k < len(tags):
-                if tags[k] == 0:
-                    j = k + 1
-                    while j < len(tags) and tags[j] == 1:
-                        j += 1
-                    a, b = spans[k][0], spans[j - 1][1]
-                    if all(b <= x or a >= y for x, _, y in busy):
-                        out.append((a, 3, b))
-                    k = j
-                else:
-                    k += 1
+            around = np.concatenate(([nothing, nothing], x, [nothing]))
+            part = own[x] + two[around[:-3]] + one[around[1:-2]] + next_[around[3:]] + self.field.emit[file_features(texts[k])].sum(0)
+            part[0] += START - self.field.trans[2]
+            part[-1] -= self.field.trans[:, 2]
+            e[first[k] : first[k] + len(x)] = part
+        e[silent, :2] = -1e9
+        found = viterbi_in_step(e, self.field.trans)
+        return [(*p, found[a : a + n]) for p, a, n in zip(places, first.tolist(), sizes.tolist(), strict=True)]
+
+    def decoded(self, starts, ends, tags, busy: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Spans of the tags (B and the I after it) that overlap no busy one."""
+        out = []
+        for k in np.flatnonzero(tags == 0).tolist():
+            j = k + 1
+            while j < len(tags) and tags[j] == 1:
+                j += 1
+            a, b = int(starts[k]), int(ends[j - 1])
+            if all(b <= x or a >= y for x, _, y in busy):
+                out.append((a, 3, b))
         return out
 
-    _odd = re.compile(r"[^\s]*[0-9_+/=@~\\-][^\s]*|[^\s]{25,}")
-
-    def stretches(self, text: str):
-        """Stretches around tokens that are not plain words; what lies between them is outside."""
-        last = None
-        for m in self._odd.finditer(text):
-            a, b = max(0, m.start() - 60), min(len(text), m.end() + 40)
-            a = text.find(" ", a, m.start()) + 1 or m.start() if a else 0
-            if b < len(text):
-                b = text.rfind(" ", m.end(), b)
-                b = m.end() if b < 0 else b
-            if last and a <= last[1]:
-                last = (last[0], max(b, last[1]))
-            else:
-                if last:
-                    yield last
-                last = (a, b)
-        if last:
-            yield last
-
-    def spans(self, text: str | None) -> list[tuple[int, int, int]]:
-        if not text:
-            return []
-        base = base_spans(text)
-        return sorted(base + self.decode(text, base))
+    def decode(self, text: str, busy: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        return self.decoded(*self.tags([text])[0], busy)
+
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """All spans of each text: those of the patterns, and those that the field adds."""
+        base = [base_spans(t or "") for t in texts]
+        return [sorted(b + self.decoded(*found, b)) for b, found in zip(base, self.tags([t or "" for t in texts]), strict=True)]
 
 
 def made_lines(n: int = MADE, seed: int = 3) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -274,38 +402,41 @@ def values(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int, int]
     return out
 
 
+_odd = re.compile(r"\S*[0-9_+/=@~\\-]\S*|\S{25,}")
+
+
+def sample_windows(text: str, reach: int = 80) -> list[dict]:
+    """Windows of a text to learn from, chosen by a hash: around ``WITH`` secrets, and around ``WITHOUT`` odd tokens and one of any kind far from all.
+
+    Every secret that lies whole in a window is marked; a window that would cut one is left out.
+    """
+    base = base_spans(text)
+    marks = values(base, text)
+    order = lambda span: (zlib.crc32(text[span[0] : span[1]].encode("utf-8", "replace")), span)
+    far = lambda m: all(m[1] + reach < a or m[0] - reach > b for a, _, b in base)
+    centres = sorted(marks, key=order)[:WITH]
+    centres += sorted(filter(far, (m.span() for m in _odd.finditer(text))), key=order)[:WITHOUT]
+    centres += sorted(filter(far, tokens_of(text)), key=order)[:1]
+    out = []
+    for a, b in centres:
+        lo, hi = max(0, a - reach), min(len(text), b + reach)
+        if not any(x < lo < y or x < hi < y for x, y in marks):
+            inside = [(x - lo, y - lo) for x, y in marks if lo <= x and y <= hi]
+            out.append({"text": text[lo:hi], "starts": [x for x, _ in inside], "ends": [y for _, y in inside]})
+    return out
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    small_batches(documents.sparkSession)
     docs = pick(documents, "doc_id", "text")
     chosen = hashed_ids(docs, sample)
-
-    @F.arrow_udf("array<string>")
-    def windows(text: pa.Array) -> pa.Array:
-        """Windows of up to 200 characters around pattern spans and around a few odd tokens without any; \\x01 and \\x02 enclose secrets."""
-        out = []
-        for t in text.to_pylist():
-            found, t = [], t or ""
-            spans = base_spans(t)
-            marks = values(spans, t)
-            for x, y in marks[:3]:
-                lo, hi = max(0, x - 80), min(len(t), y + 80)
-                found.append(t[lo:x] + "\x01" + t[x:y] + "\x02" + t[y:hi])
-            for n, m in enumerate(Scanner._odd.finditer(t)):
-                if n >= 40 or len(found) >= 4:
-                    break
-                if n % 8 == 0 and all(m.end() + 90 < x or m.start() - 90 > y for x, _, y in spans):
-                    found.append(t[max(0, m.start() - 80) : m.end() + 80])
-            out.append(found)
-        return pa.array(out, pa.list_(pa.string()))
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(windows("text")).alias("w"))
-    has = F.instr("w", "\x01") > 0
-    got = [r["w"] for part in (rows.where(has), rows.where(~has)) for r in part.distinct().orderBy(F.xxhash64("w"), "w").limit(WINDOWS // 2).collect()]
-    field, data = Field(), []
-    for w in got:
-        a, b = w.find("\x01"), w.find("\x02")
-        text = w.replace("\x01", "").replace("\x02", "")
-        data.append(example(text, [(a, b - 1)] if a >= 0 else [], field, file_features(text)))
+    kind = "struct<text:string,starts:array<int>,ends:array<int>>"
+    shape = pa.list_(pa.struct([("text", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
+    windows = over_texts(f"array<{kind}>", lambda texts: pa.array([sample_windows(t or "") for t in texts], shape))
+    rows = sampled(docs, chosen).select(F.explode(windows("text")).alias("w")).select("w.*")
+    has = F.size("starts") > 0
+    got = [r for part in (rows.where(has), rows.where(~has)) for r in part.distinct().orderBy(F.xxhash64("text", "starts"), "text", "starts").limit(WINDOWS // 2).collect()]
+    field = Field()
+    data = [example(w["text"], list(zip(w["starts"], w["ends"], strict=True)), field, file_features(w["text"])) for w in got]
     data += [example(t, s, field, file_features(t)) for t, s in made_lines()]
     field.train([d for d in data if d])
     return field
@@ -315,24 +446,24 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+_COLUMNS = (("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64()))
+
+
 def scan(documents: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf."""
-    small_batches(documents.sparkSession)
     scanner = Scanner(field)
 
-    @F.arrow_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string,n_crf:bigint>")
-    def scanned(text: pa.Array) -> pa.Array:
+    def scanned(texts: list) -> pa.Array:
         rows = []
-        for t in text.to_pylist():
-            spans = scanner.spans(t)
-            base = [s for s in spans if s[1] < 3]
-            kinds = [s[1] for s in spans]
-            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), kinds.count(3)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
-
-    return pick(documents, "doc_id", "text").select("doc_id", scanned("text").alias("s")).select("doc_id", "s.*")
+        for spans in scanner.spans(texts):
+            kinds = [k for _, k, _ in spans]
+            base = written([x for x in spans if x[1] < 3])
+            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(base.encode()).hexdigest(), written(spans), kinds.count(3)))
+        columns = list(zip(*rows, strict=True)) or [()] * len(_COLUMNS)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
+
+    shape = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string,n_crf:bigint>"
+    return pick(documents, "doc_id", "text").select("doc_id", over_texts(shape, scanned)("text").alias("s")).select("doc_id", "s.*")
 
 
 def op10_secret_scan(spark, sf_dir):
