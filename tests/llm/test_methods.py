@@ -96,15 +96,50 @@ def test_links_find_all_components(spark, near, refine):
 
 def test_grammar():
     words, stems = toxicity.lexicon({"zork": "I", "blar*": "J"})
-    classes, machine = toxicity.Classes(words, stems), toxicity.grammar()
+    classes, machine = toxicity.Classes(words, stems), toxicity.Grammar()
 
     def found(text):
         counts, _ = toxicity.matches(text, classes, machine)
         return {m: c for m, c in zip(toxicity.MATCHES, counts, strict=True) if c}
 
-    assert found("You zork!") == {"A": 1} and found("a zork, you see") == {"I": 1}
-    assert found("he is not a zork") == {"i": 1} and found("she said zork") == {"p": 1}
-    assert found("blarney here") == {"J": 1} and found("nothing here") == {} and found("I will kill you") == {"T": 1}
+    assert found("You zork!") == {"A": 1} and found("a zork, you see") == {"A": 1} and found("a zork. You see") == {"I": 1}
+    assert found("this is no zork") == {"i": 1} and found("she said zork") == {"p": 1} and found("the clerk said: zork") == {"I": 1}
+    assert found("not a zork or blarney") == {"i": 1, "j": 1} and found("not tall, a zork") == {"I": 1} and found("not a zork but blarney") == {"i": 1, "J": 1}
+    assert found("blarney here") == {"J": 1} and found("nothing here") == {}
+    assert found("I will kill you") == {"D": 1} and found("they kill time") == {"T": 1} and found("never hurt you") == {"t": 1} and found("he wrote I kill you") == {"q": 1}
+
+
+def _by_rules(clause):
+    """The grammar as conditions on what stands where, written without transducers."""
+    out, negated_at, reach = [], None, 0
+    for i, c in enumerate(clause):
+        after, before = "Y" in clause[i + 1 :], "Y" in clause[:i]
+        if c == "N":
+            reach, negated_at = toxicity.NEGATION_SCOPE, None
+        elif c == ",":
+            reach, negated_at = 0, None
+        elif c == "C" and negated_at == i - 1:
+            reach = toxicity.NEGATION_SCOPE
+        elif c in "IJKT":
+            if reach > 0:
+                reach, negated_at = 0, i
+                kind = c.lower()
+            elif c == "T":
+                kind = "D" if after else "T"
+            else:
+                kind = dict(zip("IJK", "ABC", strict=True))[c] if after or before else c
+            if "R" in clause[:i]:
+                kind = "q" if c == "T" else "p"
+            out.append(kind)
+        else:
+            reach = max(0, reach - 1)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(toxicity.ALPHABET, max_size=12))
+def test_grammar_by_brute_force(clause):
+    assert [c for c in toxicity.Grammar().run(clause) if c in toxicity.MATCHES] == _by_rules(clause)
 
 
 def test_decision_list():
@@ -158,6 +193,38 @@ def test_viterbi_is_exact():
         assert tuple(field.viterbi(e)) == max(product(range(3), repeat=n), key=lambda t: score(list(t)))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aB9:=_- \n\t,\"'/.xé中\u3000\xa0\x1c[]")), max_size=60), min_size=1, max_size=4), st.integers(0, 5))
+def test_all_tokens_are_decoded_as_one_by_one(texts, seed):
+    rng = np.random.default_rng(seed)
+    field = secret_scan.Field()
+    field.emit = rng.normal(size=field.emit.shape)
+    field.trans = field.trans + rng.normal(size=(3, 3))
+    for text, (starts, ends, tags) in zip(texts, secret_scan.Scanner(field).tags(texts), strict=True):
+        spans = secret_scan.tokens_of(text)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == spans
+        if spans:
+            e = field.emissions(field.features([text[a:b] for a, b in spans], secret_scan.file_features(text)))
+            assert tags.tolist() == field.viterbi(e)
+
+
+def test_long_texts_are_decoded_whole():
+    rng = np.random.default_rng(7)
+    trans, e = rng.normal(size=(3, 3)), rng.normal(size=(5000, 3)) * 2
+    field = secret_scan.Field()
+    field.trans = trans
+    edge = e.copy()
+    edge[0] += secret_scan.START - trans[2]
+    assert secret_scan.viterbi_in_step(edge, trans).tolist() == field.viterbi(e)
+
+
+def test_windows_mark_every_secret_in_them():
+    text = "a password: hunter2hunter2 and token=abcdefgh1234 x " + "plain words " * 40 + "v1.2.3-rc and so on " + "other words " * 40
+    found = secret_scan.sample_windows(text)
+    assert max(len(w["starts"]) for w in found) == 2 and any(not w["starts"] for w in found)
+    assert all({w["text"][a:b] for a, b in zip(w["starts"], w["ends"], strict=True)} <= {"hunter2hunter2", "abcdefgh1234"} for w in found)
+
+
 def _differs(encoder, texts):
     import pyarrow as pa
 
