@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, remainder, small_batches, table
+from .common import materialize, pick, remainder, table
 
 BLOCK = 1 << 20
 CORE, KEEP = 5e-4, 1e-6

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, table
+from .common import materialize, over_texts, pick, slices, table
 
 SHINGLE, SEED, NEAR = 4, 42, 4
 #: Low bits of each band and its width.
@@ -206,7 +206,6 @@ def links(distinct: DataFrame, near: int = NEAR, refine: bool | None = None) ->
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("side") == 0, own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     rows = rows.select("key", "chunk", "side", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
-    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return rows.mapInArrow(_compare(near), "a long, b long")
 
 
@@ -238,10 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def printed(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, h (hash of the text), fp (signed fingerprint), written; one row for each row of documents."""
-    small_batches(documents.sparkSession)
-
     def prints(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
@@ -358,7 +355,7 @@ def _verify(least: float):
 
         part: list = []
         weight = 0
-        for batch in batches:
+        for batch in slices(batches, 64):
             keys, chunks, sides, hs = (batch.column(k).to_pylist() for k in range(4))
             for key, chunk, side, h, s in zip(keys, chunks, sides, hs, batch.column(4), strict=True):
                 if (key, chunk) != at:
@@ -390,13 +387,11 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
     connects those that pass (a forest of true links), so no pair is left out because of one that fails. A group over ``CHUNK`` texts or
     ``CHUNK_SHINGLES`` goes to several chunks, as in ``links``; bands with the same texts are one group.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
     docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def banded(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
             keys = pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "keys", "size"])
@@ -409,11 +404,7 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES, F.lit(1))).cast("int")
     rows = materialize(spread.join(groups.select("g", chunks.alias("chunks")), F.col("key") == F.col("g")).select("key", "h", "chunks"), "dedup-groups")
     needed = rows.select("h").distinct().join(nodes.select("h", "first"), "h").select(F.col("h").alias("nh"), "first")
-    small_batches(spark, 64)
-
-    @F.arrow_udf("binary")
-    def shingles(text: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in text.to_pylist()], pa.binary())
+    shingles = over_texts("binary", lambda texts: pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary()), 64)
 
     texts = docs.join(needed, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["nh"])
     sets = materialize(texts.select("nh", shingles("text").alias("set")), "dedup-sets")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, table
+from .common import materialize, pick, slices, table
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 BLOCK_IDS, RUN = 1 << 18, 1024
@@ -274,7 +274,7 @@ def _writer(name: str, end: int, kind: pa.DataType):
             held = 0
             return out
 
-        for batch in together(batches, TOGETHER):
+        for batch in together(slices(batches), TOGETHER):
             flat, size = encoder.batch(batch.column(1))
             flat, size = np.insert(flat, np.cumsum(size), end), size + 1
             at, names, ends = 0, batch.column(0).to_pylist(), np.cumsum(size)
@@ -299,7 +299,6 @@ def write_ids(documents: DataFrame, name: str = TOKENIZER, end: int = END) -> Da
     """Writes the files to the shared folder, in ascending doc_id order; returns their rows, read back."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType
     ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
@@ -330,15 +329,12 @@ def read_index(files: DataFrame) -> DataFrame:
     # One row a shard, two numbers each, however many documents there are: the encoded words themselves need no shuffle.
     rows = files.join(F.broadcast(starts), F.col("shard") == F.col("s")).select("shard_start", "before", "doc_ids", "lengths", "words", "offsets", "n_ids")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return rows.mapInArrow(_one_by_one, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def _one_by_one(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield from _reader([batch.slice(k, 1)])
+    for batch in slices(batches, 1):
+        yield from _reader([batch])
 
 
 def op1_token_ids(spark, sf_dir):
