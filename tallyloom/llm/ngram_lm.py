@@ -1,39 +1,45 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Unigrams of all training words are counted exactly and stay distributed: they grow with the corpus. Above them stand
-bigrams and trigrams of *core* words, those with at least ``CORE`` of all training tokens (so 1 / CORE words at most), as far
-as an n-gram makes up ``KEEP`` of the tokens (so 1 / KEEP of each order at most, twice at least): that bound is
-what allows the trie to be sent to every executor. Smoothing is interpolated absolute discounting with discounts
-estimated from counts of counts; what unknown words get is the discounted mass of the unigrams.
-
-Trie: a level's successors form one monotone sequence (context number times core size plus word), and so do the
-pointers from contexts to their ranges; both are Elias-Fano coded (low bits packed, high bits unary, with a rank
-directory for select). Probabilities and back-off weights are quantised to 16 bits. A query finds a context's range by two
-pointers and makes a successor search relative to the context's base inside it; all is vectorised. The levels are
-flat buffers, used in place from the broadcast bytes, or memory-mapped from a file (``Trie.map``).
-
-Flow: one pass cuts documents into *blocks* of about ``BLOCK`` tokens with local word numbers and counts; the counts of
-all blocks are summed by word and joined back to the words that each block has; each block then scores its documents by itself.
-So no document's tokens are shuffled by word, and a hot word costs one row for each block.
+Interpolated absolute discounting over words, bigrams and trigrams of all training texts; a bigram or trigram is kept if it occurs ``LEAST``
+times or more, and what is left out counts for the lower order, so the probabilities after any context sum to one:
+p(w) = (c(w) - d) / N, p(w|v) = f2 + g2(v) p(w) and p(w|u,v) = f3 + g3(u,v) p(w|v), where f is (count - ``DISCOUNT``) over the context's count (0 if not
+kept) and g one less the sum of f. What unknown words get is the discounted mass of the words.
+
+The model grows with the corpus and lies in *shards*: all n-grams after a context word v are in the shard of v (a word with more than ``HOT`` occurrences has
+several shards: its bigrams by the word after, its trigrams by the word before). A shard is a trie in four monotone, Elias-Fano coded
+sequences (low bits packed, high bits unary, with a rank directory for select): its words, successors of v, predecessors of v, and
+successors of (u, v), each with pointers from contexts to ranges; f and g are quantised to 16 bits. A query finds a context's range by two pointers and
+makes a successor search relative to the context's base inside it; all is vectorised. Levels are flat buffers that are used in place, from the rows
+of the model's table or from a memory-mapped file (``Trie.map``).
+
+Flow. Documents are cut into *blocks* of about ``BLOCK`` tokens with local word numbers. Blocks and shards then talk twice, in packed rows:
+a block sends each shard its words with their counts and learns their numbers and counts in the corpus; then its distinct trigrams with their counts,
+and learns f and g. A shard sums what all blocks sent, builds its part of the model and answers by querying it. So no token is
+shuffled on its own, a hot word costs an entry for each block, and a task holds a block or a shard. Each block then scores its documents by itself.
 
 Edge cases: a null, empty or blank text has only its end token; without training documents every probability is 1 (score 0);
-repeated rows each get a row; a very long text makes a block of its own; an empty table gives an empty result.
+repeated rows each get a row; a very long text makes a block of its own; columns beside those named may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, remainder, table
+from .common import materialize, pick, remainder, slices, table
 
-BLOCK = 1 << 20
-CORE, KEEP = 5e-4, 1e-6
+#: Tokens of a block, tokens and words of the corpus for each shard, occurrences from which a word has several shards.
+BLOCK, SHARD, WORDS, HOT = 1 << 20, 2_000_000, 4_000_000, 1_000_000
+#: Counts from which bigrams and trigrams are kept, and what is taken off them.
+LEAST, DISCOUNT = 2, 0.75
 LOWEST = -16.0  # log10 that the 16-bit codes reach
+NONE = 65535  # the code of what is not kept
 
 
 # --- Elias-Fano sequences -------------------------------------------------------------------------------------------
@@ -107,97 +113,104 @@ def restore(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (LOWEST / 65535)
 
 
+def quantise(values: np.ndarray) -> np.ndarray:
+    """Codes of the log10 of values in (0, 1]."""
+    return np.clip(np.rint(np.log10(np.maximum(values, 1e-300)) / LOWEST * 65534), 0, 65534).astype(np.uint16)
+
+
+_values = np.append(10.0 ** (np.arange(65535) * (LOWEST / 65534)), 0.0)
+
+
+def restore(codes: np.ndarray) -> np.ndarray:
+    """Values of codes; 0 for ``NONE``."""
+    return _values[codes]
+
+
 # --- Trie -----------------------------------------------------------------------------------------------------------
 
 
 class Trie:
-    """Two levels over core words 0..size-1: bigrams under words, trigrams under bigrams."""
+    """One shard: words (their numbers in the corpus), successors of a word, predecessors of a word, successors of (predecessor, word)."""
 
-    NAMES = ("pointers2", "words2", "pointers3", "words3")
+    SEQUENCES = ("words", "after", "after_at", "before", "before_at", "third", "third_at")
+    CODES = ("f2", "g2", "f3", "g3")
 
-    def __init__(self, size: int, sequences: dict[str, EliasFano], codes: dict[str, np.ndarray]):
-        self.size, self.sequences, self.codes = size, sequences, codes
+    def __init__(self, sequences: dict[str, EliasFano], codes: dict[str, np.ndarray]):
+        self.sequences, self.codes = sequences, codes
+        self.size = max(1, sequences["words"].n)
 
     @classmethod
-    def build(cls, unigram_logs: np.ndarray, counts: np.ndarray, two: np.ndarray, three: np.ndarray) -> Trie:
-        """``two``: rows (u, w, count), ``three``: rows (u, v, w, count), of core words with these unigram log10 and counts."""
-        k = len(counts)
-        two = two[np.lexsort((two[:, 1], two[:, 0]))] if len(two) else two.reshape(0, 3)
-        three = three[np.lexsort((three[:, 2], three[:, 1], three[:, 0]))] if len(three) else three.reshape(0, 4)
-        p1 = 10.0**unigram_logs
-        key2 = two[:, 0] * k + two[:, 1]
-        pointers2 = np.searchsorted(two[:, 0], np.arange(k + 1))
-        node = np.searchsorted(key2, three[:, 0] * k + three[:, 1])
-        pointers3 = np.searchsorted(node, np.arange(len(two) + 1))
-        d2, d3 = discount(two[:, 2]), discount(three[:, 3])
-        kept2 = np.bincount(two[:, 0], two[:, 2] - d2, k) if len(two) else np.zeros(k)
-        back2 = np.clip(1 - kept2 / np.maximum(counts, 1), 1e-9, 1)
-        p2 = (two[:, 2] - d2) / counts[two[:, 0]] + back2[two[:, 0]] * p1[two[:, 1]]
-        kept3 = np.bincount(node, three[:, 3] - d3, len(two)) if len(three) else np.zeros(len(two))
-        back3 = np.clip(1 - kept3 / np.maximum(two[:, 2], 1), 1e-9, 1)
-        # The lower order of a trigram's last word: its bigram if there is one, else backed off.
-        at = np.minimum(np.searchsorted(key2, three[:, 1] * k + three[:, 2]), max(0, len(two) - 1))
-        stored = key2[at] == three[:, 1] * k + three[:, 2] if len(two) else np.zeros(len(three), bool)
-        lower = np.where(stored, p2[at] if len(two) else 0, back2[three[:, 1]] * p1[three[:, 2]])
-        p3 = (three[:, 3] - d3) / np.maximum(two[node, 2], 1) + back3[node] * lower if len(three) else np.zeros(0)
-        sequences = {"pointers2": EliasFano.build(pointers2), "words2": EliasFano.build(key2), "pointers3": EliasFano.build(pointers3), "words3": EliasFano.build(node * k + three[:, 2])}
-        codes = {n: quantise(np.log10(np.maximum(x, 1e-300))) for n, x in (("back2", back2), ("p2", p2), ("back3", back3), ("p3", p3))}
-        return cls(k, sequences, codes)
-
-    def _find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of each word under its context; -1 where there is none."""
-        pointers, words = self.sequences[f"pointers{level}"], self.sequences[f"words{level}"]
-        lo, hi = pointers.access(context), pointers.access(context + 1)
-        value = context * self.size + word
-        at = words.successor(lo, hi, value)
-        found = np.flatnonzero(at < hi)
-        out = np.full(len(at), -1)
-        if len(found):
-            same = words.access(at[found]) == value[found]
-            out[found[same]] = at[found[same]]
+    def build(cls, two: np.ndarray, three: np.ndarray, contexts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_totals: np.ndarray) -> Trie:
+        """``two``: sorted rows (v, w, count) and ``three``: sorted rows (v, u, w, count), all kept ones; ``contexts``: words v with their ``totals``;
+        ``pairs``: rows (v, u) with their ``pair_totals``. Contexts without anything kept need not be there."""
+        words = np.unique(np.concatenate((two[:, 0], two[:, 1], three[:, 0], three[:, 1], three[:, 2])))
+        k, at = max(1, len(words)), lambda x: np.searchsorted(words, x)
+        v, w = at(two[:, 0]), at(two[:, 1])
+        f2 = (two[:, 2] - DISCOUNT) / totals[np.searchsorted(contexts, two[:, 0])]
+        g2 = 1 - np.bincount(v, f2, k)
+        key = at(three[:, 0]) * k + at(three[:, 1])
+        before, of = np.unique(key, return_inverse=True)
+        wide = int(pairs[:, 1].max()) + 1 if len(pairs) else 1
+        own = np.searchsorted(pairs[:, 0] * wide + pairs[:, 1], three[:, 0] * wide + three[:, 1])
+        f3 = (three[:, 3] - DISCOUNT) / pair_totals[own] if len(three) else np.zeros(0)
+        g3 = 1 - np.bincount(of, f3, len(before))
+        pointers = lambda x, n: EliasFano.build(np.searchsorted(x, np.arange(n + 1)))
+        sequences = {
+            "words": EliasFano.build(words), "after": EliasFano.build(v * k + w), "after_at": pointers(v, k), "before": EliasFano.build(before), "before_at": pointers(before // k, k),
+            "third": EliasFano.build(of * k + at(three[:, 2])), "third_at": pointers(of, len(before)),
+        }
+        return cls(sequences, {"f2": quantise(f2), "g2": quantise(g2), "f3": quantise(f3), "g3": quantise(g3)})
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in the shard; -1 for those that it lacks."""
+        e = self.sequences["words"]
+        return self._same(e, e.successor(np.zeros(len(words), np.int64), np.full(len(words), e.n), words), words, np.full(len(words), e.n))
+
+    def find(self, level: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Index of each word under its context; -1 where there is none, or no context or word."""
+        out = np.full(len(context), -1)
+        k = np.flatnonzero((context >= 0) & (word >= 0))
+        pointers, e = self.sequences[f"{level}_at"], self.sequences[level]
+        if len(k) and e.n:
+            lo, hi = pointers.access(context[k]), pointers.access(context[k] + 1)
+            value = context[k] * self.size + word[k]
+            out[k] = self._same(e, e.successor(lo, hi, value), value, hi)
         return out
 
-    def score(self, word: np.ndarray, one: np.ndarray, two: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 of each token given core numbers of it (``word``), of the one before and the one before that; -1: none or not core."""
-        out = unigram.copy()
-        k = np.flatnonzero(one >= 0)
-        if not len(k):
-            return out
-        out[k] += restore(self.codes["back2"][one[k]])
-        known = k[word[k] >= 0]
-        at = self._find(2, one[known], word[known])
-        hit = at >= 0
-        out[known[hit]] = restore(self.codes["p2"][at[hit]])
-        k = k[two[k] >= 0]
-        if not len(k):
-            return out
-        node = self._find(2, two[k], one[k])
-        k, node = k[node >= 0], node[node >= 0]
-        out[k] += restore(self.codes["back3"][node])
-        sel = word[k] >= 0
-        known, node = k[sel], node[sel]
-        at = self._find(3, node, word[known])
-        hit = at >= 0
-        out[known[hit]] = restore(self.codes["p3"][at[hit]])
+    @staticmethod
+    def _same(e: EliasFano, at: np.ndarray, value: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), -1)
+        k = np.flatnonzero(at < end)
+        if len(k):
+            same = e.access(at[k]) == value[k]
+            out[k[same]] = at[k[same]]
         return out
 
+    def parts(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes f2, g2, f3, g3 of words w after v, and after u and v; g of an unknown context is the code of 1."""
+        code = lambda name, at, none: np.where(at >= 0, self.codes[name][np.maximum(at, 0)] if len(self.codes[name]) else none, none).astype(np.uint16)
+        vi, wi, ui = self.numbers(v), self.numbers(w), self.numbers(u)
+        pair = self.find("before", vi, ui)
+        return code("f2", self.find("after", vi, wi), NONE), code("g2", vi, 0), code("f3", self.find("third", pair, wi), NONE), code("g3", pair, 0)
+
     def to_bytes(self) -> bytes:
-        """Header (core size, then a type and length of every part), then the parts, each at a multiple of 8 bytes."""
-        parts = [p for n in self.NAMES for p in self.sequences[n].parts()] + [self.codes[n] for n in ("back2", "p2", "back3", "p3")]
-        head = np.array([self.size, len(parts), *[len(p) for p in parts]], np.int64).tobytes()
+        """Header (number of parts, length of each), then the parts, each at a multiple of 8 bytes."""
+        parts = [p for n in self.SEQUENCES for p in self.sequences[n].parts()] + [self.codes[n] for n in self.CODES]
+        head = np.array([len(parts), *[len(p) for p in parts]], np.int64).tobytes()
         return head + b"".join(p.tobytes() + bytes(-p.nbytes % 8) for p in parts)
 
     @classmethod
     def from_buffer(cls, buffer) -> Trie:
-        size, n = np.frombuffer(buffer, np.int64, 2).tolist()
-        lengths = np.frombuffer(buffer, np.int64, n, 16).tolist()
-        at, parts = 16 + 8 * n, []
-        kinds = [np.dtype(x) for x in ("i8", "u8", "u1", "i4")] * 4 + [np.dtype("u2")] * 4
+        n = int(np.frombuffer(buffer, np.int64, 1)[0])
+        lengths = np.frombuffer(buffer, np.int64, n, 8).tolist()
+        at, parts = 8 + 8 * n, []
+        kinds = [np.dtype(x) for x in ("i8", "u8", "u1", "i4")] * len(cls.SEQUENCES) + [np.dtype("u2")] * len(cls.CODES)
         for kind, length in zip(kinds, lengths, strict=True):
             parts.append(np.frombuffer(buffer, kind, length, at))
             at += length * kind.itemsize + -(length * kind.itemsize) % 8
-        sequences = {name: EliasFano(int(parts[4 * i][0]), int(parts[4 * i][1]), *parts[4 * i + 1 : 4 * i + 4]) for i, name in enumerate(cls.NAMES)}
-        return cls(size, sequences, dict(zip(("back2", "p2", "back3", "p3"), parts[16:], strict=True)))
+        four = 4 * len(cls.SEQUENCES)
+        sequences = {name: EliasFano(int(parts[4 * i][0]), int(parts[4 * i][1]), *parts[4 * i + 1 : 4 * i + 4]) for i, name in enumerate(cls.SEQUENCES)}
+        return cls(sequences, dict(zip(cls.CODES, parts[four:], strict=True)))
 
     @classmethod
     def map(cls, path: str) -> Trie:
@@ -205,14 +218,7 @@ class Trie:
         return cls.from_buffer(np.memmap(path, np.uint8, "r"))
 
 
-def discount(counts: np.ndarray) -> float:
-    """Absolute discount from counts of counts: n1 / (n1 + 2 n2), or of the two lowest counts there are."""
-    low = int(counts.min()) if len(counts) else 1
-    a, b = int((counts == low).sum()), int((counts == low + 1).sum())
-    return min(0.95, max(0.1, a / (a + 2 * b))) if a else 0.5
-
-
-# --- Blocks ---------------------------------------------------------------------------------------------------------
+# --- Packed rows ----------------------------------------------------------------------------------------------------
 
 END = b""  # no word is empty
 
@@ -222,24 +228,78 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def pack(ids: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 as bytes: planes of the bytes that are needed, compressed."""
     import zstandard
 
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    out = []
+    for a in arrays:
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+        out += [struct.pack("<qb", len(a), width), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def unpack(data: bytes) -> np.ndarray:
+def expand(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, width = struct.unpack_from("<qb", raw, at)
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n)
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = planes.T
+        out.append(a.view("<i8").ravel())
+        at += 9 + n * width
+    return out
+
+
+def _steps(a: np.ndarray, restart: np.ndarray) -> np.ndarray:
+    """Differences of an array that ascends between restarts, where it stands as it is."""
+    out = np.diff(a, prepend=0)
+    out[restart] = a[restart]
+    return out
+
+
+def _unsteps(d: np.ndarray, restart: np.ndarray) -> np.ndarray:
+    total = np.cumsum(d)
+    first = np.flatnonzero(restart)
+    base = np.zeros(len(d), np.int64)
+    base[first] = total[first] - d[first]
+    return total - base[np.maximum.accumulate(np.where(restart, np.arange(len(d)), 0))]
+
 
+def pack_grams(v, w, u, n, counts) -> bytes:
+    """Grams sorted by (v, w, u), with the corpus counts of their distinct v. u is -1 for none and -2 for a bigram that stands alone."""
+    new_v = np.diff(v, prepend=-1) != 0
+    new_w = new_v | (np.diff(w, prepend=-1) != 0)
+    return squeeze(np.diff(v, prepend=0), _steps(w, new_v), _steps(u + 2, new_w), n, counts)
 
-BLOCKS = "block long, k int, word binary, n long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, ids binary"
+
+def unpack_grams(data: bytes) -> tuple[np.ndarray, ...]:
+    dv, dw, du, n, counts = expand(data)
+    v = np.cumsum(dv)
+    new_v = np.diff(v, prepend=-1) != 0
+    w = _unsteps(dw, new_v)
+    new_w = new_v | (np.diff(w, prepend=-1) != 0)
+    return v, w, _unsteps(du, new_w) - 2, n, counts[np.cumsum(new_v) - 1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 31-bit hashes of whole numbers."""
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(33)).astype(np.int64)
+
+
+# --- Blocks ---------------------------------------------------------------------------------------------------------
+
+BLOCKS = "block long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, ids binary, words binary, counts binary"
 
 
 def _blocks(kind: pa.DataType):
+    """Documents to blocks: token numbers, and the words with their counts in training texts. A block numbers its words in the order of a hash, so that
+    those of a shard, which has a range of it, stand together."""
     def run(batches):
         from pyspark import TaskContext
 
@@ -254,153 +314,319 @@ def _blocks(kind: pa.DataType):
         tokens = 0
 
         def close():
-            nonlocal number
-            flat = np.concatenate(ids)
-            sizes = np.array(lengths)
-            train = flat[np.repeat(~np.array(held), sizes)]
-            counts = np.bincount(train, minlength=len(local))
-            words = list(local)
-            nulls = lambda t: pa.nulls(1, t)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), nulls(pa.int32()), nulls(pa.binary()), nulls(pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(flat)], pa.binary())], names=NAMES)
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, number)), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(counts[a : a + m].astype(np.int64)),
-                    pa.nulls(m, pa.list_(kind)), pa.nulls(m, pa.list_(pa.bool_())), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.binary())], names=NAMES)
-            number += 1
-
-        for batch in batches:
+            flat, sizes, words = np.concatenate(ids), np.array(lengths), list(local)
+            order = np.argsort(hashes(words), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            flat = rank[flat]
+            counts = np.bincount(flat[np.repeat(~np.array(held), sizes)], minlength=len(local))
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
+                pa.array([squeeze(flat)], pa.binary()), pa.array([_joined([words[i] for i in order.tolist()])], pa.binary()), pa.array([squeeze(counts)], pa.binary()),
+            ], names=["block", "doc_ids", "held", "lengths", "ids", "words", "counts"])
+
+        for batch in slices(batches):
             for d, t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split_words(t)
                 words.append(END)
                 if tokens and tokens + len(words) > BLOCK:
-                    yield from close()
+                    yield close()
+                    number += 1
                     local, docs, held, lengths, ids = fresh()
                     tokens = 0
                 ids.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
                 docs.append(d), held.append(h), lengths.append(len(words))
                 tokens += len(words)
         if tokens:
-            yield from close()
+            yield close()
 
     return run
 
 
-NAMES = ["block", "k", "word", "n", "doc_ids", "held", "lengths", "ids"]
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words))
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """Words hold no space, so spaces part them."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def _parted(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
 
+MAIL = "shard int, block long, data binary, more binary"
+_MAIL = ["shard", "block", "data", "more"]
 
-def _core_grams(core: dict[bytes, int]):
-    """Counts of core bigrams and trigrams of training texts, summed over a task: key (order 3: + 1 << 62), n."""
-    size = len(core)
 
+def _mail(shards, blocks, data, more) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=_MAIL)
+
+
+def _groups(batches, key: int):
+    """(value, rows) of rows that come sorted by a column."""
+    now, held = None, []
+    for batch in slices(batches, 64):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _at_shards(mail: DataFrame, work) -> DataFrame:
+    return mail.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(work, MAIL)
+
+
+# --- Words ----------------------------------------------------------------------------------------------------------
+
+
+def _word_shards(shards: int):
+    """Block rows to one row for each shard: the block's words of it, in the block's order, and their counts."""
     def run(batches):
-        kept: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            keys, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            for a in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000]), pa.array(n[a : a + 50_000].astype(np.int64))], names=["key", "n"])
-
-        get = core.get
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = split_words(t)
-                words.append(END)
-                c = np.array([get(w, -1) for w in words], np.int64)
-                a = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
-                two = c[a] * size + c[a + 1]
-                b = a[np.flatnonzero(c[np.minimum(a + 2, len(c) - 1)] >= 0)]
-                b = b[b + 2 < len(c)]
-                three = ((c[b] * size + c[b + 1]) * size + c[b + 2]) | 1 << 62
-                kept += [two, three]
-                held += len(two) + len(three)
-            if held > 4_000_000:
-                yield from flush()
-                held = 0
-        if kept:
-            yield from flush()
+        for batch in slices(batches, 1):
+            words, (counts,) = _parted(batch.column("words")[0].as_py()), expand(batch.column("counts")[0].as_py())
+            cut = np.searchsorted(hashes(words) * shards >> 32, np.arange(shards + 1)).tolist()
+            parts = [(s, slice(cut[s], cut[s + 1])) for s in range(shards) if cut[s] < cut[s + 1]]
+            yield _mail([s for s, _ in parts], [batch.column("block")[0].as_py()] * len(parts), [_joined(words[p]) for _, p in parts], [squeeze(counts[p]) for _, p in parts])
+
+    return run
+
+
+def _count_words(shards: int):
+    """At a shard: sums the counts of each word, numbers the words by rank, and answers each block with numbers and counts.
+
+    A row with block -1 has the shard's sums: tokens, words that occur, once, and twice. A word's number in the corpus is its rank times the
+    number of shards plus its shard's.
+    """
+    def run(batches):
+        for shard, rows in _groups(batches, 0):
+            local = defaultdict()
+            local.default_factory = local.__len__
+            asked = []
+            for _, block, words, counts in rows:
+                parted = _parted(words)
+                asked.append((block, np.fromiter(map(local.__getitem__, parted), np.int64, len(parted)), expand(counts)[0]))
+            total = np.zeros(len(local), np.int64)
+            for _, at, counts in asked:
+                total[at] += counts  # a block has a word once
+            rank = np.empty(len(local), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(local))
+            yield _mail([shard], [-1], [squeeze(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))], [None])
+            for block, at, _ in asked:
+                yield _mail([shard], [block], [squeeze(rank[at] * shards + shard, total[at])], [None])
 
     return run
 
 
-def score_documents(documents: DataFrame, core_share: float = CORE, keep_share: float = KEEP) -> DataFrame:
+# --- Grams ----------------------------------------------------------------------------------------------------------
+
+
+class Block:
+    """A block that knows its words' numbers and counts in the corpus: its tokens and its distinct grams."""
+
+    def __init__(self, row: dict):
+        #: In the order of shards, which is that of the block's own numbers.
+        self.number, self.count = (np.concatenate(x) for x in zip(*map(expand, row["answers"]), strict=True))
+        self.token = expand(row["ids"])[0]
+        self.sizes, self.held = np.array(row["lengths"], np.int64), np.array(row["held"], bool)
+        ends = np.cumsum(self.sizes)
+        self.first = ends - self.sizes
+        place = np.arange(len(self.token)) - np.repeat(self.first, self.sizes)
+        n = self.count[self.token]
+        known = n >= LEAST
+        previous = np.roll(known, 1)
+        #: Tokens after a word that may be a context; the word before that one; each with its own.
+        self.where = np.flatnonzero((place >= 1) & previous)
+        w, v = self.token[self.where], self.token[self.where - 1]
+        u = np.where((place[self.where] >= 2) & known[self.where - 2], self.token[self.where - 2], -1)
+        w = np.where(known[self.where], w, -1)
+        size = len(self.number) + 1
+        pair, of = np.unique(v * size + w + 1, return_inverse=True)
+        triple, self.of = np.unique(of * size + u + 1, return_inverse=True)
+        of, self.u = triple // size, triple % size - 1
+        self.v, self.w = pair[of] // size, pair[of] % size - 1
+        train = np.repeat(~self.held, self.sizes)[self.where]
+        self.n = np.bincount(self.of[train], minlength=len(triple))
+
+    def grams(self, shards: int):
+        """(shard, places among the block's grams, v, w, u, n) of what each shard is asked; v, w, u as numbers in the corpus plus 1 (0: a rare word).
+
+        Grams of hot words go twice: bigrams, marked with u = -2, to the shard of v and w, trigrams to that of v and u.
+        """
+        c = self.count[self.v]
+        v, w, u = self.number[self.v] + 1, np.where(self.w >= 0, self.number[self.w] + 1, 0), np.where(self.u >= 0, self.number[self.u] + 1, -1)
+        split = 1 + c // HOT
+        shard = (mixed(v) + np.where(split > 1, mixed(u) % split, 0) * 7919) % shards
+        hot = np.flatnonzero(split > 1)
+        first = hot[np.flatnonzero(np.diff(v[hot] * (int(w.max(initial=0)) + 1) + w[hot], prepend=-1) != 0)]
+        group = np.searchsorted(first, hot, side="right") - 1
+        n2 = np.bincount(group, self.n[hot], len(first)).astype(np.int64)
+        alone = (mixed(v[first]) + mixed(w[first]) % split[first] * 7919) % shards
+        shard, v, w, c = np.concatenate((shard, alone)), np.concatenate((v, v[first])), np.concatenate((w, w[first])), np.concatenate((c, c[first]))
+        u, n = np.concatenate((u, np.full(len(first), -2))), np.concatenate((self.n, n2))
+        order = np.lexsort((u, w, v, shard))
+        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        self.hot, self.group, self.alone = hot, group, len(self.v)
+        for s in range(shards):
+            if cut[s] < cut[s + 1]:
+                at = order[cut[s] : cut[s + 1]]
+                yield s, at, v[at], w[at], u[at], n[at], c[at]
+
+
+def _ask_grams(shards: int):
+    def run(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            for s, _, v, w, u, n, c in Block(row).grams(shards):
+                yield _mail([s], [row["block"]], [pack_grams(v, w, u, n, c[np.diff(v, prepend=-1) != 0])], [None])
+
+    return run
+
+
+def _count_grams(batches):
+    """At a shard: sums the counts of grams, keeps those of ``LEAST``, builds the shard's trie, and answers each block's grams by querying it.
+
+    A row with block -1 has the trie (``data``), and the sums of f2 of hot words (``more``), whose bigrams lie in several shards.
+    """
+    for shard, rows in _groups(batches, 0):
+        asked = [(block, unpack_grams(data)) for _, block, data, _ in rows]
+        v, w, u, n, c = (np.concatenate([x[k] for _, x in asked]) for k in range(5))
+        wide = int(max(v.max(), w.max(), u.max())) + 3
+        pair, of_pair = np.unique(v * wide + w, return_inverse=True)
+        triple, of = np.unique(of_pair * wide + u + 2, return_inverse=True)
+        count = np.bincount(of, n, len(triple)).astype(np.int64)
+        of_pair, tu = triple // wide, triple % wide - 2
+        tv, tw = pair[of_pair] // wide, pair[of_pair] % wide
+        total = np.zeros(len(triple), np.int64)
+        total[of] = c
+        hot = total >= HOT
+        # Bigrams: of hot words those that stand alone, of others all grams together.
+        mine = np.where(hot, tu == -2, True)
+        n2 = np.bincount(of_pair[mine], count[mine], len(pair)).astype(np.int64)
+        keep2 = np.flatnonzero((n2 >= LEAST) & (pair % wide > 0))
+        two = np.stack((pair[keep2] // wide, pair[keep2] % wide, n2[keep2]), 1)
+        contexts, first = np.unique(tv, return_index=True)
+        # Trigrams, by (v, u, w); the count of a context (u, v) is that of all words after it.
+        third = np.flatnonzero(tu > 0)
+        order = third[np.lexsort((tw[third], tu[third], tv[third]))]
+        pairs, start = np.unique(tv[order] * wide + tu[order], return_index=True)
+        pair_totals = np.add.reduceat(count[order], start) if len(order) else np.zeros(0, np.int64)
+        keep3 = order[(count[order] >= LEAST) & (tw[order] > 0)]
+        three = np.stack((tv[keep3], tu[keep3], tw[keep3], count[keep3]), 1)
+        trie = Trie.build(two, three, contexts, total[first], np.stack((pairs // wide, pairs % wide), 1), pair_totals)
+        data = trie.to_bytes()
+        trie = Trie.from_buffer(data)
+        f2, g2, f3, g3 = trie.parts(tv, tw, tu)
+        heavy = np.flatnonzero(total[np.searchsorted(tv, two[:, 0])] >= HOT)
+        names, at = np.unique(two[heavy, 0], return_inverse=True)
+        sums = np.bincount(at, two[heavy, 2] - DISCOUNT, len(names))
+        yield _mail([shard], [-1], [data], [squeeze(names, np.rint(sums * 4).astype(np.int64))])
+        a = 0
+        for block, x in asked:
+            part = of[a : a + len(x[0])]
+            a += len(x[0])
+            yield _mail([shard], [block], [squeeze(f2[part], np.where(hot[part], 0, g2[part]), f3[part], g3[part])], [None])
+
+
+# --- Scores ---------------------------------------------------------------------------------------------------------
+
+
+def _score(shards: int, total: int, kinds: int, d1: float):
+    unknown = d1 * kinds / total if total else 1.0
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            b = Block(row)
+            answers = dict(zip(row["gram_shards"] or (), row["gram_answers"] or (), strict=True))
+            codes = None
+            for s, at, *_ in b.grams(shards):
+                if codes is None:
+                    codes = np.zeros((4, b.alone + int(b.group.max(initial=-1)) + 1), np.int64)
+                codes[:, at] = expand(answers[s])
+            c = b.count
+            base_of = np.log10((c + 1) / (total + kinds + 1))
+            p = (np.where(c > 0, (c - d1) / total, unknown) if total else np.ones(len(c)))[b.token]
+            if codes is not None:
+                f2, g2, f3, g3 = restore(codes)
+                f2[b.hot] = f2[b.alone + b.group]
+                if row["hot"]:
+                    names, kept = (np.array([x[k] for x in sorted(dict(row["hot"]).items())]) for k in range(2))
+                    at = np.minimum(np.searchsorted(names, b.number[b.v] + 1), len(names) - 1)
+                    heavy = names[at] == b.number[b.v] + 1
+                    g2[: len(heavy)][heavy] = 1 - kept[at[heavy]] / c[b.v[heavy]]
+                lower = f2[b.of] + g2[b.of] * p[b.where]
+                p[b.where] = f3[b.of] + g3[b.of] * lower
+            logs = np.log10(np.maximum(p, 1e-300))
+            sums = [np.add.reduceat(x, b.first) for x in (base_of[b.token], logs, (c[b.token] > 0).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_ids")[0].values, pa.array(b.held), pa.array(b.sizes), pa.array(sums[2]), pa.array(np.full(len(b.sizes), total)), pa.array(sums[0]), pa.array(np.minimum(sums[1], 0.0))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def score_documents(documents: DataFrame) -> DataFrame:
     """From (doc_id, text, held_out): the columns of op5."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = documents.sparkSession
-    small_batches(spark)
     docs = pick(documents, "doc_id", "text", "held_out")
     kind = docs.schema["doc_id"].dataType
     blocks = materialize(docs.mapInArrow(_blocks(to_arrow_type(kind)), BLOCKS.format(kind=kind.simpleString())), "lm-blocks")
-    counts = materialize(blocks.where(F.col("k").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "lm-unigrams")
-    total, kinds, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    # Shards are as many as the corpus is large, by the tokens and words that its blocks have.
+    tokens = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    word_shards, shards = 1 + tokens // WORDS, 1 + tokens // SHARD
+    words = materialize(_at_shards(blocks.select("block", "words", "counts").mapInArrow(_word_shards(word_shards), MAIL), _count_words(word_shards)), "lm-words")
+    sums = np.zeros(4, np.int64)
+    for r in words.where("block = -1").select("data").toLocalIterator():  # four numbers a shard
+        sums += expand(r["data"])[0]
+    total, kinds, once, twice = sums.tolist()
     d1 = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    # At most 1 / core_share words: their counts sum to no more than the total.
-    core_rows = counts.where((F.col("c") >= max(2, core_share * total))).orderBy(F.desc("c"), "word").collect() if total else []
-    core = {bytes(r["word"]): k for k, r in enumerate(core_rows)}
-    least = max(2, keep_share * total)
-    trained = docs.where(~F.col("held_out")).select("text")
-    # At most 1 / keep_share rows of each order come to the driver, for the same reason.
-    grams = trained.mapInArrow(_core_grams(core), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas() if core else None
-    key = grams["key"].to_numpy(np.int64) if core else np.zeros(0, np.int64)
-    n = grams["n"].to_numpy(np.int64) if core else np.zeros(0, np.int64)
-    size, high = max(1, len(core)), key >= 1 << 62
-    two = np.stack((key[~high] // size, key[~high] % size, n[~high]), 1)
-    bare = key[high] & ((1 << 62) - 1)
-    three = np.stack((bare // size // size, bare // size % size, bare % size, n[high]), 1)
-    core_counts = np.array([r["c"] for r in core_rows], np.int64)
-    logs = np.log10((core_counts - d1) / total) if core else np.zeros(0)
-    trie = spark.sparkContext.broadcast(Trie.build(logs, core_counts, two, three).to_bytes())
-
-    numbers = spark.createDataFrame([(w, k) for w, k in core.items()] or [(b"\x00 ", -1)], "w binary, core int")
-    named = counts.where(F.col("c") > 0).join(F.broadcast(numbers), F.col("word") == F.col("w"), "left").select(F.col("word").alias("u"), "c", F.coalesce("core", F.lit(-1)).alias("core"))
-    known = blocks.where(F.col("k").isNotNull()).select("block", "k", "word").join(named, F.col("word") == F.col("u"))
-    answers = known.groupBy(F.col("block").alias("b")).agg(F.collect_list("k").alias("ks"), F.collect_list("c").alias("cs"), F.collect_list("core").alias("cores"))
-    whole = blocks.where(F.col("k").isNull()).select("block", "doc_ids", "held", "lengths", "ids").join(answers, F.col("block") == F.col("b"), "left")
-    whole = whole.select("doc_ids", "held", "lengths", "ids", "ks", "cs", "cores")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    told = words.where("block >= 0").groupBy(F.col("block").alias("b")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("shard", "data"))), lambda x: x["data"]).alias("answers"))
+    known = blocks.select("block", "doc_ids", "held", "lengths", "ids").join(told, F.col("block") == F.col("b")).drop("b")
+    asked = known.drop("doc_ids").mapInArrow(_ask_grams(shards), MAIL)
+    grams = materialize(_at_shards(asked, _count_grams), "lm-grams")
+    answers = grams.where("block >= 0").groupBy(F.col("block").alias("gb")).agg(F.collect_list("shard").alias("gram_shards"), F.collect_list("data").alias("gram_answers"))
+    rows = known.join(answers, F.col("block") == F.col("gb"), "left").drop("gb")
+    rows = rows.join(hot_sums(grams, told), F.col("block") == F.col("hb"), "left").drop("hb")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.mapInArrow(_scorer(trie, total, kinds, d1), schema)
+    return rows.mapInArrow(_score(shards, total, kinds, d1), schema)
 
 
-def _scorer(trie, total: int, kinds: int, d1: float):
-    unknown = np.log10(d1 * kinds / total) if total else 0.0
+def hot_sums(grams: DataFrame, told: DataFrame) -> DataFrame:
+    """(hb, hot): for each block, a map of its hot words to what their bigrams of all shards sum to. Words and sums meet in a join by word."""
+    def partial(batches):
+        for batch in slices(batches, 64):
+            for more in batch.column(0).to_pylist():
+                names, sums = expand(more)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums / 4)], names=["name", "kept"])
 
-    def run(batches):
-        model = Trie.from_buffer(trie.value)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, held, lengths, ids, ks, cs, cores = (batch.column(j)[row] for j in range(7))
-                sizes = np.array(lengths.values, np.int64)
-                token = unpack(ids.as_py())
-                width = int(token.max()) + 1
-                c, core = np.zeros(width, np.int64), np.full(width, -1)
-                if ks.is_valid:
-                    k = np.array(ks.values)
-                    c[k], core[k] = np.array(cs.values), np.array(cores.values)
-                base_of = np.log10((c + 1) / (total + kinds + 1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    one_of = np.where(c > 0, np.log10((c - d1) / total), unknown) if total else np.zeros(width)
-                ends = np.cumsum(sizes)
-                place = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
-                numbers = core[token]
-                before = np.where(place >= 1, np.roll(numbers, 1), -1)
-                ahead = np.where(place >= 2, np.roll(numbers, 2), -1)
-                logs = model.score(numbers, before, ahead, one_of[token])
-                sums = [np.add.reduceat(x, ends - sizes) for x in (base_of[token], logs, (c[token] > 0).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([
-                    doc_ids.values, held.values, pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(sizes), total)), pa.array(sums[0]), pa.array(sums[1])],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def own(batches):
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            found = []
+            for data in row["answers"]:
+                number, count = expand(data)
+                found.append(number[count >= HOT] + 1)
+            names = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row["b"])), pa.array(names)], names=["hb", "word"])
 
-    return run
+    sums = grams.where("block = -1").select("more").mapInArrow(partial, "name long, kept double").groupBy("name").agg(F.sum("kept").alias("kept"))
+    words = told.mapInArrow(own, "hb long, word long")
+    return words.join(sums, F.col("word") == F.col("name")).groupBy("hb").agg(F.map_from_entries(F.collect_list(F.struct("word", "kept"))).alias("hot"))
 
 
 def op5_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score_documents(docs.withColumn("held_out", remainder(7) == 2))
-

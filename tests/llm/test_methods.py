@@ -1,6 +1,7 @@
 """The methods by themselves: round trips, exactness against brute force, held-out accuracy."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,29 +34,38 @@ def test_elias_fano(values, asked):
     assert (e.successor(np.zeros(len(q), int), np.full(len(q), len(v)), q) == np.searchsorted(v, q)).all()
 
 
-def test_trie_sums_to_one_and_maps(tmp_path):
+def test_a_shard_sums_to_one_and_maps(tmp_path):
     rng = random.Random(1)
-    k = 6
-    text = [rng.randrange(k) if rng.random() < 0.8 else k for _ in range(4000)]  # k: a word that is not core
-    counts = np.bincount(text, minlength=k + 1)
-    two, three = {}, {}
-    for a, b in zip(text, text[1:], strict=False):
-        if a < k and b < k:
-            two[a, b] = two.get((a, b), 0) + 1
-    for a, b, c in zip(text, text[1:], text[2:], strict=False):
-        if max(a, b, c) < k:
-            three[a, b, c] = three.get((a, b, c), 0) + 1
-    rows = lambda d: np.array([(*key, n) for key, n in d.items() if n >= 2])
-    logs = np.log10((counts[:k] - 0.5) / counts.sum())
-    trie = ngram_lm.Trie.build(logs, counts[:k], rows(two), rows(three))
+    words = [3, 7, 8, 20, 21, 50]
+    text = [rng.choice(words) if rng.random() < 0.8 else 3 for _ in range(3000)]
+    counts = Counter(text[:-1])
+    two, three = Counter(zip(text, text[1:], strict=False)), Counter(zip(text[1:], text, text[2:], strict=False))  # (v, u, w)
+    pairs = Counter()
+    for (v, u, _), n in three.items():
+        pairs[v, u] += n
+    rows = lambda c: np.array([(*k, n) for k, n in sorted(c.items()) if n >= ngram_lm.LEAST])
+    names = np.array(sorted(counts))
+    trie = ngram_lm.Trie.build(rows(two), rows(three), names, np.array([counts[x] for x in names]), np.array(sorted(pairs)), np.array([pairs[k] for k in sorted(pairs)]))
     (tmp_path / "trie").write_bytes(trie.to_bytes())
     again = ngram_lm.Trie.map(str(tmp_path / "trie"))
-    unigram = np.append(logs, np.log10(1 - (10**logs).sum()))
-    for before in (-1, 0, 3):
-        for ahead in (-1, 2):
-            word = np.array([*range(k), -1])
-            got = again.score(word, np.full(k + 1, before), np.full(k + 1, ahead if before >= 0 else -1), unigram)
-            assert (10**got).sum() == pytest.approx(1, abs=0.01)
+    w = np.array([*words, 99])
+    for v in (3, 20, 99):
+        for u in (7, 50, 99, -1):
+            f2, g2, f3, g3 = map(ngram_lm.restore, again.parts(np.full(len(w), v), w, np.full(len(w), u)))
+            assert f2.sum() + g2[0] == pytest.approx(1, abs=0.002) and f3.sum() + g3[0] == pytest.approx(1, abs=0.002)
+            for x, a, b in zip(w, f2, f3, strict=True):
+                n2, n3 = two.get((v, x), 0), three.get((v, u, x), 0)
+                assert a == pytest.approx((n2 - 0.75) / counts[v] if n2 >= 2 else 0, rel=0.001)
+                assert b == pytest.approx((n3 - 0.75) / pairs[v, u] if n3 >= 2 else 0, rel=0.001)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2**33), st.integers(0, 9), st.integers(-2, 9), st.integers(0, 5)), min_size=1, max_size=80, unique_by=lambda x: x[:3]))
+def test_packed_grams_round_trip(rows):
+    v, w, u, n = (np.array(x) for x in zip(*sorted(rows), strict=True))
+    names, of = np.unique(v, return_inverse=True)
+    got = ngram_lm.unpack_grams(ngram_lm.pack_grams(v, w, u, n, names % 1000))
+    assert all((a == b).all() for a, b in zip(got, (v, w, u, n, (names % 1000)[of]), strict=True))
 
 
 def test_golay_anchors_cover():

@@ -1,6 +1,7 @@
 """Every query on odd rows, against brute force written another way, and on empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,8 @@ import duckdb
 import pytest
 import xxhash
 
-from tallyloom.llm import queries
+from tallyloom.llm import ngram_lm, queries
+from tallyloom.llm.common import remainder
 from tallyloom.llm.queries import ORACLES, QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,7 +114,58 @@ def test_op5(results, rows):
     want = Counter((d, held(d, 7, 2), len(ws), sum(seen[w] > 0 for w in ws), total, round(sum(log10((seen[w] + 1) / (total + kinds + 1)) for w in ws), 4)) for (d, _), ws in zip(rows, tokens, strict=True))
     got = results("op5_lm_score")
     assert want == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
-    assert all(r["score"] <= 0 for r in got)
+    scores = Counter((r["doc_id"], round(r["score"], 1)) for r in got)
+    assert scores == Counter((d, round(x, 1)) for (d, _), x in zip(rows, plain_scores(rows, tokens), strict=True))
+
+
+def plain_scores(rows, tokens):
+    """The model written with dictionaries: discounted counts of words, bigrams and trigrams, each over the one below."""
+    train = [ws for (d, _), ws in zip(rows, tokens, strict=True) if not held(d, 7, 2)]
+    one = Counter(w for ws in train for w in ws)
+    total, at_least = sum(one.values()), lambda c: {k: n for k, n in c.items() if n >= ngram_lm.LEAST}
+    rare = {w for w, n in one.items() if n < ngram_lm.LEAST}
+    once, twice = len(rare), sum(n == 2 for n in one.values())
+    d1 = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    two, three, pairs = Counter(), Counter(), Counter()
+    for ws in train:
+        for i in range(1, len(ws)):
+            if ws[i - 1] not in rare:
+                two[ws[i - 1], ws[i]] += ws[i] not in rare
+                if i > 1 and ws[i - 2] not in rare:
+                    three[ws[i - 2], ws[i - 1], ws[i]] += ws[i] not in rare
+                    pairs[ws[i - 2], ws[i - 1]] += 1
+    two, three, g2, g3 = at_least(two), at_least(three), defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
+    for (v, _), n in two.items():
+        g2[v] -= (n - ngram_lm.DISCOUNT) / one[v]
+    for (u, v, _), n in three.items():
+        g3[u, v] -= (n - ngram_lm.DISCOUNT) / pairs[u, v]
+    out = []
+    for ws in tokens:
+        score = 0.0
+        for i, w in enumerate(ws):
+            p = ((one[w] - d1) / total if one[w] else d1 * len(one) / total) if total else 1.0
+            if i and one[ws[i - 1]] >= ngram_lm.LEAST:
+                v = ws[i - 1]
+                p = ((two[v, w] - ngram_lm.DISCOUNT) / one[v] if (v, w) in two else 0) + g2[v] * p
+                if i > 1 and (u := ws[i - 2], v) in pairs:
+                    p = ((three[u, v, w] - ngram_lm.DISCOUNT) / pairs[u, v] if (u, v, w) in three else 0) + g3[u, v] * p
+            score += log10(p)
+        out.append(score)
+    return out
+
+
+def test_op5_with_many_blocks_shards_and_hot_words(spark, monkeypatch):
+    for name, value in (("BLOCK", 300), ("SHARD", 400), ("WORDS", 700), ("HOT", 40)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words[: rng.choice((3, 10, 40))]) for _ in range(rng.randint(0, 90))) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[0] + " " + "w1 " * 700), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", remainder(7) == 2)
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(docs.repartition(3)).collect()}
+    want = plain_scores(rows, [[*WORDS.findall(lower(t)), None] for _, t in rows])
+    for (d, t), x in zip(rows, want, strict=True):
+        assert got[d] == pytest.approx(x, abs=0.002 * len((t or "").split()) + 0.01), d
 
 
 def test_op6(results):
