@@ -3,16 +3,17 @@
 Two variable-order Markov models (order ``ORDER``, Witten-Bell smoothing down to a uniform letter) are counted
 from accepted and from rejected URLs. A URL's score is the log-likelihood difference (rejected minus accepted) of
 its host and path, over its number of letters; the threshold is calibrated on URLs that were not counted.
-Letters are a-z, one digit class, ``. - /``, one class for anything else and two edges, so there are at most 33^4
-(1.2 million) four-letter strings: that bounds the table of log ratios, the one thing that is broadcast.
 
-Labels: a URL is rejected if its host has one of ``SEEDS``; it counts as accepted if it has none and no rule
-blocks it (what a policy rule blocks says nothing about spelling, so it counts for neither). Scheme, query and
-fragment are not scored.
+The policy gives the labels: what a rule blocks is rejected, what one allows is accepted, and what none decides is judged by the
+models. A fifth of the labelled URLs (by a hash of the URL) is held out for the threshold.
+
+Letters are a-z, one digit class, ``. - /``, one class for anything else and two edges, so there are ``LETTERS`` ** 4
+(about a million) four-letter strings: that bounds the table of log ratios, the one thing that is broadcast. Scheme, query and fragment are not
+scored.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and is scored as the empty string;
 repeated rows each get a row; very long URLs are scored whole; without rejected examples all that no rule decides
-is allowed; an empty table gives an empty result.
+is allowed, without accepted ones what scores above 0 is blocked; columns beside page_id and url may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from .common import UPPER, ascii_lower, materialize, pick, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words of the trade that mark a host as rejected for training.
-SEEDS = ("casino", "bets", "pills", "spam", "viagra", "porn", "xxx", "payday", "replica", "warez")
-ORDER, LETTERS = 3, 33
+ORDER = 3
+#: The models' letters, by number; ``_`` is any other.
+ALPHABET = "_abcdefghijklmnopqrstuvwxyz0.-/^$"
+LETTERS = len(ALPHABET)
+#: Shares of held-out accepted URLs below, and of rejected ones above, which the threshold lies between.
+ACCEPTED, REJECTED, ACCURACY = 0.995, 0.05, 10_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,63 +62,61 @@ def _grams(rows: DataFrame, *keep: str) -> DataFrame:
 
 def log_ratios(counts: DataFrame) -> DataFrame:
     """From (gram, accepted, rejected) counts: (gram, ratio), ratio = log P(last | before) of rejected minus accepted."""
-    out = counts.withColumns({"p_accepted": F.lit(1.0 / LETTERS), "p_rejected": F.lit(1.0 / LETTERS)})
+    sides = ("accepted", "rejected")
+    out = counts.withColumns({f"p_{c}": F.lit(1.0 / LETTERS) for c in sides})
     for k in range(ORDER + 1):
         suffix = F.substring("gram", ORDER + 1 - k, k + 1)
-        lower = counts.groupBy(suffix.alias("s")).agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected")])
-        context = lower.groupBy(F.substring("s", 1, k).alias("c") if k else F.lit("").alias("c")).agg(
-            *[F.sum(c).alias(f"{c}_n") for c in ("accepted", "rejected")], *[F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_t") for c in ("accepted", "rejected")])
-        both = lower.withColumnsRenamed({"accepted": "accepted_w", "rejected": "rejected_w"}).join(
-            context, (F.substring("s", 1, k) if k else F.lit("")) == F.col("c")).drop("c")
+        lower = counts.groupBy(suffix.alias("s")).agg(*[F.sum(c).alias(f"{c}_w") for c in sides])
+        seen = [F.sum(f"{c}_w").alias(f"{c}_n") for c in sides] + [F.sum((F.col(f"{c}_w") > 0).cast("int")).alias(f"{c}_t") for c in sides]
+        if k:
+            context = lower.groupBy(F.substring("s", 1, k).alias("c")).agg(*seen)
+            both = lower.join(context, F.substring("s", 1, k) == F.col("c")).drop("c")
+        else:  # one context, the empty one: four numbers
+            both = lower.withColumns({n: F.lit(v or 0) for n, v in lower.agg(*seen).first().asDict().items()})
         out = out.join(both, suffix == F.col("s")).drop("s")
-        for c in ("accepted", "rejected"):
+        for c in sides:
             n, t = F.col(f"{c}_n"), F.col(f"{c}_t")
             # Witten-Bell: as many new letters are expected as kinds were seen; nothing seen leaves the lower order.
             out = out.withColumn(f"p_{c}", F.when(n + t > 0, (F.col(f"{c}_w") + t * F.col(f"p_{c}")) / (n + t)).otherwise(F.col(f"p_{c}")))
-        out = out.drop(*[f"{c}_{x}" for c in ("accepted", "rejected") for x in "wnt"])
+        out = out.drop(*[f"{c}_{x}" for c in sides for x in "wnt"])
     return out.select("gram", (F.log("p_rejected") - F.log("p_accepted")).alias("ratio"))
 
 
 def score(rows: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Adds ``score``, the mean log ratio over the letters of ``spell``. Rows are told apart by a number of their own."""
-    keep = rows.columns
+    """Replaces ``spell`` by ``score``, the mean log ratio over its letters. Rows are told apart by a number of their own.
+
+    Ratios, at most ``LETTERS`` ** 4 of them, are broadcast. A row's letters are summed where the row is, so one short row of each URL is shuffled.
+    """
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    each = _grams(numbered, "row", *[c for c in keep if c != "spell"])
-    joined = each.join(F.broadcast(ratios), "gram", "left")
-    firsts = [F.first(c).alias(c) for c in keep if c != "spell"]
-    return joined.groupBy("row").agg(*firsts, F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score")).drop("row")
+    keep = [c for c in numbered.columns if c != "spell"]
+    joined = _grams(numbered, *keep).join(F.broadcast(ratios), "gram", "left")
+    return joined.groupBy(*keep).agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score")).drop("row")
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold."""
     rows = pick(pages, "page_id", "url")
     host, path = host_and_path(F.col("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"), F.crc32(F.coalesce("url", F.lit("")).cast("binary")).alias("fold"))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0).alias("held"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "spell": spelled(F.col("host"), F.col("path"))})
-    bad = F.lit(False)
-    for s in seeds:
-        bad = bad | F.col("host").contains(s)
-    rows = rows.withColumn("label", F.when(bad, 1).when(F.coalesce("ruled", F.lit("")) != "block", 0))
-    held = F.col("fold") % 5 == 0
-
-    known = rows.where(F.col("label").isNotNull())
-    spelled_counts = known.groupBy("spell", "label", held.alias("held")).agg(F.count("*").alias("n"))
-    # What a gram lacks in the counted URLs it gets at 0 from the held ones, so that every gram has a ratio.
-    counts = _grams(rows.select("spell", "label", held.alias("held")), "label", "held").groupBy("gram").agg(
-        F.count(F.when((F.col("label") == 0) & ~F.col("held"), 1)).alias("accepted"), F.count(F.when((F.col("label") == 1) & ~F.col("held"), 1)).alias("rejected"))
+    rows = rows.withColumn("label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
+
+    counted = lambda k: F.count(F.when((F.col("label") == k) & ~F.col("held"), 1))
+    # Every gram of any URL has a row, so that every one gets a ratio, if only by its shorter ends.
+    counts = _grams(rows.select("spell", "label", "held"), "label", "held").groupBy("gram").agg(counted(0).alias("accepted"), counted(1).alias("rejected"))
     ratios = materialize(log_ratios(materialize(counts, "url-grams")), "url-ratios")
-    judged = score(spelled_counts.where("held").drop("held"), ratios)
-    low, high = judged.agg(F.percentile(F.when(F.col("label") == 0, F.col("score")), 0.995, F.col("n")), F.percentile(F.when(F.col("label") == 1, F.col("score")), 0.05, F.col("n"))).first()
+    judged = materialize(score(rows, ratios), "url-scores")
+    at = lambda k, share: F.percentile_approx(F.when(F.col("held") & (F.col("label") == k), F.col("score")), share, ACCURACY)
+    low, high = judged.agg(at(0, ACCEPTED), at(1, REJECTED)).first()
     if high is None:
         threshold = float("inf")
     elif low is None:
         threshold = 0.0
     else:
         threshold = (low + high) / 2 if high > low else low
-    out = score(rows.select("page_id", "host", "path", "rule", "ruled", "spell"), ratios)
     own = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
 
 
 def op6_url_filter(spark, sf_dir):

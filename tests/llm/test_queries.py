@@ -11,7 +11,7 @@ import duckdb
 import pytest
 import xxhash
 
-from tallyloom.llm import ngram_lm, queries
+from tallyloom.llm import ngram_lm, queries, url_filter
 from tallyloom.llm.common import remainder
 from tallyloom.llm.queries import ORACLES, QUERIES
 
@@ -180,6 +180,51 @@ def test_op6(results):
     assert by[1][0]["verdict"] == "allow" and by[2][0]["verdict"] == by[3][0]["verdict"] == "block"
 
 
+def _witten_bell(texts, context, letter):
+    """P(letter | context) from padded texts, written as the recursion."""
+    p = 1 / url_filter.LETTERS
+    for k in range(len(context) + 1):
+        end = context[len(context) - k :]
+        seen = Counter(t[i] for t in texts for i in range(url_filter.ORDER, len(t)) if t[i - k : i] == end)
+        n, kinds = sum(seen.values()), len(seen)
+        if n:
+            p = (seen[letter] + kinds * p) / (n + kinds)
+    return p
+
+
+def test_op6_by_brute_force(spark):
+    rng = random.Random(11)
+    hosts, folders = ["a.net", "shop.net", "example.net", "x.example.com", "example.com", "wiki.org", "b.org", "cheap.biz", "lib.edu", "net.edu"], ["en/", "de/", "fr/", "fr/x1", "", "Q%20/"]
+    urls = [f"http{rng.choice(('', 's'))}://{rng.choice(hosts).upper() if rng.random() < 0.2 else rng.choice(hosts)}/{rng.choice(folders)}{rng.choice(('', '?q=1', '#f'))}" for _ in range(120)] + [None, "none", "x://", "x://ORG"]
+    rows, padded = [], {"block": [], "allow": []}
+    for u in urls:
+        host, path = "", ""
+        if u and "://" in u:
+            m = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1], re.S)
+            host, path = lower(m[1]), m[2]
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        letters = "^" * url_filter.ORDER + re.sub(r"[^a-z0./-]", "_", re.sub("[1-9]", "0", lower(host + path))) + "$"
+        held_out = zlib.crc32((u or "").encode()) % 5 == 0
+        rows.append((u, host, path, rule, verdict, letters, held_out))
+        if verdict and not held_out:
+            padded[verdict].append(letters)
+    scores = []
+    for *_, t, _ in rows:
+        logs = [log10(_witten_bell(padded["block"], t[i - 3 : i], t[i]) / _witten_bell(padded["allow"], t[i - 3 : i], t[i])) for i in range(3, len(t))]
+        scores.append(sum(logs) / len(logs) / log10(2.718281828459045))
+    got = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
+    threshold = got[0]["threshold"]
+    low = [x for x, r in zip(scores, rows, strict=True) if r[6] and r[4] == "allow"]
+    high = [x for x, r in zip(scores, rows, strict=True) if r[6] and r[4] == "block"]
+    at = lambda x, share: sorted(x)[max(0, -(-int(share * len(x) * 1000) // 1000) - 1)] if share * len(x) % 1 == 0 else sorted(x)[int(share * len(x))]
+    a, b = at(low, url_filter.ACCEPTED), at(high, url_filter.REJECTED)
+    assert threshold == pytest.approx((a + b) / 2 if b > a else a, abs=1e-6)
+    for g, (_, host, path, rule, verdict, *_), x in zip(got, rows, scores, strict=True):
+        assert (g["host"], g["path"], g["rule"]) == (host, path, rule) and g["score"] == pytest.approx(x, abs=1e-9)
+        assert g["verdict"] == (verdict or ("block" if x > threshold + 1e-12 else "allow"))
+
+
 def test_op9(results, rows):
     want = []
     for d, t in rows:
