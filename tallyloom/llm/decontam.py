@@ -2,28 +2,34 @@
 
 1. Benchmark items are cut into windows of ``WINDOW`` words (an item of fewer words is one
    window). 2. Words are ordered by rarity in the whole corpus: one pass counts those that occur
-   in windows. Containment must be whole, so one token is the necessary prefix of a window: its
-   rarest word. 3. A second pass finds prefix words in the documents (a hash set inside the row, no
-   shuffle), keeps the words around each, joins them with the windows of that word, drops those
-   that would leave the document (length and position bounds) and compares exactly, word by word.
-4. Only verified hits are shuffled. The benchmark is taken in blocks of at most ``BLOCK``
-   windows, so what is broadcast has a bound whatever its size.
+in windows. Containment must be whole, so one token is the necessary prefix of a window: its
+rarest word. 3. A second pass looks each document word up among the prefix words, drops windows
+that would leave the document (length and position bounds) and compares the rest exactly, word by
+word, all inside the row and before anything is shuffled. 4. Only verified hits are shuffled.
+
+Prefixes are broadcast if there are at most ``BLOCK`` windows (about 100 MB); a larger benchmark is taken in parts of
+about that size by a hash of the prefix, with a pass each. The benchmark's words are broadcast for counting if they are at most ``VOCABULARY``;
+beyond that all words of the corpus are counted (summed in each task before they are shuffled) and met by a join.
 
 Edge cases: null and empty texts have no words, are never hit and keep their row; items without
 words match nothing; equal items each count; an item without an id hits words but is not counted; repeated document rows each get a row (with equal
-texts, equal results); an empty benchmark leaves all clean. Results are exact, with no caps.
+texts, equal results); columns beside those named may have any names; an empty benchmark leaves all clean. Results are exact, with no caps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, pick, table
 
 WINDOW = 8
-BLOCK = 20_000
+#: Bounds of what is broadcast: windows, and words of the benchmark.
+BLOCK, VOCABULARY = 500_000, 1_000_000
+#: Characters of words before A-Z is lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What separates words once A-Z is lower-cased: ASCII other than digits and a-z.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,34 +46,32 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return items.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.expr(f"slice(w, s, {width})").alias("win"))
 
 
+def rarities(vocabulary: DataFrame, docs: DataFrame) -> DataFrame:
+    """(word, n) for each word of ``vocabulary`` that the corpus has."""
+    seen = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    if vocabulary.count() <= VOCABULARY:
+        return seen.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return seen.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
+
+
 def prefixed(wins: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct windows with their prefix: win, token (the rarest word in the corpus), place (its first index from 0)."""
+    """Distinct windows that the corpus may have, with their prefix: win, token (the rarest word in the corpus), place (its first index from 0)."""
     distinct = wins.select("win").distinct()
-    vocabulary = distinct.select(F.explode("win").alias("word")).distinct()
-    # Counts come out as one row for each benchmark word: that is all of the corpus that is shuffled.
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    vocabulary = materialize(vocabulary, "benchmark-words")
-    rarity = seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    each = distinct.select("win", F.posexplode("win").alias("place", "word")).join(rarity, "word", "left")
-    return each.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("m")).select(
-        "win", F.col("m.word").alias("token"), F.col("m.place").alias("place"), F.col("m.n").alias("n"))
-
-
-def _hits(docs: DataFrame, block: DataFrame, tokens: list[str], width: int) -> DataFrame:
-    """Verified occurrences: key columns, start (from 0), end, wid."""
-    rows = docs.select(*KEY, words(F.col("text")).alias("w"))
-    # (place from 1, word) of prefix words only; the set is a constant of the plan, hashed once.
-    found = F.filter(F.transform("w", lambda x, i: F.when(x.isin(tokens), i + 1)), lambda i: i.isNotNull())
-    around = F.transform(found, lambda i: F.struct(
-        i.alias("at"), F.least(i - 1, F.lit(width - 1)).alias("left"), F.element_at("w", i).alias("token"),
-        F.slice("w", F.greatest(F.lit(1), i - width + 1), F.lit(2 * width - 1)).alias("near")))
-    rows = rows.select(*KEY, F.explode(around).alias("c")).select(*KEY, "c.*")
-    joined = rows.join(F.broadcast(block), "token")
-    fits = (F.col("left") >= F.col("place")) & (F.col("left") - F.col("place") + F.size("win") <= F.size("near"))
-    joined = joined.where(fits)
-    same = F.slice("near", F.col("left") - F.col("place") + 1, F.size("win")) == F.col("win")
-    start = F.col("at") - 1 - F.col("place")
-    return joined.where(same).select(*KEY, start.alias("start"), (start + F.size("win")).alias("end"), "wid")
+    vocabulary = materialize(distinct.select(F.explode("win").alias("word")).distinct(), "benchmark-words")
+    each = distinct.select("win", F.posexplode("win").alias("place", "word")).join(rarities(vocabulary, docs), "word", "left")
+    rarest = each.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("m"))
+    # A window with a word that the corpus lacks is nowhere.
+    return rarest.where(F.col("m.n") > 0).select("win", F.col("m.word").alias("token"), F.col("m.place").alias("place"))
+
+
+def _hits(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Verified occurrences: key columns, start (from 0), end, win."""
+    each = docs.select(*KEY, words(F.col("text")).alias("w")).select(*KEY, "w", F.posexplode("w").alias("at", "token"))
+    joined = each.join(F.broadcast(prefixes), "token")
+    start = F.col("at") - F.col("place")
+    fits = (start >= 0) & (start + F.size("win") <= F.size("w"))
+    same = F.when(fits, F.slice("w", start + 1, F.size("win")) == F.col("win")).otherwise(False)
+    return joined.where(same).select(*KEY, start.alias("start"), (start + F.size("win")).alias("end"), "win")
 
 
 #: A document row: its id as text ('' for null, which no id is) and a hash of its text, since ids may repeat.
@@ -86,24 +90,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     docs = pick(documents, "doc_id", "text")
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), F.xxhash64("text").alias("row_hash"))
     wins = materialize(windows(benchmark, width), "benchmark-windows")
-    numbered = prefixed(wins, docs).withColumn("wid", F.row_number().over(W.orderBy("token", "win")) - 1)
-    keyed = materialize(numbered.withColumn("block", F.floor(F.col("wid") / BLOCK)), "benchmark-prefixes")
-    n_blocks = keyed.agg(F.max("block")).first()[0]
-    hits = None
-    for k in range(0 if n_blocks is None else n_blocks + 1):
-        block = keyed.where(F.col("block") == k).select("token", "place", "win", "wid")
-        # At most BLOCK words come to the driver, and only those that the corpus has.
-        tokens = [r[0] for r in keyed.where((F.col("block") == k) & (F.col("n") > 0)).select("token").distinct().orderBy("token").collect()]
-        if tokens:
-            found = _hits(docs, block, tokens, width)
-            hits = found if hits is None else hits.unionByName(found)
-    counted = docs.select("doc_id", *KEY, F.greatest(F.size(words(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("n_words"))
-    if hits is None:
+    prefixes = materialize(prefixed(wins, docs), "benchmark-prefixes")
+    count = prefixes.count()
+    counted = docs.select("doc_id", *KEY, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    if not count:
         nothing = F.array().cast("array<string>")
         out = counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": nothing})
     else:
-        items = keyed.select("win", "wid").join(wins, "win").select("wid", F.col("item_id").cast("string").alias("item")).distinct()
-        named = hits.join(items, "wid")
+        parts = -(-count // BLOCK)
+        part = F.pmod(F.xxhash64("token"), F.lit(parts))
+        hits = reduce(DataFrame.unionByName, [_hits(docs, prefixes if parts == 1 else prefixes.where(part == k)) for k in range(parts)])
+        items = wins.select("win", F.col("item_id").cast("string").alias("item")).distinct()
+        named = hits.join(F.broadcast(items) if wins.count() <= BLOCK else items, "win")
         # What is gathered for a document is bounded by its own length and the items found in it.
         found = named.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
         found = found.select(*KEY, covered(F.col("spans")).alias("n_hit"), "items")
@@ -145,9 +143,8 @@ FROM dw d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN items i ON i.rid = d.ri
 
 def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
     """The documents that quote fewer than ``least_items`` items, with all their columns: by default any quoted window is enough to go."""
-    tag = decontaminate(documents, benchmark, least_items=least_items).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__h")).distinct()
+    tag = decontaminate(documents, benchmark, least_items=least_items).where("contaminated").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), "row_hash").distinct()
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    plain = plain.withColumn("__tag", F.xxhash64(f"c{names.index('text')}"))
-    left = plain.join(tag, F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("__d")) & (F.col("__tag") == F.col("__h")), "left_anti")
-    return left.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    plain = plain.withColumns({"did": F.coalesce(F.col(f"c{names.index('doc_id')}").cast("string"), F.lit("")), "row_hash": F.xxhash64(f"c{names.index('text')}")})
+    return plain.join(tag, KEY, "left_anti").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 import xxhash
 
-from tallyloom.llm import ngram_lm, queries, url_filter
+from tallyloom.llm import decontam, ngram_lm, queries, url_filter
 from tallyloom.llm.common import remainder
 from tallyloom.llm.queries import ORACLES, QUERIES
 
@@ -225,6 +225,13 @@ def test_op6_by_brute_force(spark):
         assert g["verdict"] == (verdict or ("block" if x > threshold + 1e-12 else "allow"))
 
 
+def test_op7_with_a_benchmark_in_parts(spark, folder, results, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 5)
+    monkeypatch.setattr(decontam, "VOCABULARY", 3)
+    got = QUERIES["op7_decontaminate"](spark, f"{folder}/full").collect()
+    assert multiset(sorted(r.asDict().items()) for r in got) == multiset(sorted(r.items()) for r in results("op7_decontaminate"))
+
+
 def test_op9(results, rows):
     want = []
     for d, t in rows:
