@@ -9,10 +9,10 @@ differs from it by one bit lies within 3 + 1 bits of that anchor. So each finger
 replicated to every anchor within 4 bits (5.3 on average), and each anchor compares its home rows with
 the rows that reach it: no linked pair can be missed. (Wider thresholds up to 11 bits reach anchors within 3 + 11 // 3 bits.)
 
-Large corpora: with more than ``REFINE_ABOVE`` distinct fingerprints, an anchor's rows are divided
-again by five exact pieces of the bits outside the band (at most 4 differ there, so one piece is
-equal), which finds the same links. Home rows of one anchor go to chunks of about ``CHUNK``, chosen
-by a hash, and the rows that reach it are sent to each chunk, so no task has to hold a hot anchor. A chunk
+Hot anchors: the rows of an anchor with more than ``CHUNK`` home rows are divided
+again by exact pieces of the bits outside the band, one more than the threshold (so that one piece is
+equal in any linked pair), which finds the same links; an anchor's share of the comparisons then falls by the pieces' 512 values. Home rows that are still
+together go to chunks of about ``CHUNK``, chosen by a hash, and the rows that reach them are sent to each chunk, so no task has to hold a hot group. A chunk
 returns links that connect what it finds (a forest), never all pairs. Components are then found by
 alternating large-star and small-star rounds, each written to the shared folder.
 
@@ -35,8 +35,6 @@ SHINGLE, SEED, NEAR = 4, 42, 4
 #: Low bits of each band and its width.
 BANDS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 4096
-REFINE_ABOVE = 8_000_000
-PIECES = 5
 #: Fixed value: the generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
 
@@ -115,7 +113,7 @@ def anchors(values: np.ndarray, extra: int = 1) -> tuple[np.ndarray, np.ndarray,
     return home, row, values[row] ^ errors[row, col]
 
 
-def _replicas(refine: bool, extra: int, homes_only: bool = False):
+def _replicas(extra: int, homes_only: bool = False):
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -130,19 +128,22 @@ def _replicas(refine: bool, extra: int, homes_only: bool = False):
                 key = np.concatenate((home, anchor)) * len(BANDS) + b
                 side = np.concatenate((np.zeros(len(fp), np.int8), np.ones(len(row), np.int8)))
                 which = np.concatenate((np.arange(len(fp)), row))
-                if refine:
-                    rest = u & np.uint64((1 << low) - 1)
-                    if low + width < 64:
-                        rest = rest | (u >> np.uint64(low + width)) << np.uint64(low)
-                    size = -(-(64 - width) // PIECES)
-                    pieces = [(rest >> np.uint64(p * size) & np.uint64((1 << size) - 1)).astype(np.int64) for p in range(PIECES)]
-                    key = np.concatenate([((key << 12 | x[which]) * PIECES + p) for p, x in enumerate(pieces)])
-                    side, which = np.tile(side, PIECES), np.tile(which, PIECES)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fp[which])], names=["key", "side", "fp"])
 
     return run
 
 
+def pieces(fp, band, count: int):
+    """An array of ``count`` pieces of the bits of a fingerprint outside a band, each with its place."""
+    def outside(low: int, width: int):
+        above = F.shiftleft(F.shiftrightunsigned(fp, low + width), low) if low + width < 64 else F.lit(0).cast("long")
+        return fp.bitwiseAND(F.lit((1 << low) - 1).cast("long")).bitwiseOR(above)
+
+    size = -(-(64 - min(w for _, w in BANDS)) // count)
+    rest = F.when(band == 0, outside(*BANDS[0])).when(band == 1, outside(*BANDS[1])).otherwise(outside(*BANDS[2]))
+    return F.array(*[F.struct(F.lit(p).alias("p"), F.shiftrightunsigned(rest, p * size).bitwiseAND(F.lit((1 << size) - 1).cast("long")).alias("bits")) for p in range(count)])
+
+
 def _join_up(home: np.ndarray, label: np.ndarray, other: np.ndarray, near: int, src: list, dst: list) -> None:
     """Links of some rows with the home rows: each row's nearest one, and one more for each group of home rows that it joins up."""
     d = np.bitwise_count(other[:, None] ^ home[None, :])
@@ -191,18 +192,26 @@ def _compare(near: int):
     return run
 
 
-def links(distinct: DataFrame, near: int = NEAR, refine: bool | None = None) -> DataFrame:
+def links(distinct: DataFrame, near: int = NEAR) -> DataFrame:
     """From distinct fingerprints (column fp): links (a, b) with the components of all pairs within ``near`` bits (12 less one at most)."""
     extra = near // len(BANDS)
     if extra > 3:
         raise ValueError("at most 11 differing bits")
-    if refine is None:
-        refine = near < PIECES and distinct.count() > REFINE_ABOVE
     shape = "key long, side byte, fp long"
-    homes = distinct.select("fp").mapInArrow(_replicas(refine, extra, True), shape).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    chunks = homes.select(F.col("key").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    spread = distinct.select("fp").mapInArrow(_replicas(refine, extra), shape)
-    rows = spread.join(chunks, F.col("key") == F.col("k"), "left").drop("k").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    homes = distinct.select("fp").mapInArrow(_replicas(extra, True), shape)
+    # Anchors are at most the words of the code in each band, 12,288: that bounds what is broadcast.
+    hot = materialize(homes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("key").alias("hot")), "simhash-hot")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows by anchor, those of hot anchors by anchor and piece."""
+        rows = rows.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+        whole = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("bits")))
+        parts = F.when(F.col("hot").isNull(), whole).otherwise(pieces(F.col("fp"), F.col("key") % len(BANDS), near + 1))
+        return rows.select("key", "side", "fp", F.explode(parts).alias("x")).select(F.xxhash64("key", "x.p", "x.bits").alias("key"), "side", "fp")
+
+    crowds = placed(homes).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    chunks = crowds.select(F.col("key").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = placed(distinct.select("fp").mapInArrow(_replicas(extra), shape)).join(chunks, F.col("key") == F.col("k"), "left").drop("k").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("side") == 0, own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     rows = rows.select("key", "chunk", "side", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")

@@ -78,8 +78,9 @@ def test_golay_anchors_cover():
     assert all((i, int(h)) in reach for i, h in enumerate(home))
 
 
-@pytest.mark.parametrize("near,refine", [(4, False), (4, True), (11, False)])
-def test_links_find_all_components(spark, near, refine):
+@pytest.mark.parametrize("near,chunk", [(4, 4096), (4, 2), (11, 4096), (11, 3)])
+def test_links_find_all_components(spark, monkeypatch, near, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)  # with few rows in a chunk all anchors are hot
     rng = np.random.default_rng(near)
     seeds = rng.integers(0, 2**63, 40)
     prints = list(seeds)
@@ -100,7 +101,7 @@ def test_links_find_all_components(spark, near, refine):
         for b in prints[:i]:
             if (a ^ b).bit_count() <= near and root(a) != root(b):
                 group[max(root(a), root(b))] = min(root(a), root(b))
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, near, refine)).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, near)).collect()}
     assert {p: got.get(p, p) for p in prints} == {p: root(p) for p in prints}
 
 
