@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, remainder, slices, table
 
 #: Tokens of a block, tokens and words of the corpus for each shard, occurrences from which a word has several shards.
-BLOCK, SHARD, WORDS, HOT = 1 << 20, 2_000_000, 4_000_000, 1_000_000
+BLOCK, SHARD, WORDS, HOT = 1 << 19, 1_000_000, 4_000_000, 500_000
 #: Counts from which bigrams and trigrams are kept, and what is taken off them.
 LEAST, DISCOUNT = 2, 0.75
 LOWEST = -16.0  # log10 that the 16-bit codes reach
@@ -56,6 +56,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
+        self.zeros = 8 * np.arange(len(ranks)) - ranks
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -89,17 +90,27 @@ class EliasFano:
         part = part | np.where(over, self.low[np.minimum(word + 1, len(self.low) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return top << self.low_bits | (part & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
+    def _until(self, high: np.ndarray) -> np.ndarray:
+        """How many elements have at most these high bits: what stands before the zero of that number in the unary part."""
+        byte = np.searchsorted(self.zeros, high, side="right") - 1
+        inside = np.minimum(high - self.zeros[byte], 7)
+        at = byte * 8 + _BYTE_SELECT[255 ^ self.high[np.minimum(byte, len(self.high) - 1)], inside] - high
+        return np.where(byte >= len(self.high), self.n, np.minimum(at, self.n))
+
     def successor(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """First index in [lo, hi) whose element is at least ``value``, else hi."""
-        lo, hi = lo.copy(), hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
+        """First index in [lo, hi) whose element is at least ``value``, else hi. The high bits narrow the range, usually to an element or two."""
+        high = np.maximum(value, 0) >> self.low_bits
+        first = np.where(high > 0, self._until(np.maximum(high - 1, 0)), 0)
+        lo = np.minimum(np.maximum(lo, first), hi)
+        hi = np.maximum(np.minimum(hi, self._until(high)), lo)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.access(mid) < value[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ranks]
@@ -164,7 +175,7 @@ class Trie:
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Places of words in the shard; -1 for those that it lacks."""
         e = self.sequences["words"]
-        return self._same(e, e.successor(np.zeros(len(words), np.int64), np.full(len(words), e.n), words), words, np.full(len(words), e.n))
+        return self._same(e, e.successor(np.zeros(len(words), np.int64), np.full(len(words), e.n), words), words, np.full(len(words), e.n)) if e.n else np.full(len(words), -1)
 
     def find(self, level: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of each word under its context; -1 where there is none, or no context or word."""
@@ -186,12 +197,35 @@ class Trie:
             out[k[same]] = at[k[same]]
         return out
 
-    def parts(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Codes f2, g2, f3, g3 of words w after v, and after u and v; g of an unknown context is the code of 1."""
-        code = lambda name, at, none: np.where(at >= 0, self.codes[name][np.maximum(at, 0)] if len(self.codes[name]) else none, none).astype(np.uint16)
-        vi, wi, ui = self.numbers(v), self.numbers(w), self.numbers(u)
+    def _places(self, *words: np.ndarray) -> list[np.ndarray]:
+        """Places of some arrays of words; each distinct word is looked up once."""
+        distinct, of = np.unique(np.concatenate(words), return_inverse=True)
+        return list(self.numbers(distinct)[of].reshape(len(words), -1))
+
+    def _code(self, name: str, at: np.ndarray, none: int) -> np.ndarray:
+        out = np.full(len(at), none, np.uint16)
+        k = np.flatnonzero(at >= 0)
+        out[k] = self.codes[name][at[k]]
+        return out
+
+    def after(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Codes of f2 of words w after v."""
+        return self._code("f2", self.find("after", *self._places(v, w)), NONE)
+
+    def weight(self, v: np.ndarray) -> np.ndarray:
+        """Codes of g2; that of 1 for words without anything kept after them."""
+        return self._code("g2", self.numbers(v), 0)
+
+    def third(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of g3 of contexts (u, v), that of 1 for unknown ones, and of f3 of words w after them."""
+        vi, ui, wi = self._places(v, u, w)
         pair = self.find("before", vi, ui)
-        return code("f2", self.find("after", vi, wi), NONE), code("g2", vi, 0), code("f3", self.find("third", pair, wi), NONE), code("g3", pair, 0)
+        return self._code("g3", pair, 0), self._code("f3", self.find("third", pair, wi), NONE)
+
+    def parts(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes f2, g2, f3, g3 of words w after v, and after u and v."""
+        g3, f3 = self.third(v, u, w)
+        return self.after(v, w), self.weight(v), f3, g3
 
     def to_bytes(self) -> bytes:
         """Header (number of parts, length of each), then the parts, each at a multiple of 8 bytes."""
@@ -434,26 +468,32 @@ class Block:
     """A block that knows its words' numbers and counts in the corpus: its tokens and its distinct grams."""
 
     def __init__(self, row: dict):
-        #: In the order of shards, which is that of the block's own numbers.
-        self.number, self.count = (np.concatenate(x) for x in zip(*map(expand, row["answers"]), strict=True))
-        self.token = expand(row["ids"])[0]
+        # In the order of shards, which is that of the block's own numbers; from here on words are numbered by rank in the corpus.
+        number, count = (np.concatenate(x) for x in zip(*map(expand, row["answers"]), strict=True))
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.number, self.count = number[order], count[order]
+        self.token = rank[expand(row["ids"])[0]]
         self.sizes, self.held = np.array(row["lengths"], np.int64), np.array(row["held"], bool)
         ends = np.cumsum(self.sizes)
         self.first = ends - self.sizes
         place = np.arange(len(self.token)) - np.repeat(self.first, self.sizes)
-        n = self.count[self.token]
-        known = n >= LEAST
-        previous = np.roll(known, 1)
-        #: Tokens after a word that may be a context; the word before that one; each with its own.
-        self.where = np.flatnonzero((place >= 1) & previous)
-        w, v = self.token[self.where], self.token[self.where - 1]
-        u = np.where((place[self.where] >= 2) & known[self.where - 2], self.token[self.where - 2], -1)
-        w = np.where(known[self.where], w, -1)
+        known = (self.count >= LEAST)[self.token]
+        # Tokens after a word that may be a context; the word before that one; each with its own. 0 is a rare word, or none.
+        self.where = np.flatnonzero((place >= 1) & np.roll(known, 1))
+        ranked = np.where(known, self.token + 1, 0)
+        v, w, u = self.token[self.where - 1], ranked[self.where], np.where(place[self.where] >= 2, ranked[self.where - 2], 0)
         size = len(self.number) + 1
-        pair, of = np.unique(v * size + w + 1, return_inverse=True)
-        triple, self.of = np.unique(of * size + u + 1, return_inverse=True)
-        of, self.u = triple // size, triple % size - 1
-        self.v, self.w = pair[of] // size, pair[of] % size - 1
+        if size**3 < 1 << 63:
+            triple, self.of = np.unique((v * size + w) * size + u, return_inverse=True)
+            pair = triple // size
+        else:
+            pairs, of = np.unique(v * size + w, return_inverse=True)
+            triple, self.of = np.unique(of * size + u, return_inverse=True)
+            pair = pairs[triple // size]
+        self.u, self.v = triple % size - 1, pair // size
+        self.w = pair - self.v * size - 1
         train = np.repeat(~self.held, self.sizes)[self.where]
         self.n = np.bincount(self.of[train], minlength=len(triple))
 
@@ -465,17 +505,21 @@ class Block:
         c = self.count[self.v]
         v, w, u = self.number[self.v] + 1, np.where(self.w >= 0, self.number[self.w] + 1, 0), np.where(self.u >= 0, self.number[self.u] + 1, -1)
         split = 1 + c // HOT
-        shard = (mixed(v) + np.where(split > 1, mixed(u) % split, 0) * 7919) % shards
         hot = np.flatnonzero(split > 1)
+        shard = mixed(self.number + 1)[self.v]
+        if len(hot):
+            shard[hot] += mixed(u[hot]) % split[hot] * 7919
+        shard %= shards
         first = hot[np.flatnonzero(np.diff(v[hot] * (int(w.max(initial=0)) + 1) + w[hot], prepend=-1) != 0)]
-        group = np.searchsorted(first, hot, side="right") - 1
-        n2 = np.bincount(group, self.n[hot], len(first)).astype(np.int64)
-        alone = (mixed(v[first]) + mixed(w[first]) % split[first] * 7919) % shards
-        shard, v, w, c = np.concatenate((shard, alone)), np.concatenate((v, v[first])), np.concatenate((w, w[first])), np.concatenate((c, c[first]))
-        u, n = np.concatenate((u, np.full(len(first), -2))), np.concatenate((self.n, n2))
-        order = np.lexsort((u, w, v, shard))
+        self.hot, self.group, self.alone, n = hot, np.searchsorted(first, hot, side="right") - 1, len(v), self.n
+        if len(first):
+            n = np.concatenate((n, np.bincount(self.group, n[hot], len(first)).astype(np.int64)))
+            shard = np.concatenate((shard, (mixed(v[first]) + mixed(w[first]) % split[first] * 7919) % shards))
+            v, w, u, c = (np.concatenate((x, y)) for x, y in ((v, v[first]), (w, w[first]), (u, np.full(len(first), -2)), (c, c[first])))
+            order = np.lexsort((u, w, v, shard))
+        else:  # grams are sorted already
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        self.hot, self.group, self.alone = hot, group, len(self.v)
         for s in range(shards):
             if cut[s] < cut[s + 1]:
                 at = order[cut[s] : cut[s + 1]]
@@ -525,7 +569,16 @@ def _count_grams(batches):
         trie = Trie.build(two, three, contexts, total[first], np.stack((pairs // wide, pairs % wide), 1), pair_totals)
         data = trie.to_bytes()
         trie = Trie.from_buffer(data)
-        f2, g2, f3, g3 = trie.parts(tv, tw, tu)
+        # Only what was kept can be found; all of it is.
+        f2, f3, g3 = np.full(len(pair), NONE, np.uint16), np.full(len(triple), NONE, np.uint16), np.zeros(len(triple), np.uint16)
+        f2[keep2] = trie.after(two[:, 0], two[:, 1])
+        full = np.zeros(len(pairs), bool)
+        context = np.repeat(np.arange(len(pairs)), np.diff(np.append(start, len(order))))
+        full[context[(count[order] >= LEAST) & (tw[order] > 0)]] = True
+        near = order[full[context]]
+        g3[near], f3[near] = trie.third(tv[near], tu[near], tw[near])
+        g2 = trie.weight(contexts)[np.searchsorted(contexts, tv)]
+        f2 = f2[of_pair]
         heavy = np.flatnonzero(total[np.searchsorted(tv, two[:, 0])] >= HOT)
         names, at = np.unique(two[heavy, 0], return_inverse=True)
         sums = np.bincount(at, two[heavy, 2] - DISCOUNT, len(names))
