@@ -91,3 +91,61 @@ def test_near_dedup_finds_isolated_pairs(spark):
         texts += [" ".join(words), " ".join(_edited(rng, words, 0.02))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
+
+
+def _clashing(spark, rows):
+    """Documents with columns of names that operators use, or that differ by case only."""
+    wide = [(d, t, lang, s, None if t is None else len(t), -1, "k", 2.5, True, "x", None, 7, 8, 9, 1, 2, 3) for d, t, lang, s in rows]
+    names = "doc_id long, text string, lang string, source string, n_chars long, DOC_ID long, kept string, profile double, rule boolean, did string, row_hash string, c0 int, c1 int, `__n` int, `__t` int, h int, count int"
+    return spark.createDataFrame(wide, names)
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    rng = random.Random(21)
+    base = prose(rng, 90)
+    near, item, long = _edited(rng, base.split(), 0.02), prose(rng, 12), prose(rng, 40_000)
+    rows = [
+        (1, base, "en", "a"), (2, base, None, "a"), (3, " ".join(near), "en", None), (8, prose(rng, 60), "en", "a"), (8, prose(rng, 70), "en", "b"), (8, " ".join(_edited(rng, base.split(), 0.02)), "en", "b"),
+        (None, prose(rng, 50), "fr", "a"), (None, base, "fr", "a"), (9, None, None, None), (10, "", "en", "a"), (11, "\t\n", "en", "a"), (12, long, "de", "c"), (13, prose(rng, 30) + " " + item + " " + prose(rng, 30), "en", "a"),
+        (14, prose(rng, 40), "en", "a"), (14, prose(rng, 41), "en", "a"), (15, "seven words are too few to stay", "en", "a"),
+    ]
+    rows += [(16, rows[3][1] + " " + prose(rng, 60), "en", "a")] * 3
+    docs = _clashing(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        # Each stage on all the rows, whatever its predecessors would have left.
+        kept = stages["quality_rules"](spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and of(kept) == sorted(((d, t) for d, t, *_ in rows if len((t or "").split()) >= 20), key=str)
+        kept = stages["simhash_near_dedup"](spark, docs, str(tmp_path))
+        gone = [(2, base), (3, rows[2][1]), (8, rows[5][1]), (None, base), (10, ""), (11, "\t\n"), (16, rows[-1][1]), (16, rows[-1][1])]
+        want = sorted(((d, t) for d, t, *_ in rows), key=str)
+        for x in gone:
+            want.remove(x)
+        assert kept.columns == docs.columns and of(kept) == want
+        kept = stages["decontamination"](spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and of(kept) == sorted(((d, t) for d, t, *_ in rows if d != 13), key=str)
+        mixed = stages["mixing"](spark, docs, str(tmp_path))
+        assert mixed.columns == docs.columns and {x for x in of(mixed)} <= {(d, t) for d, t, *_ in rows if (t or "").split()}
+        ids = stages["token_ids"](spark, docs, str(tmp_path)).collect()
+        assert len(ids) == len(rows) and sum(r["n_tokens"] == 1 for r in ids) == 3
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_odd_names_without_case(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 40), "en", "a", 1, "k") for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clash = docs.toDF("doc_id", "text", "lang", "source", "DOC_ID", "Text")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for table in (clash, clash.limit(0)):
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == clash.columns and (out.count() > 0) == (table is clash), name
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

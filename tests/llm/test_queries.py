@@ -6,12 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
+from pathlib import Path
 
 import duckdb
 import pytest
 import xxhash
 
-from tallyloom.llm import decontam, ngram_lm, queries, url_filter
+from pyspark.sql import functions as F
+from tallyloom.llm import decontam, langid, ngram_lm, quality, queries, secret_scan, url_filter
 from tallyloom.llm.common import remainder
 from tallyloom.llm.queries import ORACLES, QUERIES
 
@@ -262,3 +264,77 @@ def test_op10(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+SMALL = Path("/root/testdata/sf0.01")
+needs_data = pytest.mark.skipif(not SMALL.exists(), reason="no test data here")
+
+
+@needs_data
+def test_op3_on_held_out_labels(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic is not null").collect()}
+    got = [r for r in QUERIES["op3_toxicity"](spark, str(SMALL)).collect() if r["held_out"] and r["doc_id"] in labels]
+    hit, toxic = sum(r["predicted"] and labels[r["doc_id"]] for r in got), sum(labels[r["doc_id"]] for r in got)
+    wrong = sum(r["predicted"] and not labels[r["doc_id"]] for r in got)
+    assert toxic > 3 and hit >= 0.85 * toxic and wrong <= 0.03 * (len(got) - toxic)
+
+
+@needs_data
+def test_op4_on_held_out_languages(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null").collect()}
+    got = [r for r in QUERIES["op4_language_id"](spark, str(SMALL)).collect() if r["held_out"] and r["doc_id"] in langs and r["lang_pred"] != "und"]
+    right = [r["lang_pred"] == langs[r["doc_id"]] for r in got]
+    assert len(got) > 200 and sum(right) >= 0.97 * len(right)
+    # Calibrated: scores say about how often they are right.
+    assert abs(sum(r["score"] for r in got) / len(got) - sum(right) / len(right)) < 0.05
+
+
+def test_op4_learns_rare_languages(spark):
+    rng = random.Random(5)
+    kinds = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ber"], "zz": ["eau", "tion", "oi"]}
+    make = lambda l: " ".join("".join(rng.choice(kinds[l]) for _ in range(3)) for _ in range(15))  # noqa: E731, E741
+    rows = [(i, make(l), l) for i, l in enumerate(["aa"] * 500 + ["bb"] * 490 + ["zz"] * 10)]  # noqa: E741
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=90)
+    assert model.languages == ["aa", "bb", "zz"] and sum(model.predict(make(l))[0] == l for l in sorted(kinds) * 10) >= 28  # noqa: E741
+
+
+@needs_data
+def test_op9_on_labels(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality is not null").collect()}
+    got = [r for r in QUERIES["op9_quality_rules"](spark, str(SMALL)).collect() if r["doc_id"] in labels]
+    good = [r["kept"] for r in got if labels[r["doc_id"]] == 1]
+    bad = [r["kept"] for r in got if labels[r["doc_id"]] == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.5 * len(bad)
+
+
+def test_op9_verdicts_are_the_list_by_hand(spark, folder):
+    docs = spark.read.parquet(f"{folder}/full/documents.parquet")
+    rules = [quality.Rule((("mark_ratio", True, 0.5), ("n_words", True, 1.0))), quality.Rule((("distinct_ratio", False, 0.2),)), quality.Rule((("word_length", True, 5.0),))]
+    for r in quality.judge(docs, rules).collect():
+        x = {c: r[c] for c in quality.COUNTS}
+        value = lambda f: x[(p := quality.FEATURES[f])[0]] / (max(1, x[p[1]]) if p[1] else 1)  # noqa: B023, E731
+        fired = next((q.describe() for q in rules if all((value(f) >= t) if g else (value(f) <= t) for f, g, t in q.conditions)), None)
+        assert r["rule"] == (None if r["base_failed"] else fired) and r["kept"] == (not r["base_failed"] and fired is None)
+
+
+def test_op10_on_odd_rows(spark, folder, results, rows):
+    got = results("op10_secret_scan")
+    want = []
+    for d, t in rows:
+        spans = secret_scan.base_spans(t or "")
+        want.append((d, *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(secret_scan.written(spans).encode()).hexdigest()))
+    assert multiset(want) == multiset((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got)
+    long = "plain words and more of them " * 40_000 + "password = hunter2hunter2 " + "and so on " * 1000
+    frame = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, "token: abcdefgh1\x01\x02", "y")], "doc_id long, text string, DOC_ID string")
+    at = long.index("password")
+    out = secret_scan.scan(frame, secret_scan.Field()).collect()
+    assert sorted(r["n_assign"] for r in out) == [1, 1, 1] and sum(f"assign:{at}:{at + len('password = hunter2hunter2')}" in r["spans"] for r in out) == 2
+
+
+@pytest.mark.parametrize("name", ["op3_toxicity", "op5_lm_score", "op6_url_filter", "op7_decontaminate", "op9_quality_rules"])
+def test_names_may_clash_in_every_table(spark, folder, results, tmp_path, name):
+    for t in ("documents", "benchmark", "labels", "pages"):
+        df = spark.read.parquet(f"{folder}/full/{t}.parquet")
+        extra = [F.lit(1).alias(c) for c in ("token", "win", "word", "n", "gram", "spell", "h", "kept", "item", "block") if c not in df.columns]
+        df.select("*", *extra).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert multiset(sorted(r.asDict().items()) for r in QUERIES[name](spark, str(tmp_path)).collect()) == multiset(sorted(r.items()) for r in results(name))
