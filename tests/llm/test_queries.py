@@ -270,13 +270,14 @@ SMALL = Path("/root/testdata/sf0.01")
 needs_data = pytest.mark.skipif(not SMALL.exists(), reason="no test data here")
 
 
-@needs_data
+@pytest.mark.skipif(not SMALL.with_name("sf0.1").exists(), reason="no test data here")
 def test_op3_on_held_out_labels(spark):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic is not null").collect()}
-    got = [r for r in QUERIES["op3_toxicity"](spark, str(SMALL)).collect() if r["held_out"] and r["doc_id"] in labels]
+    folder = SMALL.with_name("sf0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    got = [r for r in QUERIES["op3_toxicity"](spark, str(folder)).collect() if r["held_out"] and r["doc_id"] in labels]
     hit, toxic = sum(r["predicted"] and labels[r["doc_id"]] for r in got), sum(labels[r["doc_id"]] for r in got)
     wrong = sum(r["predicted"] and not labels[r["doc_id"]] for r in got)
-    assert toxic > 3 and hit >= 0.85 * toxic and wrong <= 0.03 * (len(got) - toxic)
+    assert toxic > 100 and hit >= 0.87 * toxic and wrong <= 0.01 * (len(got) - toxic)
 
 
 @needs_data
