@@ -95,15 +95,16 @@ def packed(rows: DataFrame, max_length: int) -> DataFrame:
     first = F.min("i").over(W.partitionBy("session", "island", "position"))
     rest = rest.withColumn("starts", (F.col("i") == first) & (first == 0))
     steps = rest.groupBy("session", "island").agg(F.array_sort(F.collect_list(F.struct("place", "starts", "n_ops"))).alias("steps"))
-    zero = F.struct(F.lit(0).alias("length"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("packs"))
+    zero = F.struct(F.lit(0).alias("length"), F.array().cast("array<int>").alias("cuts"))
 
     def step(a, s):
         full = (a["length"] >= max_length) | (s["starts"] & (a["length"] > 0) & (a["length"] + s["n_ops"] > max_length))
-        pack = a["pack"] + F.when(full, 1).otherwise(0)
-        return F.struct((F.when(full, 0).otherwise(a["length"]) + 1).alias("length"), pack.alias("pack"), F.concat(a["packs"], F.array(pack)).alias("packs"))
+        return F.struct((F.when(full, 0).otherwise(a["length"]) + 1).alias("length"), F.when(full, F.concat(a["cuts"], F.array(s["place"]))).otherwise(a["cuts"]).alias("cuts"))
 
-    packs = steps.select("session", "island", F.posexplode(F.aggregate("steps", zero, step, lambda a: a["packs"])).alias("at", "pack"))
-    rest = rest.drop("starts").join(packs.withColumn("place", F.col("at") + 1).drop("at"), ["session", "island", "place"])
+    # Only the places where packs begin leave the fold; a pack's number is how many lie up to it.
+    cuts = steps.select("session", "island", F.explode(F.aggregate("steps", zero, step, lambda a: a["cuts"])).alias("place")).withColumn("cut", F.lit(1))
+    rest = rest.drop("starts").join(cuts, ["session", "island", "place"], "left")
+    rest = rest.withColumn("pack", F.sum(F.coalesce("cut", F.lit(0))).over(one.orderBy("place")).cast("int")).drop("cut")
     return simple.unionByName(rest.select(*simple.columns)).drop("place", "simple")
 
 
