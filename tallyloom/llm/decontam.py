@@ -28,8 +28,6 @@ from .common import ascii_lower, materialize, pick, table
 WINDOW = 8
 #: Bounds of what is broadcast: windows, and words of the benchmark.
 BLOCK, VOCABULARY = 500_000, 1_000_000
-#: Characters of words before A-Z is lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What separates words once A-Z is lower-cased: ASCII other than digits and a-z.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -92,7 +90,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     wins = materialize(windows(benchmark, width), "benchmark-windows")
     prefixes = materialize(prefixed(wins, docs), "benchmark-prefixes")
     count = prefixes.count()
-    counted = docs.select("doc_id", *KEY, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", *KEY, F.size(words(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
     if not count:
         nothing = F.array().cast("array<string>")
         out = counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": nothing})
