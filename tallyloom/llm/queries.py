@@ -18,4 +18,4 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 #: Only what SQL can express; the others are tested against brute force or round trips in tests/llm.
-ORACLES = {"op7_decontaminate": decontam.ORACLE, "op8_mix_sources": mixing.ORACLE}
+ORACLES = {"op6_url_filter": url_filter.ORACLE, "op7_decontaminate": decontam.ORACLE, "op8_mix_sources": mixing.ORACLE}

@@ -90,14 +90,15 @@ def score(rows: DataFrame, ratios: DataFrame) -> DataFrame:
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     keep = [c for c in numbered.columns if c != "spell"]
     joined = _grams(numbered, *keep).join(F.broadcast(ratios), "gram", "left")
-    return joined.groupBy(*keep).agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score")).drop("row")
+    # Rounded, so that it does not depend on the order of the sum.
+    return joined.groupBy(*keep).agg(F.round(F.avg(F.coalesce("ratio", F.lit(0.0))), 9).alias("score")).drop("row")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold."""
     rows = pick(pages, "page_id", "url")
     host, path = host_and_path(F.col("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"), (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0).alias("held"))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), (F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0).alias("held"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "spell": spelled(F.col("host"), F.col("path"))})
     rows = rows.withColumn("label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
@@ -120,4 +121,36 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op6_url_filter(spark, sf_dir):
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _twin() -> str:
+    """The same in SQL."""
+    quoted = lambda x: "'" + x + "'"
+    rules = ", ".join(f"({quoted(v)}, {quoted(h)}, {quoted(p)})" for v, h, p in RULES)
+    steps, p = [], {c: f"1.0::DOUBLE / {LETTERS}" for c in "ar"}
+    for k in range(ORDER + 1):
+        before = f"o{k - 1}" if k else "(SELECT gram, " + ", ".join(f"{p[c]} AS p{c}" for c in "ar") + " FROM counts)"
+        steps.append(f"""l{k} AS (SELECT right(gram, {k + 1}) AS s, sum(a) AS a, sum(r) AS r FROM counts GROUP BY ALL),
+c{k} AS (SELECT left(s, {k}) AS c, sum(a) AS na, sum(r) AS nr, count(*) FILTER (WHERE a > 0) AS ta, count(*) FILTER (WHERE r > 0) AS tr FROM l{k} GROUP BY ALL),
+o{k} AS (SELECT o.gram, CASE WHEN na + ta > 0 THEN (l.a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nr + tr > 0 THEN (l.r + tr * pr) / (nr + tr) ELSE pr END AS pr
+  FROM {before} o JOIN l{k} l ON l.s = right(o.gram, {k + 1}) JOIN c{k} c ON c.c = left(l.s, {k}))""")
+    share = lambda label, q: f"(SELECT min(score) FROM (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM judged WHERE held AND label = {label}) WHERE i >= ceil({q} * n))"
+    return f"""
+WITH parts AS (SELECT row_number() OVER () AS id, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT id, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+ruled AS (SELECT s.*, (SELECT max_by(h || p, length(h || p)) FROM (VALUES {rules}) r(v, h, p) WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM split s),
+rows_ AS (SELECT u.*, (SELECT v FROM (VALUES {rules}) r(v, h, p) WHERE h || p = rule) AS decided, CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 5 = 0 AS held,
+  '{"^" * ORDER}' || regexp_replace(translate(translate(host || path, '{UPPER}', '{UPPER.lower()}'), '123456789', '000000000'), '[^a-z0./-]', '_', 'g') || '$' AS spell
+  FROM ruled u),
+marked AS (SELECT *, CASE decided WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label FROM rows_),
+grams AS (SELECT id, label, held, substr(spell, i, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(spell) - {ORDER} + 1)) AS i FROM marked)),
+counts AS (SELECT gram, count(*) FILTER (WHERE label = 0 AND NOT held) AS a, count(*) FILTER (WHERE label = 1 AND NOT held) AS r FROM grams GROUP BY gram),
+{", ".join(steps)},
+judged AS (SELECT m.*, s.score FROM marked m JOIN (SELECT id, round(avg(ln(pr) - ln(pa)), 9) AS score FROM grams JOIN o{ORDER} USING (gram) GROUP BY id) s USING (id)),
+bounds AS (SELECT {share(0, ACCEPTED)} AS low, {share(1, REJECTED)} AS high),
+cut AS (SELECT CASE WHEN high IS NULL THEN 'infinity'::DOUBLE WHEN low IS NULL THEN 0.0 WHEN high > low THEN (low + high) / 2 ELSE low END AS t FROM bounds)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score > t THEN 'block' ELSE 'allow' END) AS verdict FROM judged, cut"""
+
+
+ORACLE = _twin()
