@@ -33,7 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return pick(df, *columns) if columns else df
 
 
-materialize = written
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    ``rows``: most rows of an Arrow batch while it is written, for plans with long texts or blocks; the session's own setting stands again afterwards.
+    """
+    if rows is None:
+        return written(df, name)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def slices(batches, rows: int = 256):

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import discard
 from .common import materialize, over_texts, pick, slices, table
 
 SHINGLE, SEED, NEAR = 4, 42, 4
@@ -235,8 +236,9 @@ def components(edges: DataFrame) -> DataFrame:
     down = materialize(down, "cc")
     check = None
     while True:
-        down = star(down, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        down = materialize(star(down, False), "cc")
+        before, half = down, materialize(star(down, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
+        down = materialize(star(half, False), "cc")
+        discard(before), discard(half)
         now = down.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == check:
             break
@@ -253,7 +255,7 @@ def printed(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.mapInArrow(prints, f"doc_id {kind}, h long, fp long"), "simhash-prints")
+    return materialize(docs.mapInArrow(prints, f"doc_id {kind}, h long, fp long"), "simhash-prints", 256)
 
 
 def near_duplicates(documents: DataFrame, width: int = SHINGLE, near: int = NEAR) -> DataFrame:
@@ -405,7 +407,7 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
             keys = pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "keys", "size"])
 
-    prints = materialize(docs.mapInArrow(banded, f"doc_id {kind}, h long, keys array<long>, size long"), "dedup-prints")
+    prints = materialize(docs.mapInArrow(banded, f"doc_id {kind}, h long, keys array<long>, size long"), "dedup-prints", 256)
     nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size")), "dedup-nodes")
     spread = nodes.select("h", "size", F.posexplode("keys").alias("band", "k")).select("h", "size", F.xxhash64("band", "k").alias("key"))
     groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("n > 1")
@@ -416,13 +418,13 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
     shingles = over_texts("binary", lambda texts: pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary()), 64)
 
     texts = docs.join(needed, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["nh"])
-    sets = materialize(texts.select("nh", shingles("text").alias("set")), "dedup-sets")
+    sets = materialize(texts.select("nh", shingles("text").alias("set")), "dedup-sets", 64)
     own = F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")
     placed = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("key", "chunk", F.when(F.col("chunk") == own, 0).otherwise(1).cast("byte").alias("side"), "h")
     placed = placed.join(sets, F.col("h") == F.col("nh")).select("key", "chunk", "side", "h", "set")
     placed = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
-    return nodes, materialize(placed.mapInArrow(_verify(least), "a long, b long"), "dedup-verified")
+    return nodes, materialize(placed.mapInArrow(_verify(least), "a long, b long"), "dedup-verified", 64)
 
 
 def first_of_each(documents: DataFrame, width: int = FILTER_WIDTH, least: float = ALIKE) -> DataFrame:

@@ -303,7 +303,7 @@ def write_ids(documents: DataFrame, name: str = TOKENIZER, end: int = END) -> Da
     kind = docs.schema["doc_id"].dataType
     ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
     blocks = ranged.mapInArrow(_writer(name, end, to_arrow_type(kind)), FILE.format(kind=kind.simpleString()))
-    return materialize(blocks, "token-ids")
+    return materialize(blocks, "token-ids", 256)
 
 
 def _reader(batches):
