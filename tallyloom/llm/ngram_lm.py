@@ -8,7 +8,7 @@ kept) and g one less the sum of f. What unknown words get is the discounted mass
 The model grows with the corpus and lies in *shards*: all n-grams after a context word v are in the shard of v (a word with more than ``HOT`` occurrences has
 several shards: its bigrams by the word after, its trigrams by the word before). A shard is a trie in four monotone, Elias-Fano coded
 sequences (low bits packed, high bits unary, with a rank directory for select): its words, successors of v, predecessors of v, and
-successors of (u, v), each with pointers from contexts to ranges; f and g are quantised to 16 bits. A query finds a context's range by two pointers and
+successors of (u, v), each with pointers from contexts to ranges; f and g are quantised to 12 bits. A query finds a context's range by two pointers and
 makes a successor search relative to the context's base inside it; all is vectorised. Levels are flat buffers that are used in place, from the rows
 of the model's table or from a memory-mapped file (``Trie.map``).
 
@@ -38,8 +38,9 @@ from .common import materialize, pick, remainder, slices, table
 BLOCK, SHARD, WORDS, HOT = 1 << 19, 1_000_000, 4_000_000, 500_000
 #: Counts from which bigrams and trigrams are kept, and what is taken off them.
 LEAST, DISCOUNT = 2, 0.75
-LOWEST = -16.0  # log10 that the 16-bit codes reach
-NONE = 65535  # the code of what is not kept
+LOWEST = -16.0  # log10 that the codes reach
+LEVELS = 4095  # codes of values; the last one more is that of what is not kept
+NONE = LEVELS
 
 
 # --- Elias-Fano sequences -------------------------------------------------------------------------------------------
@@ -126,10 +127,10 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 def quantise(values: np.ndarray) -> np.ndarray:
     """Codes of the log10 of values in (0, 1]."""
-    return np.clip(np.rint(np.log10(np.maximum(values, 1e-300)) / LOWEST * 65534), 0, 65534).astype(np.uint16)
+    return np.clip(np.rint(np.log10(np.maximum(values, 1e-300)) / LOWEST * (LEVELS - 1)), 0, LEVELS - 1).astype(np.uint16)
 
 
-_values = np.append(10.0 ** (np.arange(65535) * (LOWEST / 65534)), 0.0)
+_values = np.append(10.0 ** (np.arange(LEVELS) * (LOWEST / (LEVELS - 1))), 0.0)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
@@ -304,7 +305,7 @@ def _unsteps(d: np.ndarray, restart: np.ndarray) -> np.ndarray:
 
 
 def pack_grams(v, w, u, n, counts) -> bytes:
-    """Grams sorted by (v, w, u), with the corpus counts of their distinct v. u is -1 for none and -2 for a bigram that stands alone."""
+    """Grams sorted by (v, w, u), with the corpus counts of their distinct v (0 if not hot). u is -1 for none and -2 for a bigram that stands alone."""
     new_v = np.diff(v, prepend=-1) != 0
     new_w = new_v | (np.diff(w, prepend=-1) != 0)
     return squeeze(np.diff(v, prepend=0), _steps(w, new_v), _steps(u + 2, new_w), n, counts)
@@ -319,6 +320,44 @@ def unpack_grams(data: bytes) -> tuple[np.ndarray, ...]:
     return v, w, _unsteps(du, new_w) - 2, n, counts[np.cumsum(new_v) - 1]
 
 
+def ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, rank of each) of whole numbers from 0; by marks where the values are small enough for that, which is faster."""
+    most = int(x.max(initial=0))
+    if most > 64 * len(x) + 1000:
+        return np.unique(x, return_inverse=True)
+    seen = np.zeros(most + 1, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+
+
+def _as_one(*ranked: np.ndarray) -> np.ndarray | None:
+    """Columns of ranks as one number a row, in the same order; None if they do not fit."""
+    bits = [int(x.max(initial=0)).bit_length() for x in ranked]
+    if sum(bits) > 62:
+        return None
+    out = ranked[0]
+    for x, b in zip(ranked[1:], bits[1:], strict=True):
+        out = out << b | x
+    return out
+
+
+def in_order(*ranked: np.ndarray) -> np.ndarray:
+    """The order of rows by their columns of ranks."""
+    one = _as_one(*ranked)
+    return np.lexsort(ranked[::-1]) if one is None else np.argsort(one)
+
+
+def distinct(*ranked: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of columns of ranks, in order, column by column; then the number of each row among them."""
+    order = in_order(*ranked)
+    new = np.zeros(len(order), bool)
+    for x in ranked:
+        new |= np.diff(x[order], prepend=-1) != 0
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return [*(x[order[new]] for x in ranked), of]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well-spread 31-bit hashes of whole numbers."""
     h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -385,7 +424,7 @@ def _joined(words: list[bytes]) -> bytes:
     """Words hold no space, so spaces part them."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+    return zstandard.ZstdCompressor(level=6).compress(b" ".join(words))
 
 
 def _parted(data: bytes) -> list[bytes]:
@@ -435,11 +474,10 @@ def _word_shards(shards: int):
     return run
 
 
-def _count_words(shards: int):
+def _count_words():
     """At a shard: sums the counts of each word, numbers the words by rank, and answers each block with numbers and counts.
 
-    A row with block -1 has the shard's sums: tokens, words that occur, once, and twice. A word's number in the corpus is its rank times the
-    number of shards plus its shard's.
+    A row with block -1 has the shard's sums: tokens, words that occur, once, and twice.
     """
     def run(batches):
         for shard, rows in _groups(batches, 0):
@@ -456,7 +494,7 @@ def _count_words(shards: int):
             rank[np.argsort(-total, kind="stable")] = np.arange(len(local))
             yield _mail([shard], [-1], [squeeze(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))], [None])
             for block, at, _ in asked:
-                yield _mail([shard], [block], [squeeze(rank[at] * shards + shard, total[at])], [None])
+                yield _mail([shard], [block], [squeeze(rank[at], total[at])], [None])
 
     return run
 
@@ -464,12 +502,18 @@ def _count_words(shards: int):
 # --- Grams ----------------------------------------------------------------------------------------------------------
 
 
+def numbered(shards: list[int], answers: list[bytes], of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the corpus (rank in the shard times the number of shards plus the shard) and counts of a block's words, in the order of shards."""
+    parts = [(rank * of + s, count) for s, (rank, count) in zip(shards, map(expand, answers), strict=True)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
 class Block:
     """A block that knows its words' numbers and counts in the corpus: its tokens and its distinct grams."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, word_shards: int):
         # In the order of shards, which is that of the block's own numbers; from here on words are numbered by rank in the corpus.
-        number, count = (np.concatenate(x) for x in zip(*map(expand, row["answers"]), strict=True))
+        number, count = numbered(row["shards"], row["answers"], word_shards)
         order = np.argsort(number)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -526,12 +570,12 @@ class Block:
                 yield s, at, v[at], w[at], u[at], n[at], c[at]
 
 
-def _ask_grams(shards: int):
+def _ask_grams(word_shards: int, shards: int):
     def run(batches):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            for s, _, v, w, u, n, c in Block(row).grams(shards):
-                yield _mail([s], [row["block"]], [pack_grams(v, w, u, n, c[np.diff(v, prepend=-1) != 0])], [None])
+            for s, _, v, w, u, n, c in Block(row, word_shards).grams(shards):
+                yield _mail([s], [row["block"]], [pack_grams(v, w, u, n, np.where(c >= HOT, c, 0)[np.diff(v, prepend=-1) != 0])], [None])
 
     return run
 
@@ -542,70 +586,76 @@ def _count_grams(batches):
     A row with block -1 has the trie (``data``), and the sums of f2 of hot words (``more``), whose bigrams lie in several shards.
     """
     for shard, rows in _groups(batches, 0):
-        asked = [(block, unpack_grams(data)) for _, block, data, _ in rows]
-        v, w, u, n, c = (np.concatenate([x[k] for _, x in asked]) for k in range(5))
-        wide = int(max(v.max(), w.max(), u.max())) + 3
-        pair, of_pair = np.unique(v * wide + w, return_inverse=True)
-        triple, of = np.unique(of_pair * wide + u + 2, return_inverse=True)
-        count = np.bincount(of, n, len(triple)).astype(np.int64)
-        of_pair, tu = triple // wide, triple % wide - 2
-        tv, tw = pair[of_pair] // wide, pair[of_pair] % wide
-        total = np.zeros(len(triple), np.int64)
-        total[of] = c
-        hot = total >= HOT
+        blocks, parts = [block for _, block, _, _ in rows], [unpack_grams(data) for _, _, data, _ in rows]
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
+        v, w, u, n, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        rows.clear(), parts.clear()
+        (vs, v), (ws, w), (us, u) = ranks(v), ranks(w), ranks(u + 2)
+        vi, wi, ui, of = distinct(v, w, u)
+        tv, tw, tu = vs[vi], ws[wi], us[ui] - 2
+        new_pair = (np.diff(vi, prepend=-1) != 0) | (np.diff(wi, prepend=-1) != 0)
+        of_pair, pair = np.cumsum(new_pair) - 1, np.flatnonzero(new_pair)
+        count = np.bincount(of, n, len(vi)).astype(np.int64)
+        # A word that is not hot has all its grams here, so their counts sum to its own.
+        first, of_context, contexts = np.flatnonzero(np.diff(vi, prepend=-1) != 0), vi, vs
+        told = np.zeros(len(vi), np.int64)
+        told[of] = c
+        total = np.where(told[first] > 0, told[first], np.bincount(of_context, count, len(contexts)).astype(np.int64))
+        hot = (told[first] > 0)[of_context]
         # Bigrams: of hot words those that stand alone, of others all grams together.
         mine = np.where(hot, tu == -2, True)
         n2 = np.bincount(of_pair[mine], count[mine], len(pair)).astype(np.int64)
-        keep2 = np.flatnonzero((n2 >= LEAST) & (pair % wide > 0))
-        two = np.stack((pair[keep2] // wide, pair[keep2] % wide, n2[keep2]), 1)
-        contexts, first = np.unique(tv, return_index=True)
+        keep2 = np.flatnonzero((n2 >= LEAST) & (tw[pair] > 0))
+        two = np.stack((tv[pair[keep2]], tw[pair[keep2]], n2[keep2]), 1)
         # Trigrams, by (v, u, w); the count of a context (u, v) is that of all words after it.
         third = np.flatnonzero(tu > 0)
-        order = third[np.lexsort((tw[third], tu[third], tv[third]))]
-        pairs, start = np.unique(tv[order] * wide + tu[order], return_index=True)
+        order = third[in_order(vi[third], ui[third], wi[third])]
+        start = np.flatnonzero((np.diff(vi[order], prepend=-1) != 0) | (np.diff(ui[order], prepend=-1) != 0))
+        pairs = np.stack((tv[order[start]], tu[order[start]]), 1)
         pair_totals = np.add.reduceat(count[order], start) if len(order) else np.zeros(0, np.int64)
         keep3 = order[(count[order] >= LEAST) & (tw[order] > 0)]
         three = np.stack((tv[keep3], tu[keep3], tw[keep3], count[keep3]), 1)
-        trie = Trie.build(two, three, contexts, total[first], np.stack((pairs // wide, pairs % wide), 1), pair_totals)
+        trie = Trie.build(two, three, contexts, total, pairs, pair_totals)
         data = trie.to_bytes()
         trie = Trie.from_buffer(data)
         # Only what was kept can be found; all of it is.
-        f2, f3, g3 = np.full(len(pair), NONE, np.uint16), np.full(len(triple), NONE, np.uint16), np.zeros(len(triple), np.uint16)
+        f2, f3, g3 = np.full(len(pair), NONE, np.uint16), np.full(len(vi), NONE, np.uint16), np.zeros(len(vi), np.uint16)
         f2[keep2] = trie.after(two[:, 0], two[:, 1])
         full = np.zeros(len(pairs), bool)
         context = np.repeat(np.arange(len(pairs)), np.diff(np.append(start, len(order))))
         full[context[(count[order] >= LEAST) & (tw[order] > 0)]] = True
         near = order[full[context]]
         g3[near], f3[near] = trie.third(tv[near], tu[near], tw[near])
-        g2 = trie.weight(contexts)[np.searchsorted(contexts, tv)]
+        g2 = np.where(told[first] > 0, 0, trie.weight(contexts))
         f2 = f2[of_pair]
-        heavy = np.flatnonzero(total[np.searchsorted(tv, two[:, 0])] >= HOT)
+        heavy = np.flatnonzero((told[first] > 0)[np.searchsorted(contexts, two[:, 0])])
         names, at = np.unique(two[heavy, 0], return_inverse=True)
         sums = np.bincount(at, two[heavy, 2] - DISCOUNT, len(names))
         yield _mail([shard], [-1], [data], [squeeze(names, np.rint(sums * 4).astype(np.int64))])
-        a = 0
-        for block, x in asked:
-            part = of[a : a + len(x[0])]
-            a += len(x[0])
-            yield _mail([shard], [block], [squeeze(f2[part], np.where(hot[part], 0, g2[part]), f3[part], g3[part])], [None])
+        for block, a, b in zip(blocks, cut, cut[1:], strict=False):
+            part = of[a:b]
+            own = of_context[part[np.diff(v[a:b], prepend=-1) != 0]]
+            # g2 once for each word; the code of what was not kept becomes 0.
+            yield _mail([shard], [block], [squeeze((f2[part] + 1) % (NONE + 1), g2[own], (f3[part] + 1) % (NONE + 1), g3[part])], [None])
 
 
 # --- Scores ---------------------------------------------------------------------------------------------------------
 
 
-def _score(shards: int, total: int, kinds: int, d1: float):
+def _score(word_shards: int, shards: int, total: int, kinds: int, d1: float):
     unknown = d1 * kinds / total if total else 1.0
 
     def run(batches):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            b = Block(row)
+            b = Block(row, word_shards)
             answers = dict(zip(row["gram_shards"] or (), row["gram_answers"] or (), strict=True))
             codes = None
-            for s, at, *_ in b.grams(shards):
+            for s, at, v, *_ in b.grams(shards):
                 if codes is None:
                     codes = np.zeros((4, b.alone + int(b.group.max(initial=-1)) + 1), np.int64)
-                codes[:, at] = expand(answers[s])
+                f2, g2, f3, g3 = expand(answers[s])
+                codes[:, at] = f2 - 1, g2[np.cumsum(np.diff(v, prepend=-1) != 0) - 1], f3 - 1, g3
             c = b.count
             base_of = np.log10((c + 1) / (total + kinds + 1))
             p = (np.where(c > 0, (c - d1) / total, unknown) if total else np.ones(len(c)))[b.token]
@@ -634,11 +684,11 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     docs = pick(documents, "doc_id", "text", "held_out")
     kind = docs.schema["doc_id"].dataType
-    blocks = materialize(docs.mapInArrow(_blocks(to_arrow_type(kind)), BLOCKS.format(kind=kind.simpleString())), "lm-blocks")
+    blocks = materialize(docs.mapInArrow(_blocks(to_arrow_type(kind)), BLOCKS.format(kind=kind.simpleString())), "lm-blocks", 256)
     # Shards are as many as the corpus is large, by the tokens and words that its blocks have.
     tokens = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     word_shards, shards = 1 + tokens // WORDS, 1 + tokens // SHARD
-    words = materialize(_at_shards(blocks.select("block", "words", "counts").mapInArrow(_word_shards(word_shards), MAIL), _count_words(word_shards)), "lm-words")
+    words = materialize(_at_shards(blocks.select("block", "words", "counts").mapInArrow(_word_shards(word_shards), MAIL), _count_words()), "lm-words", 16)
     sums = np.zeros(4, np.int64)
     for r in words.where("block = -1").select("data").toLocalIterator():  # four numbers a shard
         sums += expand(r["data"])[0]
@@ -646,18 +696,18 @@ def score_documents(documents: DataFrame) -> DataFrame:
     d1 = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
     told = words.where("block >= 0").groupBy(F.col("block").alias("b")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("shard", "data"))), lambda x: x["data"]).alias("answers"))
+        F.sort_array(F.collect_list(F.struct("shard", "data"))).alias("a")).select("b", F.col("a.shard").alias("shards"), F.col("a.data").alias("answers"))
     known = blocks.select("block", "doc_ids", "held", "lengths", "ids").join(told, F.col("block") == F.col("b")).drop("b")
-    asked = known.drop("doc_ids").mapInArrow(_ask_grams(shards), MAIL)
-    grams = materialize(_at_shards(asked, _count_grams), "lm-grams")
+    asked = known.drop("doc_ids").mapInArrow(_ask_grams(word_shards, shards), MAIL)
+    grams = materialize(_at_shards(asked, _count_grams), "lm-grams", 16)
     answers = grams.where("block >= 0").groupBy(F.col("block").alias("gb")).agg(F.collect_list("shard").alias("gram_shards"), F.collect_list("data").alias("gram_answers"))
     rows = known.join(answers, F.col("block") == F.col("gb"), "left").drop("gb")
-    rows = rows.join(hot_sums(grams, told), F.col("block") == F.col("hb"), "left").drop("hb")
+    rows = rows.join(hot_sums(grams, told, word_shards), F.col("block") == F.col("hb"), "left").drop("hb")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_score(shards, total, kinds, d1), schema)
+    return materialize(rows.mapInArrow(_score(word_shards, shards, total, kinds, d1), schema), "lm-scores", 2)
 
 
-def hot_sums(grams: DataFrame, told: DataFrame) -> DataFrame:
+def hot_sums(grams: DataFrame, told: DataFrame, word_shards: int) -> DataFrame:
     """(hb, hot): for each block, a map of its hot words to what their bigrams of all shards sum to. Words and sums meet in a join by word."""
     def partial(batches):
         for batch in slices(batches, 64):
@@ -668,11 +718,8 @@ def hot_sums(grams: DataFrame, told: DataFrame) -> DataFrame:
     def own(batches):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            found = []
-            for data in row["answers"]:
-                number, count = expand(data)
-                found.append(number[count >= HOT] + 1)
-            names = np.concatenate(found)
+            number, count = numbered(row["shards"], row["answers"], word_shards)
+            names = number[count >= HOT] + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row["b"])), pa.array(names)], names=["hb", "word"])
 
     sums = grams.where("block = -1").select("more").mapInArrow(partial, "name long, kept double").groupBy("name").agg(F.sum("kept").alias("kept"))

@@ -116,8 +116,9 @@ def test_op5(results, rows):
     want = Counter((d, held(d, 7, 2), len(ws), sum(seen[w] > 0 for w in ws), total, round(sum(log10((seen[w] + 1) / (total + kinds + 1)) for w in ws), 4)) for (d, _), ws in zip(rows, tokens, strict=True))
     got = results("op5_lm_score")
     assert want == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
-    scores = Counter((r["doc_id"], round(r["score"], 1)) for r in got)
-    assert scores == Counter((d, round(x, 1)) for (d, _), x in zip(rows, plain_scores(rows, tokens), strict=True))
+    want = sorted(zip([str(d) for d, _ in rows], plain_scores(rows, tokens), strict=True))
+    for (d, x), r, (_, n) in zip(want, sorted((str(r["doc_id"]), r["score"]) for r in got), sorted((str(r["doc_id"]), r["n_tokens"]) for r in got), strict=True):
+        assert r == (d, pytest.approx(x, abs=0.003 * n + 0.001))
 
 
 def plain_scores(rows, tokens):
@@ -167,7 +168,7 @@ def test_op5_with_many_blocks_shards_and_hot_words(spark, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(docs.repartition(3)).collect()}
     want = plain_scores(rows, [[*WORDS.findall(lower(t)), None] for _, t in rows])
     for (d, t), x in zip(rows, want, strict=True):
-        assert got[d] == pytest.approx(x, abs=0.002 * len((t or "").split()) + 0.01), d
+        assert got[d] == pytest.approx(x, abs=0.003 * len((t or "").split()) + 0.01), d
 
 
 def test_op6(results):
