@@ -7,8 +7,8 @@ training rows, so that most stay exactly zero; a temperature, fitted on a part o
 calibrates the probabilities.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; very short texts are scored on what they have; equal
-scores go to the first language by name; without training rows all is ``und``; repeated rows each get a row; an empty
-table gives an empty result.
+scores go to the first language by name; without training rows all is ``und``; null ids are predicted but not learned from; repeated rows each get a row;
+other columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ the source's exact budget: whole epochs first, the rest of the budget cut in key
 Edge cases: a null text or one without words has size 0 and takes 0; a null source is a
 source of its own, last in order; repeated rows are documents of their own (equal rows have
 equal keys, and which of them comes first makes no difference to the result as a whole);
-an empty table gives an empty result.
+null ids share one key and are ordered by size and text; other columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

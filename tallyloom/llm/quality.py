@@ -7,7 +7,8 @@ out as ordered Spark conditional expressions over the profile columns; ``describ
 
 Edge cases: a null, empty or blank text has all counts 0 and fails the base rule; ties between
 conditions go to the earlier feature and lower threshold; without labels (or with one class) the list is
-empty and the base rule decides alone; repeated rows each get a row.
+empty and the base rule decides alone; of an id with several labels the smallest counts, null ids and labels are not learned from; repeated rows each get a row;
+other columns may have any names; texts are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

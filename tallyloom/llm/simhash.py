@@ -18,7 +18,7 @@ alternating large-star and small-star rounds, each written to the shared folder.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link to each other like any other;
 texts with fewer than four words have one shingle; repeated rows and ties give a row each with the
-same component; an empty table gives an empty result. A null doc_id is a document whose own id can't
+same component; other columns may have any names; texts are taken whole; an empty table gives an empty result. A null doc_id is a document whose own id can't
 be a component's smallest unless all are null.
 """
 

@@ -12,7 +12,7 @@ zeros; selectors 2 to 15 for as many ids as ``COUNTS`` says, with ``WIDTHS`` bit
 follows is one raw id of 61 to 64 bits. The last word of a run may be padded with zeros.
 
 Edge cases: a null or empty text is the end id alone; documents with equal doc_id come in order of a hash of their
-text, null ids first; an empty table gives empty files and results. Very long texts make a block of
+text, null ids first; other columns may have any names; an empty table gives empty files and results. Very long texts make a block of
 their own.
 """
 
