@@ -76,7 +76,7 @@ def session_table(log: DataFrame) -> DataFrame:
 
 
 def mined(spark, sf_dir, options=mining.Options()):
-    log = written(action_log(spark, sf_dir).drop("event_id", "ts", "user_id", "event_type", "value", "k"), "log")
+    log = action_log(spark, sf_dir).drop("event_id", "ts", "user_id", "event_type", "value", "k")
     return mining.mine(log, options, written), session_table(log)
 
 
