@@ -16,6 +16,10 @@ together go to chunks of about ``CHUNK``, chosen by a hash, and the rows that re
 returns links that connect what it finds (a forest), never all pairs. Components are then found by
 alternating large-star and small-star rounds, each written to the shared folder.
 
+The pipeline's stage (``first_of_each``) looks for texts whose sets of five-word shingles are 0.8 alike, for which one fingerprint is
+too coarse. So it covers several independent fingerprints of each text by the same anchors, compares what meets at an anchor
+by more bits, and tests what these candidates connect on whole shingle sets.
+
 Edge cases: null, empty and blank texts have fingerprint zero and link to each other like any other;
 texts with fewer than four words have one shingle; repeated rows and ties give a row each with the
 same component; other columns may have any names; texts are taken whole; an empty table gives an empty result. A null doc_id is a document whose own id can't
@@ -114,16 +118,20 @@ def anchors(values: np.ndarray, extra: int = 1) -> tuple[np.ndarray, np.ndarray,
     return home, row, values[row] ^ errors[row, col]
 
 
+def _reached(u: np.ndarray, extra: int):
+    """For each band of unsigned fingerprints: its number, the home anchors, and (row, anchor) of all anchors that a row reaches."""
+    for b, (low, width) in enumerate(BANDS):
+        band = (u >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
+        yield b, *anchors(band, extra)
+
+
 def _replicas(extra: int, homes_only: bool = False):
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(fp):
                 continue
-            u = fp.view(np.uint64)
-            for b, (low, width) in enumerate(BANDS):
-                band = (u >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-                home, row, anchor = anchors(band, extra)
+            for b, home, row, anchor in _reached(fp.view(np.uint64), extra):
                 if homes_only:
                     row, anchor = row[:0], anchor[:0]
                 key = np.concatenate((home, anchor)) * len(BANDS) + b
@@ -277,11 +285,14 @@ def op2_simhash(spark, sf_dir):
 
 #: For whole-text near-duplicates: five-word shingles, kept if the shingle sets are 0.8 alike.
 FILTER_WIDTH, ALIKE = 5, 0.8
-#: MinHash bands: a pair that is 0.8 alike shares none of them with a chance of (1 - 0.8 ** 4) ** 20 = 3e-5, and of less if it is more alike.
-BAND_ROWS, BAND_COUNT = 4, 20
+#: Independent fingerprints of a text, and the bits that one of their bands may differ in beyond an anchor's radius.
+PRINTS, EXTRA = 7, 1
+#: Texts that meet at an anchor are candidates if their first ``SKETCH`` fingerprints differ in at most ``FAR`` bits, of 192. Pairs that
+#: are 0.8 alike differ in 29 on average, with a deviation of 5; unrelated ones in 96, with a deviation of 7.
+SKETCH, FAR = 3, 56
 #: Most shingles of the home rows of one chunk.
 CHUNK_SHINGLES = 4_000_000
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BAND_ROWS * BAND_COUNT), np.uint64) << np.uint64(1) | np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PRINTS), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -292,14 +303,138 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its MinHashes. Sets that are j alike share a given band with a chance of j ** BAND_ROWS."""
-    least = np.full(BAND_ROWS * BAND_COUNT, 2**64 - 1, np.uint64)
-    for k in range(0, len(h), 4096):
-        x = h[k : k + 4096, None] * _ODD[0] + _ODD[1]
-        least = np.minimum(least, ((x ^ x >> np.uint64(32)) * _ODD[1]).min(0))
-    mixed = (least ^ least >> np.uint64(29)) * _ODD[0]
-    return mixed.reshape(BAND_COUNT, BAND_ROWS).sum(1, dtype=np.uint64).view(np.int64)
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """``PRINTS`` independent SimHashes of a set of shingle hashes: of each hash, multiplied and mixed anew for each. An empty set has zeros."""
+    counts = np.zeros(64 * PRINTS, np.int64)
+    for k in range(0, len(h), 255):  # so many sums fit a byte
+        x = h[k : k + 255, None] * _ODD[0] + _ODD[1]
+        x = (x ^ x >> np.uint64(32)) * _ODD[1]
+        x ^= x >> np.uint64(29)
+        counts += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
+
+
+def _visits(homes_only: bool = False):
+    """From (id, words): a row for each anchor of each fingerprint, at home (side 0) or in reach of it (1), with the sketch to compare."""
+    def run(batches):
+        for batch in slices(batches, 1024):
+            name = batch.column(0).to_numpy(zero_copy_only=False)
+            words = np.array([np.frombuffer(w.as_py(), "<u8") for w in batch.column(1)], np.uint64).reshape(-1, PRINTS)
+            for p in range(PRINTS if len(name) else 0):
+                for b, home, row, anchor in _reached(words[:, p], EXTRA):
+                    base = p * len(BANDS) + b
+                    if homes_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(home * (len(BANDS) * PRINTS) + base)], names=["key"])
+                        continue
+                    key = np.concatenate((home, anchor)) * (len(BANDS) * PRINTS) + base
+                    side = np.concatenate((np.zeros(len(name), np.int8), np.ones(len(row), np.int8)))
+                    which = np.concatenate((np.arange(len(name)), row))
+                    sketch = [pa.array(words[which, s].view(np.int64)) for s in range(SKETCH)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(name[which]), *sketch], names=["key", "side", "id", *SKETCH_NAMES])
+
+    return run
+
+
+SKETCH_NAMES = [f"s{k}" for k in range(SKETCH)]
+
+
+def _meet(home: np.ndarray, label: np.ndarray, names: np.ndarray, other: np.ndarray, other_names: np.ndarray, src: list, dst: list) -> None:
+    """Links of some rows with the home rows: one for each row that is near any, and one more for each group of home rows that it joins up."""
+    d = np.zeros((len(other), len(home)), np.uint16)
+    for s in range(SKETCH):
+        d += np.bitwise_count(other[:, s, None] ^ home[None, :, s])
+    near = (d <= FAR) & (other_names[:, None] != names[None, :])
+    hits = np.flatnonzero(near.any(1))
+    if not len(hits):
+        return
+    near = near[hits]
+    src.append(names[near.argmax(1)]), dst.append(other_names[hits])
+    for j in np.flatnonzero(np.where(near, label, len(home)).min(1) != np.where(near, label, -1).max(1)).tolist():
+        groups, at = np.unique(label[near[j]], return_index=True)
+        if len(groups) > 1:
+            src.append(names[np.flatnonzero(near[j])[at]]), dst.append(np.full(len(at), other_names[hits[j]]))
+            label[np.isin(label, groups)] = groups[0]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components in as few links as can be: each name with the smallest one of its component."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while len(a := a[(apart := label[a] != label[b])]):
+        b = b[apart]
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least), np.minimum.at(label, label[b], least)
+        while ((up := label[label]) != label).any():
+            label = up
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
+#: Links that a task gathers before it reduces them, and sends what is left if that is over half.
+GATHER = 400_000
+
+
+def _candidates(batches):
+    """Rows sorted by place (an anchor's chunk, then the side): home rows are held, the others stream by in parts.
+
+    A task reduces the links of all its anchors, or a text with many near copies would be linked with others of them at each anchor.
+    """
+    at, held, home, label, names = None, [], None, None, None
+    src: list = []
+    dst: list = []
+
+    def gathered():
+        pair = _stars(np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+        src[:], dst[:] = [pair[0]], [pair[1]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b"])
+
+    for batch in batches:
+        place, name, *sketch = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + SKETCH))
+        if not len(place):
+            continue
+        words = np.stack(sketch, 1).view(np.uint64)
+        cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
+            if (now := int(place[a]) >> 1) != at:
+                at, held, home = now, [], None
+            if not place[a] & 1:
+                held.append((words[a:b], name[a:b]))
+                continue
+            if not held:
+                continue
+            if home is None:
+                home, names = np.concatenate([w for w, _ in held]), np.concatenate([n for _, n in held])
+                label = np.arange(len(home))
+            step = max(1, 2_000_000 // len(home))
+            for k in range(a, b, step):
+                _meet(home, label, names, words[k : min(b, k + step)], name[k : min(b, k + step)], src, dst)
+        if sum(map(len, src)) > GATHER and (out := gathered()).num_rows > GATHER // 2:
+            yield out
+            src.clear(), dst.clear()
+    yield gathered()
+
+
+def candidate_links(distinct: DataFrame) -> DataFrame:
+    """From distinct sets of fingerprints (id, words): links (a, b) that connect all candidates.
+
+    Two texts meet for certain where a band differs by ``EXTRA`` bits at most, so where any of their fingerprints differ by 5 at most; farther ones meet where a
+    home anchor of one is in reach of the other, which of pairs that are just 0.8 alike 82 % do in one fingerprint (README has the losses in seven).
+    """
+    crowd = 8 * CHUNK
+    homes = distinct.select("id", "words").mapInArrow(_visits(True), "key long")
+    # Anchors are at most the words of the code in each band, 86,016 in all: that bounds what is broadcast.
+    hot = materialize(homes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("key").alias("hot"), F.ceil(F.col("n") / crowd).cast("int").alias("chunks")), "dedup-hot")
+    shape = "key long, side byte, id long, " + ", ".join(f"{s} long" for s in SKETCH_NAMES)
+    rows = distinct.select("id", "words").mapInArrow(_visits(), shape).join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    chunk = F.when(F.col("hot").isNull(), F.array(F.lit(0))).when(F.col("side") == 0, own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.withColumn("chunk", F.explode(chunk))
+    # One number for anchor, chunk and side keeps the many rows short.
+    place = F.shiftleft(F.shiftleft("key", 20) + F.col("chunk"), 1) + F.col("side")
+    rows = rows.select(place.alias("place"), "id", *SKETCH_NAMES)
+    rows = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
+    return rows.mapInArrow(_candidates, "a long, b long")
 
 
 def _bitmaps(sets: list[np.ndarray]):
@@ -394,26 +529,30 @@ def _verify(least: float):
 def verified_links(documents: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): a node is a distinct text, named by its hash h, with its smallest doc_id; links join texts that are ``least`` alike.
 
-    Texts that share a MinHash band are a group. In each group all pairs are tested on their whole shingle sets, and what is returned
+    Texts that candidate links connect are a group. In each group all pairs are tested on their whole shingle sets, and what is returned
     connects those that pass (a forest of true links), so no pair is left out because of one that fails. A group over ``CHUNK`` texts or
-    ``CHUNK_SHINGLES`` goes to several chunks, as in ``links``; bands with the same texts are one group.
+    ``CHUNK_SHINGLES`` goes to several chunks, as in ``links``.
     """
     docs = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def banded(batches):
+    def printed_sets(batches):
         for batch in slices(batches):
-            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
-            keys = pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "keys", "size"])
-
-    prints = materialize(docs.mapInArrow(banded, f"doc_id {kind}, h long, keys array<long>, size long"), "dedup-prints", 256)
-    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size")), "dedup-nodes")
-    spread = nodes.select("h", "size", F.posexplode("keys").alias("band", "k")).select("h", "size", F.xxhash64("band", "k").alias("key"))
-    groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("n > 1")
-    groups = groups.groupBy("n", "s", "x", "y").agg(F.min("key").alias("g"))
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            words = pa.array([fingerprints(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), words, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "words", "size"])
+
+    prints = materialize(docs.mapInArrow(printed_sets, f"doc_id {kind}, h long, words binary, size long"), "dedup-prints", 256)
+    nodes = prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.first("size").alias("size"))
+    nodes = materialize(nodes.withColumn("id", F.xxhash64("words")), "dedup-nodes")
+    distinct = materialize(nodes.groupBy("id").agg(F.first("words").alias("words")), "dedup-distinct")
+    found = materialize(candidate_links(distinct), "dedup-candidates")
+    below = components(found)
+    discard(prints), discard(distinct), discard(found)
+    texts_of = nodes.join(below, F.col("id") == F.col("node"), "left").select("h", "size", F.coalesce("root", "id").alias("key"))
+    groups = texts_of.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES, F.lit(1))).cast("int")
-    rows = materialize(spread.join(groups.select("g", chunks.alias("chunks")), F.col("key") == F.col("g")).select("key", "h", "chunks"), "dedup-groups")
+    rows = materialize(texts_of.join(groups.select(F.col("key").alias("g"), chunks.alias("chunks")), F.col("key") == F.col("g")).select("key", "h", "chunks"), "dedup-groups")
     needed = rows.select("h").distinct().join(nodes.select("h", "first"), "h").select(F.col("h").alias("nh"), "first")
     shingles = over_texts("binary", lambda texts: pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary()), 64)
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from corpus_made import prose
 from tallyloom.llm import decontam, mixing, quality, simhash
 
@@ -93,6 +94,61 @@ def test_near_dedup_finds_isolated_pairs(spark):
     assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
 
 
+def test_near_dedup_goes_through_anchors_alone(spark, monkeypatch):
+    rng = random.Random(15)
+    words = prose(rng, 120).split()
+    texts = [" ".join(words), *(" ".join(_edited(rng, words, 0.01)) for _ in range(4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.first_of_each(docs).collect()] == [0]
+    covering = simhash.anchors
+
+    def nowhere(values, extra=1):
+        """Each word is its own home and reaches no other's."""
+        return covering(values, extra)[0] * 0 + np.arange(len(values)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    monkeypatch.setattr(simhash, "anchors", nowhere)
+    assert simhash.first_of_each(docs).count() == len(texts)
+
+
+def test_candidates_reach_all_pairs_just_alike():
+    rng, lost, far, pairs = np.random.default_rng(16), 0, 0, 0
+    for common in (8, 16, 36, 80, 240):
+        for _ in range(400):
+            h = rng.integers(0, 2**63, common * 5 // 4, np.uint64) * np.uint64(2) + np.uint64(1)  # of these, 0.8 are in both sets
+            cut = (len(h) - common) // 2
+            a, b = simhash.fingerprints(h[: common + cut]), simhash.fingerprints(np.concatenate((h[:common], h[common + cut :])))
+            assert simhash.alike(np.sort(h[: common + cut]), np.sort(np.concatenate((h[:common], h[common + cut :])))) >= 0.8
+            reach = [[(p, k, int(home[0]), {int(x) for x in anchor}) for p in range(simhash.PRINTS) for k, home, _, anchor in simhash._reached(w[p : p + 1], simhash.EXTRA)] for w in (a, b)]
+            lost += not any(x[2] in y[3] or y[2] in x[3] for x, y in zip(*reach, strict=True))
+            far += np.bitwise_count(a[: simhash.SKETCH] ^ b[: simhash.SKETCH]).sum() > simhash.FAR
+            pairs += 1
+    assert (pairs, lost, far) == (2000, 0, 0)
+
+
+def test_candidate_links_of_crowded_anchors(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 1)
+    monkeypatch.setattr(simhash, "GATHER", 50)
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 2**63, (3, 100), np.uint64)
+    sets = [np.concatenate((b[: 100 - k], rng.integers(0, 2**63, k, np.uint64))) for b in base for k in (0, 1, 2, 3, 4) * 12]
+    rows = [(i, bytearray(simhash.fingerprints(s).tobytes())) for i, s in enumerate(sets)]
+    found = simhash.candidate_links(spark.createDataFrame(rows, "id long, words binary"))
+    got = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    assert [got.get(i, i) for i in range(180)] == [i // 60 * 60 for i in range(180)]
+
+
+def test_stars_keep_components():
+    rng = np.random.default_rng(18)
+    for n in (1, 5, 200):
+        a, b = rng.integers(-n, n, (2, n))
+        group = {x: {x} for x in (*a.tolist(), *b.tolist())}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = group[x] | group[y]
+            group.update(dict.fromkeys(both, both))
+        got = dict(zip(*(x.tolist() for x in simhash._stars(a, b)), strict=True))
+        assert got == {x: min(g) for x, g in group.items() if x != min(g)}
+
+
 def _clashing(spark, rows):
     """Documents with columns of names that operators use, or that differ by case only."""
     wide = [(d, t, lang, s, None if t is None else len(t), -1, "k", 2.5, True, "x", None, 7, 8, 9, 1, 2, 3) for d, t, lang, s in rows]
