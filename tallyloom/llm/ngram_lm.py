@@ -14,7 +14,7 @@ of the model's table or from a memory-mapped file (``Trie.map``).
 
 Flow. Documents are cut into *blocks* of about ``BLOCK`` tokens with local word numbers. Blocks and shards then talk twice, in packed rows:
 a block sends each shard its words with their counts and learns their numbers and counts in the corpus; then its distinct trigrams with their counts,
-and learns f and g. A shard sums what all blocks sent, builds its part of the model and answers by querying it. So no token is
+and learns f and g. A shard sums what all blocks sent, ``GATHER`` rows at once, builds its part of the model and answers by querying it. So no token is
 shuffled on its own, a hot word costs an entry for each block, and a task holds a block or a shard. Each block then scores its documents by itself.
 
 Edge cases: a null, empty or blank text has only its end token; without training documents every probability is 1 (score 0);
@@ -39,6 +39,8 @@ BLOCK, SHARD, WORDS, HOT = 1 << 19, 1_000_000, 4_000_000, 500_000
 #: Counts from which bigrams and trigrams are kept, and what is taken off them.
 LEAST, DISCOUNT = 2, 0.75
 LOWEST = -16.0  # log10 that the codes reach
+#: Rows of grams that a shard makes distinct at once, grams that it looks up at once, highest value that is ranked by marks.
+GATHER, LOOK, MARKS = 2_000_000, 1 << 17, 1 << 24
 LEVELS = 4095  # codes of values; the last one more is that of what is not kept
 NONE = LEVELS
 
@@ -155,7 +157,7 @@ class Trie:
     def build(cls, two: np.ndarray, three: np.ndarray, contexts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_totals: np.ndarray) -> Trie:
         """``two``: sorted rows (v, w, count) and ``three``: sorted rows (v, u, w, count), all kept ones; ``contexts``: words v with their ``totals``;
         ``pairs``: rows (v, u) with their ``pair_totals``. Contexts without anything kept need not be there."""
-        words = np.unique(np.concatenate((two[:, 0], two[:, 1], three[:, 0], three[:, 1], three[:, 2])))
+        words = np.unique(np.concatenate([np.unique(x) for x in (*two.T[:2], *three.T[:3])]))
         k, at = max(1, len(words)), lambda x: np.searchsorted(words, x)
         v, w = at(two[:, 0]), at(two[:, 1])
         f2 = (two[:, 2] - DISCOUNT) / totals[np.searchsorted(contexts, two[:, 0])]
@@ -211,7 +213,11 @@ class Trie:
 
     def after(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Codes of f2 of words w after v."""
-        return self._code("f2", self.find("after", *self._places(v, w)), NONE)
+        return self.after_places(*self._places(v, w))
+
+    def after_places(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """``after`` of words given as places in the shard."""
+        return self._code("f2", self.find("after", v, w), NONE)
 
     def weight(self, v: np.ndarray) -> np.ndarray:
         """Codes of g2; that of 1 for words without anything kept after them."""
@@ -219,9 +225,12 @@ class Trie:
 
     def third(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of g3 of contexts (u, v), that of 1 for unknown ones, and of f3 of words w after them."""
-        vi, ui, wi = self._places(v, u, w)
-        pair = self.find("before", vi, ui)
-        return self._code("g3", pair, 0), self._code("f3", self.find("third", pair, wi), NONE)
+        return self.third_places(*self._places(v, u, w))
+
+    def third_places(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``third`` of words given as places in the shard."""
+        pair = self.find("before", v, u)
+        return self._code("g3", pair, 0), self._code("f3", self.find("third", pair, w), NONE)
 
     def parts(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
         """Codes f2, g2, f3, g3 of words w after v, and after u and v."""
@@ -312,22 +321,42 @@ def pack_grams(v, w, u, n, counts) -> bytes:
 
 
 def unpack_grams(data: bytes) -> tuple[np.ndarray, ...]:
+    v, w, u, n, counts = _unpacked(data)
+    return v, w, u - 2, n, counts[np.cumsum(starts(v)) - 1]
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """Columns v, w, u plus 2 and n; the counts as packed."""
     dv, dw, du, n, counts = expand(data)
     v = np.cumsum(dv)
-    new_v = np.diff(v, prepend=-1) != 0
+    new_v = starts(v)
     w = _unsteps(dw, new_v)
-    new_w = new_v | (np.diff(w, prepend=-1) != 0)
-    return v, w, _unsteps(du, new_w) - 2, n, counts[np.cumsum(new_v) - 1]
+    return v, w, _unsteps(du, new_v | starts(w)), n, counts
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits if they fit."""
+    return x.astype(np.int32) if not len(x) or -(1 << 31) <= int(x.min()) and int(x.max()) < 1 << 31 else x
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Marks where a value differs from the one before; the first one does."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values in order, rank of each) of whole numbers from 0; by marks where the values are small enough for that, which is faster."""
     most = int(x.max(initial=0))
-    if most > 64 * len(x) + 1000:
-        return np.unique(x, return_inverse=True)
+    if most > min(64 * len(x) + 1000, MARKS):
+        values, rank = np.unique(x, return_inverse=True)
+        return values.astype(np.int64), narrow(rank)
     seen = np.zeros(most + 1, bool)
     seen[x] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+    rank = np.cumsum(seen, dtype=np.int32)
+    rank -= 1
+    return np.flatnonzero(seen), rank[x]
 
 
 def _as_one(*ranked: np.ndarray) -> np.ndarray | None:
@@ -335,9 +364,10 @@ def _as_one(*ranked: np.ndarray) -> np.ndarray | None:
     bits = [int(x.max(initial=0)).bit_length() for x in ranked]
     if sum(bits) > 62:
         return None
-    out = ranked[0]
+    out = ranked[0].astype(np.int64)
     for x, b in zip(ranked[1:], bits[1:], strict=True):
-        out = out << b | x
+        out <<= b
+        out |= x
     return out
 
 
@@ -349,13 +379,14 @@ def in_order(*ranked: np.ndarray) -> np.ndarray:
 
 def distinct(*ranked: np.ndarray) -> list[np.ndarray]:
     """Distinct rows of columns of ranks, in order, column by column; then the number of each row among them."""
-    order = in_order(*ranked)
+    order = narrow(in_order(*ranked))
     new = np.zeros(len(order), bool)
     for x in ranked:
-        new |= np.diff(x[order], prepend=-1) != 0
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return [*(x[order[new]] for x in ranked), of]
+        new |= starts(x[order])
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    first = order[new]
+    return [*(x[first] for x in ranked), of]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -580,63 +611,111 @@ def _ask_grams(word_shards: int, shards: int):
     return run
 
 
+def _distinct_grams(columns: list[list[np.ndarray]]) -> tuple:
+    """Columns v, w, u, n, in parts, which it empties: the values of v, w, u; the distinct grams as ranks among these; their counts; each row's gram."""
+    values, ranked = [], []
+    for parts in columns[:3]:
+        x = np.concatenate(parts)
+        parts.clear()
+        value, rank = ranks(x)
+        values.append(value), ranked.append(rank)
+    *found, of = distinct(*ranked)
+    del x, rank, ranked
+    n = np.concatenate(columns[3])
+    columns[3].clear()
+    return values, found, np.bincount(of, n, len(found[0])).astype(np.int64), of
+
+
+def gather_grams(packed: list[bytes]) -> tuple:
+    """From what blocks sent, which it takes out of the list: ``_distinct_grams`` of all of it, with the rows' grams as an array for each block; then the hot
+    words with their counts. Some ``GATHER`` rows at once become distinct grams, and these then meet: what blocks repeat is never there as often."""
+    packed.reverse()
+    columns, sizes, pieces, names, told = [[], [], [], []], [], [], [], []
+    while packed:
+        *rows, counts = _unpacked(packed.pop())
+        sizes.append(len(rows[0]))
+        names.append(rows[0][starts(rows[0])][counts > 0]), told.append(counts[counts > 0])
+        for parts, x in zip(columns, rows, strict=True):
+            parts.append(narrow(x))
+        if not packed or sum(map(len, columns[0])) >= GATHER:
+            pieces.append(_distinct_grams(columns))
+    values, found, count, of = pieces.pop() if len(pieces) == 1 else (None,) * 4
+    if pieces:
+        columns = [[narrow(values[k][found[k]]) for values, found, _, _ in pieces] for k in range(3)] + [[count for _, _, count, _ in pieces]]
+        rows = [of for _, _, _, of in pieces]
+        ends = np.cumsum([len(x) for x in columns[0]])
+        pieces.clear()
+        values, found, count, at = _distinct_grams(columns)
+        of = np.concatenate([part[x] for part, x in zip(np.split(at, ends[:-1]), rows, strict=True)])
+    return values, found, count, np.split(of, np.cumsum(sizes)[:-1]), np.concatenate(names), np.concatenate(told)
+
+
 def _count_grams(batches):
     """At a shard: sums the counts of grams, keeps those of ``LEAST``, builds the shard's trie, and answers each block's grams by querying it.
 
     A row with block -1 has the trie (``data``), and the sums of f2 of hot words (``more``), whose bigrams lie in several shards.
     """
     for shard, rows in _groups(batches, 0):
-        blocks, parts = [block for _, block, _, _ in rows], [unpack_grams(data) for _, _, data, _ in rows]
-        cut = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
-        v, w, u, n, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        rows.clear(), parts.clear()
-        (vs, v), (ws, w), (us, u) = ranks(v), ranks(w), ranks(u + 2)
-        vi, wi, ui, of = distinct(v, w, u)
-        tv, tw, tu = vs[vi], ws[wi], us[ui] - 2
-        new_pair = (np.diff(vi, prepend=-1) != 0) | (np.diff(wi, prepend=-1) != 0)
-        of_pair, pair = np.cumsum(new_pair) - 1, np.flatnonzero(new_pair)
-        count = np.bincount(of, n, len(vi)).astype(np.int64)
-        # A word that is not hot has all its grams here, so their counts sum to its own.
-        first, of_context, contexts = np.flatnonzero(np.diff(vi, prepend=-1) != 0), vi, vs
-        told = np.zeros(len(vi), np.int64)
-        told[of] = c
-        total = np.where(told[first] > 0, told[first], np.bincount(of_context, count, len(contexts)).astype(np.int64))
-        hot = (told[first] > 0)[of_context]
-        # Bigrams: of hot words those that stand alone, of others all grams together.
-        mine = np.where(hot, tu == -2, True)
-        n2 = np.bincount(of_pair[mine], count[mine], len(pair)).astype(np.int64)
-        keep2 = np.flatnonzero((n2 >= LEAST) & (tw[pair] > 0))
-        two = np.stack((tv[pair[keep2]], tw[pair[keep2]], n2[keep2]), 1)
-        # Trigrams, by (v, u, w); the count of a context (u, v) is that of all words after it.
-        third = np.flatnonzero(tu > 0)
-        order = third[in_order(vi[third], ui[third], wi[third])]
-        start = np.flatnonzero((np.diff(vi[order], prepend=-1) != 0) | (np.diff(ui[order], prepend=-1) != 0))
-        pairs = np.stack((tv[order[start]], tu[order[start]]), 1)
-        pair_totals = np.add.reduceat(count[order], start) if len(order) else np.zeros(0, np.int64)
-        keep3 = order[(count[order] >= LEAST) & (tw[order] > 0)]
-        three = np.stack((tv[keep3], tu[keep3], tw[keep3], count[keep3]), 1)
-        trie = Trie.build(two, three, contexts, total, pairs, pair_totals)
-        data = trie.to_bytes()
-        trie = Trie.from_buffer(data)
-        # Only what was kept can be found; all of it is.
-        f2, f3, g3 = np.full(len(pair), NONE, np.uint16), np.full(len(vi), NONE, np.uint16), np.zeros(len(vi), np.uint16)
-        f2[keep2] = trie.after(two[:, 0], two[:, 1])
-        full = np.zeros(len(pairs), bool)
-        context = np.repeat(np.arange(len(pairs)), np.diff(np.append(start, len(order))))
-        full[context[(count[order] >= LEAST) & (tw[order] > 0)]] = True
-        near = order[full[context]]
-        g3[near], f3[near] = trie.third(tv[near], tu[near], tw[near])
-        g2 = np.where(told[first] > 0, 0, trie.weight(contexts))
-        f2 = f2[of_pair]
-        heavy = np.flatnonzero((told[first] > 0)[np.searchsorted(contexts, two[:, 0])])
-        names, at = np.unique(two[heavy, 0], return_inverse=True)
-        sums = np.bincount(at, two[heavy, 2] - DISCOUNT, len(names))
-        yield _mail([shard], [-1], [data], [squeeze(names, np.rint(sums * 4).astype(np.int64))])
-        for block, a, b in zip(blocks, cut, cut[1:], strict=False):
-            part = of[a:b]
-            own = of_context[part[np.diff(v[a:b], prepend=-1) != 0]]
-            # g2 once for each word; the code of what was not kept becomes 0.
-            yield _mail([shard], [block], [squeeze((f2[part] + 1) % (NONE + 1), g2[own], (f3[part] + 1) % (NONE + 1), g3[part])], [None])
+        blocks, packed = [block for _, block, _, _ in rows], [data for _, _, data, _ in rows]
+        rows.clear()
+        yield from _at_shard(shard, blocks, packed)  # what it holds goes before the next shard comes
+
+
+def _at_shard(shard: int, blocks: list[int], packed: list[bytes]):
+    # Grams as ranks among the values of each column (us: of u plus 2), 32 bits wide as a rule.
+    (vs, ws, us), (vi, wi, ui), count, of, names, counts = gather_grams(packed)
+    word, told = ws > 0, np.zeros(len(vs), np.int64)
+    told[np.searchsorted(vs, names)] = counts
+    hot = told > 0
+    # A word that is not hot has all its grams here, so their counts sum to its own.
+    total = np.where(hot, told, np.bincount(vi, count, len(vs)).astype(np.int64))
+    # Bigrams: of hot words those that stand alone, of others all grams together.
+    new = starts(vi) | starts(wi)
+    of_pair, pair = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
+    mine = ~hot[vi] | (us == 0)[ui]
+    n2 = np.bincount(of_pair[mine], count[mine], len(pair)).astype(np.int64)
+    keep2 = np.flatnonzero((n2 >= LEAST) & word[wi[pair]])
+    v2, w2 = vi[pair[keep2]], wi[pair[keep2]]
+    two = np.stack((vs[v2], ws[w2], n2[keep2]), 1)
+    # Trigrams, by (v, u, w); the count of a context (u, v) is that of all words after it.
+    third = narrow(np.flatnonzero((us > 2)[ui]))
+    order = third[in_order(vi[third], ui[third], wi[third])]
+    new = starts(vi[order]) | starts(ui[order])
+    context, start = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
+    pairs = np.stack((vs[vi[order[start]]], us[ui[order[start]]] - 2), 1)
+    pair_totals = np.add.reduceat(count[order], start) if len(order) else np.zeros(0, np.int64)
+    kept = (count[order] >= LEAST) & word[wi[order]]
+    keep3 = order[kept]
+    three = np.stack((vs[vi[keep3]], us[ui[keep3]] - 2, ws[wi[keep3]], count[keep3]), 1)
+    # Only what was kept can be found; all of it is.
+    full = np.zeros(len(pairs), bool)
+    full[context[kept]] = True
+    near = order[full[context]]
+    pairs, pair_totals = pairs[full], pair_totals[full]
+    del third, order, context, new, start, full, mine, kept, keep3, count
+    trie = Trie.build(two, three, vs, total, pairs, pair_totals)
+    del three, pairs, pair_totals
+    data = trie.to_bytes()
+    trie = Trie.from_buffer(data)
+    v_at, w_at, u_at = trie.numbers(vs), trie.numbers(ws), trie.numbers(us - 2)
+    f2, f3, g3 = np.full(len(pair), NONE, np.uint16), np.full(len(vi), NONE, np.uint16), np.zeros(len(vi), np.uint16)
+    for k in range(0, len(keep2), LOOK):
+        part = slice(k, k + LOOK)
+        f2[keep2[part]] = trie.after_places(v_at[v2[part]], w_at[w2[part]])
+    for k in range(0, len(near), LOOK):
+        part = near[k : k + LOOK]
+        g3[part], f3[part] = trie.third_places(v_at[vi[part]], u_at[ui[part]], w_at[wi[part]])
+    g2 = np.where(hot, 0, trie._code("g2", v_at, 0))
+    f2 = f2[of_pair]
+    heavy = np.flatnonzero(hot[v2])
+    names, at = np.unique(two[heavy, 0], return_inverse=True)
+    sums = np.bincount(at, two[heavy, 2] - DISCOUNT, len(names))
+    del near, of_pair, pair, wi, ui, two
+    yield _mail([shard], [-1], [data], [squeeze(names, np.rint(sums * 4).astype(np.int64))])
+    for block, part in zip(blocks, of, strict=True):
+        context = vi[part]
+        # g2 once for each word; the code of what was not kept becomes 0.
+        yield _mail([shard], [block], [squeeze((f2[part] + 1) % (NONE + 1), g2[context[starts(context)]], (f3[part] + 1) % (NONE + 1), g3[part])], [None])
 
 
 # --- Scores ---------------------------------------------------------------------------------------------------------
@@ -645,35 +724,38 @@ def _count_grams(batches):
 def _score(word_shards: int, shards: int, total: int, kinds: int, d1: float):
     unknown = d1 * kinds / total if total else 1.0
 
+    def scored(batch):
+        row = batch.to_pylist()[0]
+        b = Block(row, word_shards)
+        answers = dict(zip(row["gram_shards"] or (), row["gram_answers"] or (), strict=True))
+        codes = None
+        for s, at, v, *_ in b.grams(shards):
+            if codes is None:
+                codes = np.zeros((4, b.alone + int(b.group.max(initial=-1)) + 1), np.int64)
+            f2, g2, f3, g3 = expand(answers[s])
+            codes[:, at] = f2 - 1, g2[np.cumsum(np.diff(v, prepend=-1) != 0) - 1], f3 - 1, g3
+        c = b.count
+        base_of = np.log10((c + 1) / (total + kinds + 1))
+        p = (np.where(c > 0, (c - d1) / total, unknown) if total else np.ones(len(c)))[b.token]
+        if codes is not None:
+            f2, g2, f3, g3 = restore(codes)
+            f2[b.hot] = f2[b.alone + b.group]
+            if row["hot"]:
+                names, kept = (np.array([x[k] for x in sorted(dict(row["hot"]).items())]) for k in range(2))
+                at = np.minimum(np.searchsorted(names, b.number[b.v] + 1), len(names) - 1)
+                heavy = names[at] == b.number[b.v] + 1
+                g2[: len(heavy)][heavy] = 1 - kept[at[heavy]] / c[b.v[heavy]]
+            lower = f2[b.of] + g2[b.of] * p[b.where]
+            p[b.where] = f3[b.of] + g3[b.of] * lower
+        logs = np.log10(np.maximum(p, 1e-300))
+        sums = [np.add.reduceat(x, b.first) for x in (base_of[b.token], logs, (c[b.token] > 0).astype(np.int64))]
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_ids")[0].values, pa.array(b.held), pa.array(b.sizes), pa.array(sums[2]), pa.array(np.full(len(b.sizes), total)), pa.array(sums[0]), pa.array(np.minimum(sums[1], 0.0))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches):
         for batch in slices(batches, 1):
-            row = batch.to_pylist()[0]
-            b = Block(row, word_shards)
-            answers = dict(zip(row["gram_shards"] or (), row["gram_answers"] or (), strict=True))
-            codes = None
-            for s, at, v, *_ in b.grams(shards):
-                if codes is None:
-                    codes = np.zeros((4, b.alone + int(b.group.max(initial=-1)) + 1), np.int64)
-                f2, g2, f3, g3 = expand(answers[s])
-                codes[:, at] = f2 - 1, g2[np.cumsum(np.diff(v, prepend=-1) != 0) - 1], f3 - 1, g3
-            c = b.count
-            base_of = np.log10((c + 1) / (total + kinds + 1))
-            p = (np.where(c > 0, (c - d1) / total, unknown) if total else np.ones(len(c)))[b.token]
-            if codes is not None:
-                f2, g2, f3, g3 = restore(codes)
-                f2[b.hot] = f2[b.alone + b.group]
-                if row["hot"]:
-                    names, kept = (np.array([x[k] for x in sorted(dict(row["hot"]).items())]) for k in range(2))
-                    at = np.minimum(np.searchsorted(names, b.number[b.v] + 1), len(names) - 1)
-                    heavy = names[at] == b.number[b.v] + 1
-                    g2[: len(heavy)][heavy] = 1 - kept[at[heavy]] / c[b.v[heavy]]
-                lower = f2[b.of] + g2[b.of] * p[b.where]
-                p[b.where] = f3[b.of] + g3[b.of] * lower
-            logs = np.log10(np.maximum(p, 1e-300))
-            sums = [np.add.reduceat(x, b.first) for x in (base_of[b.token], logs, (c[b.token] > 0).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_ids")[0].values, pa.array(b.held), pa.array(b.sizes), pa.array(sums[2]), pa.array(np.full(len(b.sizes), total)), pa.array(sums[0]), pa.array(np.minimum(sums[1], 0.0))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield scored(batch)  # what it holds goes before the next block comes
 
     return run
 

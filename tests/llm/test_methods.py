@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +69,65 @@ def test_packed_grams_round_trip(rows):
     assert all((a == b).all() for a, b in zip(got, (v, w, u, n, (names % 1000)[of]), strict=True))
 
 
+def sent_grams(rng, blocks, words, size, shift=0, top=4):
+    """What blocks send a shard: random distinct grams of each, packed and as a dictionary of counts. Words from 4 times ``words`` / 5 on are hot."""
+    packed, told = [], []
+    for _ in range(blocks):
+        rows = np.unique(np.stack((rng.integers(1, words, size), rng.integers(0, words, size), rng.integers(-2, words, size)), 1), axis=0)
+        v, w, u = (rows + np.where(rows > 0, shift, 0)).T
+        n, names = rng.integers(0, top, len(v)), np.unique(v)
+        packed.append(ngram_lm.pack_grams(v, w, u, n, np.where(names - shift >= words * 4 // 5, 1000 + names - shift, 0)))
+        told.append(list(zip(*map(np.ndarray.tolist, (v, w, u, n)), strict=True)))
+    return packed, told
+
+
+@pytest.mark.parametrize(("gather", "shift"), [(10**9, 0), (1, 0), (700, 0), (700, 2**40)])
+def test_a_shard_sums_the_grams_of_all_blocks_however_many_it_takes_at_once(monkeypatch, gather, shift):
+    monkeypatch.setattr(ngram_lm, "GATHER", gather)
+    packed, told = sent_grams(np.random.default_rng(4), 9, 12, 300, shift)
+    values, found, count, of, names, counts = ngram_lm.gather_grams(packed[:])
+    grams = [(v, w, u - 2) for v, w, u in zip(*(value[x].tolist() for value, x in zip(values, found, strict=True)), strict=True)]
+    want = Counter()
+    for rows in told:
+        for v, w, u, n in rows:
+            want[v, w, u] += n
+    assert grams == sorted(want) and dict(zip(grams, count.tolist(), strict=True)) == want
+    assert [[grams[k] for k in part.tolist()] for part in of] == [[x[:3] for x in rows] for rows in told]
+    assert dict(zip(names.tolist(), counts.tolist(), strict=True)) == {v + shift: 1000 + v for v in range(9, 12)}
+
+
+def at_a_shard(packed):
+    rows = list(enumerate(packed))
+    table = pa.table({"shard": pa.array([0] * len(rows), pa.int32()), "block": pa.array([k for k, _ in rows], pa.int64()), "data": pa.array([x for _, x in rows], pa.binary()), "more": pa.nulls(len(rows), pa.binary())})
+    return [r for b in ngram_lm._count_grams(iter(table.to_batches())) for r in b.to_pylist()]
+
+
+def test_a_shard_answers_alike_however_many_rows_it_takes_at_once(monkeypatch):
+    packed, _ = sent_grams(np.random.default_rng(5), 9, 12, 300)
+    want = at_a_shard(packed)
+    for name, value in (("GATHER", 400), ("LOOK", 7), ("MARKS", 2)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    assert at_a_shard(packed) == want and len(want) == 10
+
+
+@pytest.mark.parametrize(("words", "gather", "most"), [(3000, 10**9, 110), (40, 60_000, 40)])
+def test_a_shard_holds_few_bytes_a_row(monkeypatch, words, gather, most):
+    """Of grams that are new in each block, and of grams that the blocks repeat."""
+    import tracemalloc
+
+    monkeypatch.setattr(ngram_lm, "GATHER", gather, raising=False)
+    packed, told = sent_grams(np.random.default_rng(6), 30, words, 20_000, top=2)
+    rows = sum(map(len, told))
+    del told
+    tracemalloc.start()
+    try:
+        at_a_shard(packed)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < most * rows, peak / rows
+
+
 def test_rows_of_ranks_are_told_apart_however_wide():
     rng = np.random.default_rng(2)
     narrow = [rng.integers(0, 9, 400) for _ in range(3)]
