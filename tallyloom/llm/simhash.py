@@ -542,13 +542,13 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
             words = pa.array([fingerprints(s).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), words, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "h", "words", "size"])
 
-    prints = materialize(docs.mapInArrow(printed_sets, f"doc_id {kind}, h long, words binary, size long"), "dedup-prints", 256)
+    # What tasks over texts or anchors find is shuffled before it is written: a file of each such task would have its executor start some processes (chmod).
+    prints = docs.mapInArrow(printed_sets, f"doc_id {kind}, h long, words binary, size long")
     nodes = prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.first("size").alias("size"))
-    nodes = materialize(nodes.withColumn("id", F.xxhash64("words")), "dedup-nodes")
+    nodes = materialize(nodes.withColumn("id", F.xxhash64("words")), "dedup-nodes", 256)
     distinct = materialize(nodes.groupBy("id").agg(F.first("words").alias("words")), "dedup-distinct")
-    found = materialize(candidate_links(distinct), "dedup-candidates")
-    below = components(found)
-    discard(prints), discard(distinct), discard(found)
+    below = components(candidate_links(distinct))
+    discard(distinct)
     texts_of = nodes.join(below, F.col("id") == F.col("node"), "left").select("h", "size", F.coalesce("root", "id").alias("key"))
     groups = texts_of.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES, F.lit(1))).cast("int")
@@ -563,7 +563,7 @@ def verified_links(documents: DataFrame, width: int, least: float) -> tuple[Data
     placed = placed.select("key", "chunk", F.when(F.col("chunk") == own, 0).otherwise(1).cast("byte").alias("side"), "h")
     placed = placed.join(sets, F.col("h") == F.col("nh")).select("key", "chunk", "side", "h", "set")
     placed = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
-    return nodes, materialize(placed.mapInArrow(_verify(least), "a long, b long"), "dedup-verified", 64)
+    return nodes, materialize(placed.mapInArrow(_verify(least), "a long, b long").distinct(), "dedup-verified", 64)
 
 
 def first_of_each(documents: DataFrame, width: int = FILTER_WIDTH, least: float = ALIKE) -> DataFrame:

@@ -94,6 +94,24 @@ def test_near_dedup_finds_isolated_pairs(spark):
     assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
 
 
+def test_near_dedup_writes_no_file_for_each_task_over_texts(spark, monkeypatch):
+    rng, texts, files = random.Random(19), [], {}
+    for _ in range(40):
+        words = prose(rng, 100).split()
+        texts += [" ".join(words), " ".join(_edited(rng, words, 0.02))]
+    plain = simhash.materialize
+
+    def counted(df, name, *rows):
+        out = plain(df, name, *rows)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(24)
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == _kept_by_brute_force(texts)
+    assert files and max(files.values()) <= 4, files  # the session has 4 shuffle partitions
+
+
 def test_near_dedup_goes_through_anchors_alone(spark, monkeypatch):
     rng = random.Random(15)
     words = prose(rng, 120).split()
