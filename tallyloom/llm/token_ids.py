@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, slices, table
+from .common import LOWER, materialize, pick, slices, table
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 BLOCK_IDS, RUN = 1 << 18, 1024
@@ -72,12 +72,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat[:n] = ids
     best = _selectors(flat[: runs * RUN])
     place = np.arange(runs * RUN)
-    step = np.minimum(_counts[best], RUN - place % RUN).astype(np.uint8).tobytes()
-    at, k = [], 0
-    while k < n:
-        at.append(k)
-        k += step[k]
-    at = np.array(at)
+    step = np.minimum(_counts[best], RUN - place % RUN)
+    # All runs go ahead together, a word each at a time; no word reaches beyond its run.
+    marked, at = np.zeros(runs * RUN, bool), np.arange(runs) * RUN
+    ends = np.minimum(at + RUN, n)
+    while len(at):
+        marked[at] = True
+        at = at + step[at]
+        on = at < ends
+        at, ends = at[on], ends[on]
+    at = np.flatnonzero(marked)
     sel = best[at]
     size = np.where(sel == 0, 2, 1)
     where = np.cumsum(size) - size
@@ -157,6 +161,13 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _laid_out(ids: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the pieces that ``code`` names one after another, number of each one's); ids: of all pieces, ``size`` of each."""
+    n = size[code]
+    ends = np.cumsum(n)
+    return ids[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -168,6 +179,7 @@ class Encoder:
     """
 
     SIGNS = b".,!?;:|#$%&*"
+    ASCII_SIGNS = SIGNS.decode()
     LATIN = "\u0250"
     #: First bytes of U+0300 to U+036F, the marks that compose with ASCII letters.
     MARKS = (b"\xcc", b"\xcd")
@@ -180,24 +192,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         #: Only the tokenizer that these cuts are known to hold for is taken apart.
         self.cuts = os.path.basename(name) == TOKENIZER
         self.shown = _visible_bytes()
         self.chunks = Remembered(self._chunk, REMEMBERED)
 
-    def _part(self, part: bytes) -> bytes:
-        text = part.decode()
+    def _part(self, text: str) -> bytes:
         low = text.lower()
         if max(text) < self.LATIN and text.isalpha() and low.isalpha():
-            ids = [t.id for t in self.model.tokenize(low if part.isascii() else low.encode().decode("latin-1").translate(self.shown))]
+            ids = [t.id for t in self.tokenize(low.encode().decode("latin-1").translate(self.shown))]
         else:
             ids = self.library.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        start = chunk.rstrip(self.SIGNS)
-        if start and len(start) < len(chunk) and (last := start.decode()[-1]) < self.LATIN and last.isalpha() and last.lower().isalpha():
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return array("I", [t.id for t in self.tokenize(chunk.lower())]).tobytes()
+        start = chunk.rstrip(self.ASCII_SIGNS)
+        if start and len(start) < len(chunk) and (last := start[-1]) < self.LATIN and last.isalpha() and last.lower().isalpha():
             return self.chunks[start] + self.chunks[chunk[len(start) :]]
         return self._part(chunk)
 
@@ -208,28 +221,42 @@ class Encoder:
         """The ids of a text that spells a special token or has combining marks, as little-endian 32-bit integers."""
         if "<|" in text or not self.cuts:
             return self.whole(text).tobytes()
-        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "replace").split()))
+        return b"".join(self.chunks[part.decode()] for part in text.encode("utf-8", "replace").split())
+
+    def _pieces(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks one after another, number of each one's). A plain word is looked up once, whatever signs it ends in."""
+        stem = pc.ascii_rtrim(chunks, self.ASCII_SIGNS)
+        plain = pc.ascii_is_alpha(stem)
+        parts = [pc.if_else(plain, stem, chunks).dictionary_encode(), pc.if_else(plain, pc.ascii_ltrim(chunks, LOWER), "").dictionary_encode()]
+        # By way of NumPy, Arrow makes Python texts at a fraction of the time.
+        words, signs = (part.dictionary.to_numpy(zero_copy_only=False).tolist() for part in parts)
+        found = [self.chunks[c] if c else b"" for c in words + signs]
+        code = np.empty(2 * len(chunks), np.int64)
+        code[::2], code[1::2] = parts[0].indices, parts[1].indices.to_numpy(zero_copy_only=False) + len(words)
+        ids, n = _laid_out(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4, code)
+        return ids, n[::2] + n[1::2]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of each text's). A chunk is looked up once for each batch."""
         raw = texts.fill_null("").cast(pa.binary())
         odd = np.full(len(raw), not self.cuts)
+        inside = b"".join(raw.to_numpy(zero_copy_only=False))
         for part in (b"<|", *self.MARKS):
-            odd |= pc.match_substring(raw, part).to_numpy(zero_copy_only=False)
+            if part in inside:
+                odd |= pc.match_substring(raw, part).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts.fill_null(""))
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         found = split.flatten().dictionary_encode()
         code, first = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(split.offsets)
         first = (first - first[0]).astype(np.int64)
-        pieces = [self.chunks[c] if c else b"" for c in found.dictionary.cast(pa.binary()).to_pylist()]
-        for k in np.flatnonzero(odd).tolist():  # its one chunk, the empty string, gives way to the whole text
-            code[first[k]] = len(pieces)
-            pieces.append(self.encoded(texts[k].as_py()))
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start, n = np.cumsum(size) - size, size[code]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.concatenate(([0], ends))[first])
+        ids, size = self._pieces(found.dictionary)
+        whole = np.flatnonzero(odd).tolist()
+        if whole:  # the one chunk of each, the empty string, gives way to the whole text
+            code[first[whole]] = len(size) + np.arange(len(whole))
+            others = [np.frombuffer(self.encoded(texts[k].as_py()), "<u4") for k in whole]
+            ids, size = np.concatenate((ids, *others)), np.concatenate((size, [len(x) for x in others]))
+        ids, n = _laid_out(ids, size, code)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(n)))[first])
 
 
 _encoders: dict[str, Encoder] = {}

@@ -330,3 +330,19 @@ def test_cuts_before_signs_hold_for_every_letter_they_are_made_after():
     texts += [f"x{chr(c)}{s}{m}" for c in range(1, ord(encoder.LATIN)) for s in signs for m in ("", "\u0301")]
     for k in range(0, len(texts), 20_000):
         assert _differs(encoder, texts[k : k + 20_000]) == []
+
+
+def test_a_word_is_remembered_once_whatever_signs_it_ends_in():
+    rng, encoder = random.Random(6), token_ids.Encoder()
+    words = {"".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(2000)}
+    texts = [" ".join(w + s for s in ("", ",", ".", "!", "?!")) for w in sorted(words)] + ["X́ it's 5,", "<|endoftext|>", "", "..."]
+    assert _differs(encoder, texts) == []
+    assert len(encoder.chunks) < len(words) + 20
+
+
+def test_runs_that_go_ahead_together_are_coded_as_each_alone():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(0, 1 << b, n, np.uint64) for b, n in ((3, 700), (16, 2000), (1, 900), (63, 100), (20, 1500), (5, 7))])
+    words, offsets = token_ids.encode(x)
+    alone = [token_ids.encode(x[k : k + token_ids.RUN])[0] for k in range(0, len(x), token_ids.RUN)]
+    assert words.tolist() == np.concatenate(alone).tolist() and offsets.tolist() == np.cumsum([0, *map(len, alone[:-1])]).tolist()
