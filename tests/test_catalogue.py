@@ -29,6 +29,12 @@ def test_sql_twin(spark, name):
     assert rows == Counter(str(sorted(r.asDict().items())) for r in catalogue.QUERIES[name](spark, str(DATA)).collect())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_tasks_that_render_grow_with_the_steps(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "TASK_STEPS", 50)
+    assert sessions.rendered(spark, str(DATA)).rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/events.parquet").count() // 50) > 8
+
+
 def test_every_query_has_a_twin():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES) and sessions.parsed
 
